@@ -71,7 +71,7 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def held_out(id_col, remainder: int):
     """crc32(id as text) mod 5 equals remainder; a null id counts as not held out."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == remainder, F.lit(False))
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == remainder, F.lit(False))
 
 
 def utf8_values(column: pa.Array) -> tuple[bytes, list[int]]:

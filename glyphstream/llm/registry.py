@@ -1,11 +1,17 @@
 """The queries of this subpackage, by name, and the SQL that DuckDB can check them with."""
 
-from . import exact_dedup, packing
+from . import decontamination, exact_dedup, licenses, packing, quality, warc
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op4_warc": warc.query,
+    "op6_decontamination": decontamination.query,
+    "op7_licenses": licenses.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op10_quality": quality.query,
 }
 ORACLES = {
+    "op4_warc": warc.ORACLE,
+    "op7_licenses": licenses.oracle(),
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
