@@ -1,9 +1,10 @@
 """The queries of this subpackage, by name, and the SQL that DuckDB can check them with."""
 
-from . import decontamination, exact_dedup, licenses, packing, quality, warc
+from . import decontamination, exact_dedup, licenses, packing, quality, substring_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op3_substring_dedup": substring_dedup.query,
     "op4_warc": warc.query,
     "op6_decontamination": decontamination.query,
     "op7_licenses": licenses.query,
