@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and the SQL that DuckDB can check them with."""
 
-from . import decontamination, exact_dedup, licenses, packing, quality, substring_dedup, warc
+from . import decontamination, exact_dedup, katz, licenses, packing, quality, substring_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_warc": warc.query,
     "op6_decontamination": decontamination.query,
     "op7_licenses": licenses.query,
+    "op8_katz": katz.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_quality": quality.query,
 }
