@@ -1,9 +1,10 @@
 """The queries of this subpackage, by name, and the SQL that DuckDB can check them with."""
 
-from . import decontamination, exact_dedup, jaccard_join, katz, licenses, packing, quality, substring_dedup, warc
+from . import decontamination, exact_dedup, jaccard_join, katz, licenses, packing, pii, quality, substring_dedup, warc
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_pii": pii.query,
     "op3_substring_dedup": substring_dedup.query,
     "op4_warc": warc.query,
     "op5_jaccard_join": jaccard_join.query,
