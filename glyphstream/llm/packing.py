@@ -30,7 +30,7 @@ from ._scratch import table, texts
 
 WINDOW = 4096
 END_ID = 2
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 
 
 class OpenWindows:
@@ -84,26 +84,57 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[list[int]]:
 class WordCache:
     """Token ids of a text, as little-endian unsigned 32-bit integers.
 
-    For tokenizers whose pieces never span a space or a line break: each stretch between
-    them is encoded once and remembered.
+    For tokenizers that lower-case and whose pieces never span a space or a line break, nor a
+    letter and a full stop or comma after it: each word is encoded once and remembered, by all
+    tasks of a Python worker.
     """
 
+    _by_path: dict[str, WordCache] = {}
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    @classmethod
+    def of(cls, path: str) -> WordCache:
+        if path not in cls._by_path:
+            cls._by_path[path] = cls(path)
+        return cls._by_path[path]
+
+    def _forget(self) -> None:
+        self.known: dict[str, bytes] = {"": b""}
+        self._learn([".", ","])
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode the words in one text, a line for each, and deal the ids out by their offsets."""
+        for begin in range(0, len(words), 20_000):
+            part = words[begin : begin + 20_000]
+            found = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            sizes = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1
+            at = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(ids))
+            edges = (4 * np.searchsorted(at, np.concatenate(([0], np.cumsum(sizes))))).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(part, (data[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
 
     def encode(self, batch: list[str]) -> Iterator[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in batch]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list({word for words in split for word in words if word not in self.known})
-        for begin in range(0, len(new), 20_000):
-            part = new[begin : begin + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
+            self._forget()
+        known = self.known
+        parts = {}
+        for word in {word for words in split for word in words if word not in known}:
+            before = word[-2:-1]
+            # Latin letters that stay one letter in lower case.
+            stem = word[:-1] if word[-1] in ".," and before < "\u0250" and before.isalpha() and len(before.lower()) == 1 else word
+            parts[word] = stem.lower() if stem.isascii() else stem, word[len(stem) :]
+        self._learn(list({stem for stem, _ in parts.values() if stem not in known}))
+        for word, (stem, mark) in parts.items():
+            known[word] = known[stem] + known[mark]
+        get = known.__getitem__
         for words in split:
             yield b"".join(map(get, words))
 
@@ -160,7 +191,7 @@ def pack(
         sequence = TaskContext.get().partitionId() << 40
         ids, tokens, held = [], [], 0
         for batch in batches:
-            cache = cache or WordCache(tokenizer_path)
+            cache = cache or WordCache.of(tokenizer_path)
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
                 for key, data in zip(part.column(0).to_pylist(), cache.encode(part.column(1).to_pylist()), strict=True):
