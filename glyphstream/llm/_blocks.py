@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ._scratch import materialise, texts, utf8_values
 
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 8_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
