@@ -2,25 +2,47 @@
 
 What has a fixed layout is plain Catalyst (windows, palettes, objects, times, colours,
 serialisation); what walks variable-length bytes (placements, run lengths, raw segments)
-is an Arrow or pandas UDF over the decoders in ``functions.codec``.
+is an Arrow UDF over the decoders in ``functions.codec``.
 """
 
 from __future__ import annotations
 
 import base64 as b64
 import zlib
+from collections.abc import Callable
 from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from .. import schema as S
 from . import codec
 
 
+def listwise(kind: T.DataType) -> Callable:
+    """An Arrow UDF out of a function of one row's values; its result has the type ``kind``."""
+
+    def wrap(one: Callable) -> Callable:
+        @arrow_udf(kind)
+        def run(*columns: pa.Array) -> pa.Array:
+            from pyspark.sql.pandas.types import to_arrow_type
+
+            return pa.array([one(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], type=to_arrow_type(kind))
+
+        # Else the optimiser may move the call into the lambda of a function over arrays, where it can't run.
+        return run.asNondeterministic()
+
+    return wrap
+
+
+def record(**fields: Column) -> Column:
+    """A struct whose names hold inside of lambdas too, where aliases may be lost."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+
+
 def be(payload: Column | str, at: int | Column, size: int) -> Column:
     """The big-endian unsigned integer of ``size`` bytes at byte ``at`` (from zero)."""
     column = F.col(payload) if isinstance(payload, str) else payload
@@ -135,52 +157,39 @@ def state(payload: Column) -> Column:
     return F.when(F.octet_length(payload) >= 8, named(be(payload, 7, 1), S.STATES))
 
 
-@pandas_udf(S.COMPOSITION)
-def pcs(payloads: pd.Series) -> pd.DataFrame:
+@listwise(S.COMPOSITION)
+def pcs(payload):
     """The composition in a PCS payload; null where it can't be parsed."""
-    rows = [codec.parse_pcs(p) if p is not None else None for p in payloads]
-    names = S.COMPOSITION.fieldNames()
-    return pd.DataFrame({n: pd.Series([r[n] if r else None for r in rows], dtype=object) for n in names})
+    return codec.parse_pcs(payload) if payload is not None else None
 
 
-def pcs_or_null(payload: Column) -> Column:
-    parsed = pcs(payload)
-    return F.when(parsed["state"].isNotNull(), parsed)
-
-
-@pandas_udf(T.BinaryType())
-def rle_decode(rle: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+@listwise(T.BinaryType())
+def rle_decode(rle, width, height):
     """Pixels of run lengths, null where they can't be decoded or the size isn't known."""
-    return pd.Series([None if r is None or pd.isna(w) or pd.isna(h) else codec.decode_rle(r, int(w), int(h)) for r, w, h in zip(rle, width, height, strict=True)], dtype=object)
+    return None if rle is None or width is None or height is None else codec.decode_rle(rle, width, height)
 
 
-@pandas_udf(T.BinaryType())
-def rle_encode(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+@listwise(T.BinaryType())
+def rle_encode(pixels, width, height):
     """Run lengths of pixels, null where they don't fill the size."""
-    return pd.Series([None if p is None or pd.isna(w) or pd.isna(h) else codec.encode_rle(p, int(w), int(h)) for p, w, h in zip(pixels, width, height, strict=True)], dtype=object)
+    return None if pixels is None or width is None or height is None else codec.encode_rle(pixels, width, height)
 
 
-@pandas_udf(T.ArrayType(T.BinaryType()))
-def bitmaps(objects: pd.Series) -> pd.Series:
+@listwise(T.ArrayType(T.BinaryType()))
+def bitmaps(objects):
     """Decoded pixels of each object of a set (rle, width, height)."""
-
-    def one(o: dict) -> bytes | None:
-        return None if o["rle"] is None or o["width"] is None or o["height"] is None else codec.decode_rle(o["rle"], o["width"], o["height"])
-
-    return pd.Series([None if v is None else [one(o) for o in v] for v in objects], dtype=object)
+    if objects is None:
+        return None
+    return [None if None in (o["rle"], o["width"], o["height"]) else codec.decode_rle(o["rle"], o["width"], o["height"]) for o in objects]
 
 
-@pandas_udf(S.BUILT)
-def built(composition: pd.Series, windows: pd.Series, palettes: pd.Series, objects: pd.Series) -> pd.Series:
+@listwise(S.BUILT)
+def built(composition, windows, palettes, objects):
     """The segments of a display set from its parts; windows null or empty: no WDS."""
-    out = []
-    for c, w, p, o in zip(composition, windows, palettes, objects, strict=True):
-        lists = [[dict(x) for x in v] if v is not None else [] for v in (w, p, o)]
-        for palette in lists[1]:
-            palette["entries"] = list(palette["entries"] if palette["entries"] is not None else [])
-        parts = codec.build_display_set(c, lists[0] or None, lists[1], lists[2]) if c is not None else None
-        out.append(None if parts is None else [{"segment_type": k, "payload": v} for k, v in parts])
-    return pd.Series(out, dtype=object)
+    if composition is None:
+        return None
+    parts = codec.build_display_set(composition, windows or None, [p | {"entries": p["entries"] or []} for p in palettes or []], objects)
+    return [{"segment_type": kind, "payload": payload} for kind, payload in parts]
 
 
 def write_wds(windows: Column) -> Column:
@@ -225,10 +234,10 @@ def base64(data: Column) -> Column:
     return F.translate(F.base64(data), "\r\n", "")
 
 
-@pandas_udf(T.BinaryType())
-def unbase64(text: pd.Series) -> pd.Series:
+@listwise(T.BinaryType())
+def unbase64(text):
     """Bytes of base 64 with or without padding; null for other characters."""
-    return pd.Series([decode_base64(t) if t is not None else None for t in text], dtype=object)
+    return decode_base64(text) if text is not None else None
 
 
 def decode_base64(text: str) -> bytes | None:
@@ -249,18 +258,16 @@ def rgba(entry: Column) -> Column:
     """Red, green, blue and alpha of a palette entry: cut towards zero, clipped to a byte."""
     y, cr, cb = (entry[n].cast("double") for n in ("luminance", "cr", "cb"))
     clip = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), v.cast("int"))).cast("short")
-    return F.struct(
-        clip(y + 1.402 * (cr - 128)).alias("r"), clip(y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128)).alias("g"), clip(y + 1.772 * (cb - 128)).alias("b"), entry["alpha"].alias("a")
-    )
+    return record(r=clip(y + 1.402 * (cr - 128)), g=clip(y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128)), b=clip(y + 1.772 * (cb - 128)), a=entry["alpha"])
 
 
 # Blocks
 
 
-@pandas_udf(T.BinaryType())
-def inflate(data: pd.Series) -> pd.Series:
+@listwise(T.BinaryType())
+def inflate(data):
     """zlib's inverse; null where the stream is broken."""
-    return pd.Series([inflated(d) if d is not None else None for d in data], dtype=object)
+    return inflated(data) if data is not None else None
 
 
 def inflated(data: bytes) -> bytes | None:

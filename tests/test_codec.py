@@ -126,12 +126,12 @@ def plain(value):
 
 def test_columns_as_decoders(spark, payloads):
     df = spark.createDataFrame([(p,) for p in payloads], "p binary")
-    rows = df.select("p", C.wds(F.col("p")).alias("wds"), C.pds(F.col("p")).alias("pds"), C.ods(F.col("p")).alias("ods"), C.state(F.col("p")).alias("state"), C.pcs_or_null(F.col("p")).alias("pcs")).collect()
+    rows = df.select("p", C.wds(F.col("p")).alias("wds"), C.pds(F.col("p")).alias("pds"), C.ods(F.col("p")).alias("ods"), C.state(F.col("p")).alias("state"), C.pcs(F.col("p")).alias("pcs")).collect()
     for r in rows:
         p = bytes(r.p)
         assert plain(r.wds) == codec.parse_wds(p) and plain(r.pds) == codec.parse_pds(p), p
         assert plain(r.ods) == codec.parse_ods(p) and r.state == codec.state_of(p) and plain(r.pcs) == codec.parse_pcs(p), p
-    again = df.select("p", C.pcs_or_null(F.col("p")).alias("pcs"), C.wds(F.col("p")).alias("wds"), C.pds(F.col("p")).alias("pds"), C.ods(F.col("p")).alias("ods"))
+    again = df.select("p", C.pcs(F.col("p")).alias("pcs"), C.wds(F.col("p")).alias("wds"), C.pds(F.col("p")).alias("pds"), C.ods(F.col("p")).alias("ods"))
     written = again.select("*", C.write_pcs(F.col("pcs")).alias("a"), C.write_wds(F.col("wds")).alias("b"), C.write_pds(F.col("pds")).alias("c"), C.write_ods(F.col("ods")).alias("d"), C.sup_bytes(F.lit(5), F.lit(6), F.lit("ODS"), F.col("p")).alias("e"))
     for r in written.collect():
         for got, value, write in ((r.a, r.pcs, codec.write_pcs), (r.b, r.wds, codec.write_wds), (r.c, r.pds, codec.write_pds), (r.d, r.ods, codec.write_ods)):
