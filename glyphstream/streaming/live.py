@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ def arriving_segments(spark: SparkSession, folder: str, *, glob: str = "*.sup")
     return A.segments(binary.from_contents(files, "blocks"))
 
 
-def _push(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _push(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, forget_after_ms: int | None = None) -> Iterator[pd.DataFrame]:
     """Assemble one track's new segments, in order of their numbers, after what is still open."""
     emitted, open_ = state.get if state.exists else (0, [])
     assembler = codec.Assembler()
@@ -49,17 +50,21 @@ def _push(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Itera
     else:
         # What is open waits for its END; the next PCS of the track discards it.
         state.update((emitted, [s for s in since if assembler.open]))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        if forget_after_ms is not None:
+            state.setTimeoutDuration(forget_after_ms)
     if out:
         yield pd.DataFrame(out, columns=SETS.fieldNames())
 
 
-def assemble_stream(segments: DataFrame) -> DataFrame:
+def assemble_stream(segments: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
     """Display sets of a stream of segments, emitted as soon as they are complete.
 
-    State is the open set of each track and its count of sets, for a day after its last segment.
+    State is the open set of each track and its count of sets. ``forget_after_ms`` drops it so
+    long after a track's last segment; the query then runs batches all the time, as Spark does
+    for processing-time timeouts.
     """
-    return segments.groupBy("file", "track_id").applyInPandasWithState(_push, SETS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if forget_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return segments.groupBy("file", "track_id").applyInPandasWithState(partial(_push, forget_after_ms=forget_after_ms), SETS, STATE, "append", timeout)
 
 
 def counts_by_track(sets: DataFrame) -> DataFrame:

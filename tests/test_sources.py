@@ -265,15 +265,18 @@ def test_live_assembly(spark, media, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "a.sup").write_bytes((media / "a.sup").read_bytes())
-    query = live.assemble_stream(live.arriving_segments(spark, str(folder))).writeStream.format("memory").queryName("live_sets").option("checkpointLocation", str(tmp_path / "ck")).start()
-    try:
-        query.processAllAvailable()
-        assert spark.table("live_sets").count() == 12
-        (folder / "b.sup").write_bytes(B.sup(TWO))
-        query.processAllAvailable()
-        rows = spark.table("live_sets").orderBy("file", "set_seq").collect()
-    finally:
-        query.stop()
+    def drain():
+        sets = live.assemble_stream(live.arriving_segments(spark, str(folder)))
+        query = sets.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        try:
+            assert query.awaitTermination(90)
+        finally:
+            query.stop()
+        return spark.read.parquet(str(tmp_path / "out")).orderBy("file", "set_seq").collect()
+
+    assert len(drain()) == 12
+    (folder / "b.sup").write_bytes(B.sup(TWO))
+    rows = drain()
     assert [(r["index"], r.pts, [(s.segment_type, bytes(s.payload)) for s in r.segments]) for r in rows[:12]] == WANT and len(rows) == 21
 
 
