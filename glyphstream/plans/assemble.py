@@ -8,7 +8,7 @@ megabytes, whatever the container's size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -160,6 +160,16 @@ def sup_of(sets: DataFrame) -> DataFrame:
     return sets.withColumn("sup", C.joined(F.transform("segments", lambda s: C.sup_bytes(s["pts"], s["dts"], s["segment_type"], s["payload"]))))
 
 
+def edit_payloads(sets: DataFrame, segment_type: str, change: Callable[[Column], Column]) -> DataFrame:
+    """The sets with ``change`` applied to the payload of each segment of a type; null leaves it as it is.
+
+    Times and the composition state follow the edited PCS, as if it had been read so.
+    """
+    edited = F.transform("segments", lambda s: s.withField("payload", F.when(s["segment_type"] == segment_type, F.coalesce(change(s["payload"]), s["payload"])).otherwise(s["payload"])))
+    out = sets.withColumn("segments", edited)
+    return out.withColumn("composition_state", C.state(F.col("segments")[0]["payload"])) if segment_type == "PCS" else out
+
+
 def with_epoch(sets: DataFrame) -> DataFrame:
     """Adds ``epoch``: how many epochs of its track have started up to this set."""
     w = Window.partitionBy(*TRACK).orderBy("set_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from glyphstream import cli
 from glyphstream.errors import EncodingError, InvalidEbml, InvalidPgs, InvalidVint, NoPgsTracks, PgsError, UnknownFormat
 from glyphstream.functions import codec
+from glyphstream.functions import columns as C
 from glyphstream.operators import ndjson, recipes
 from glyphstream.operators.extractor import Extractor, extract, list_tracks, track_path, write_sup, write_sup_tables
 from glyphstream.plans import assemble as A
@@ -253,6 +254,8 @@ def test_recipes(spark, media, tmp_path):
     again = Extractor.open(spark, out[0][0]).structured().orderBy("index").collect()
     assert out[0][1] == 12 and (again[0].objects[0].width, bytes(again[0].objects[0].bitmap)) == (6, b"\1\1\2\2\2\2" * 2 + b"\0\0\3\3\3\3" * 2)
     assert (again[0].palettes[0].entries[1].luminance, again[0].palettes[0].entries[1].cr) == (215, 120)
+    dimmed = A.edit_payloads(sets, "PDS", lambda p: C.write_pds(C.pds(p).withField("version", F.lit(9).cast("short"))))
+    assert {p.version for r in A.project(dimmed).collect() for p in r.palettes} == {9}
     write_sup_tables(sets, str(tmp_path / "tables"))
     assert b"".join(bytes(r.sup) for r in spark.read.parquet(str(tmp_path / "tables")).orderBy("set_seq").collect()) == (media / "a.sup").read_bytes()
     progress = recipes.progress(sets, Extractor.open(spark, str(media / "a.sup")).tracks().withColumn("display_set_count", F.lit(12)))
