@@ -118,7 +118,7 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
         n >>= 1
         if n:
             keep = max(0, len(piece) - size)
-            power = [piece[:keep] * factor + piece[size : size + keep], 2 * size, factor * factor]
+            power = [piece[:keep] * factor + piece[size : size + keep], 2 * size, np.uint64(int(factor) ** 2 & (1 << 64) - 1)]
     return done[: max(0, len(hashes) - out_n + 1)]
 
 

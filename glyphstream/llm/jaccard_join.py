@@ -7,17 +7,21 @@ distance is a metric, and points link at a distance of at most e = 1 - threshold
    make poor first pivots: a cell would hold nearly all points. The first pivots are small
    sets instead. All shingles are dealt into m slices, and in each slice a point lies in the
    cell of the pivot that equals its part there. Linked points differ in at most k shingles,
-   where k follows from e and the size; with m = k + 1 + SPARE slices they share a cell in
-   more than SPARE of them. So a point is replicated to its m cells and loses no link. Sizes
-   are cut into classes that link with the next class only; m goes by class.
-2. Regions. Points that share cells, directly or in steps, form a region.
-3. Pivots. In a region of more than LEAF points, points are chosen as pivots, and every point
+   where k follows from e and the size; with m = k + 1 + r slices they share a cell in more
+   than r of them. So each point may leave out its r smallest parts, as long as it leaves out
+   all of a size or none: parts of one or two shingles say little, and most are left out.
+   Sizes are cut into classes that link with the next class only; m goes by class.
+2. Regions. Points that share cells, directly or in steps, form a region. Regions of more than
+   LEAF points are dealt into other slices and fall apart again, up to DEALS times: chance
+   meetings don't repeat, links always do.
+3. Pivots. Where a region has at most PIVOTS_AT_ONCE points, each is a pivot, to which the
+   others are compared in chunks. In a larger one PIVOTS points are chosen, and every point
    learns its distances to them: links within e are found, the nearest pivot names a point's
    Voronoi cell. What the links join into the region's largest component is settled. Only the
    others are worked on: each Voronoi cell that has some keeps the points whose distance to
    its pivot is within e of theirs (the triangle inequality lets no link leave that window),
-   and becomes a region of the next round, with four times the pivots.
-4. Leaves. In regions of up to LEAF points all distances are computed.
+   and becomes a region of the next round, with those others as its candidates for pivots.
+4. Leaves. In regions of up to LEAF points one task computes all distances.
 
 Everything is exact; a window or a leaf only skips pairs that can't link or are joined by
 other links. Stars of links stand for cells and groups of copies, never all their pairs.
@@ -32,6 +36,7 @@ stay behind. Shingles and sets are told apart by 64-bit hashes, equal sets by 12
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +44,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._blocks import _batches, answer, block_texts, finish, pack_sorted, places, ranges_of, rolling, send, unpack_sorted, word_hashes, write_blocks
-from ._scratch import exchange_partitions, materialise, table
+from ._blocks import EXCHANGE, _batches, answer, block_texts, finish, pack_sorted, places, ranges_of, rolling, send, unpack_sorted, word_hashes, write_blocks
+from ._scratch import discard, exchange_partitions, materialise, table
 from .components import components
 
 SHINGLE = 4
 PERCENT = 85
-SPARE = 2
+SPARE = 0.4  # r, as a share of k + 1
+DEALS = 3
 LEAF = 128
 PIVOTS = 16
+PIVOTS_AT_ONCE = 4096
 CHUNK = 128
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 EDGE = T.StructType().add("a", T.LongType()).add("b", T.LongType())
@@ -94,24 +101,26 @@ class Classes:
     """Classes of set sizes: a set links with sets of its class, the one below and the one above."""
 
     def __init__(self, percent: int, largest: int) -> None:
-        self.first, self.slices, low = [], [], 1
+        self.first, self.slices, self.spare, low = [], [], [], 1
         while low <= largest or len(self.first) < 2:
             high = 100 * low // percent
             differ = (100 - percent) * (high + 100 * high // percent) // (100 + percent)
             self.first.append(low)
-            self.slices.append(differ + 1 + SPARE if differ else 0)  # sets that differ in nothing are equal
+            self.spare.append(max(2, int(SPARE * (differ + 1))))
+            self.slices.append(differ + 1 + self.spare[-1] if differ else 0)  # sets that differ in nothing are equal
             low = high + 1
-        self.first, self.slices = np.array(self.first), np.array(self.slices)
+        self.first, self.slices, self.spare = np.array(self.first), np.array(self.slices), np.array(self.spare)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, sizes, side="right") - 1
 
 
-def cells(hashes: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, number of the set) for each cell of each set that isn't empty."""
+def cells(hashes: np.ndarray, sizes: np.ndarray, percent: int, deal: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, number of the set) for each cell of each set that isn't empty; ``deal`` numbers the ways to slice."""
     out, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     classes = Classes(percent, int(sizes.max(initial=1)))
     own = classes.of(np.maximum(sizes, 1))
+    salt = mix(np.array([deal + 1], dtype=np.uint64))[0]
     for below in (0, 1):
         level = own - below
         slices = np.where((level >= 0) & (sizes > 0), classes.slices[np.maximum(level, 0)], 0)
@@ -119,19 +128,22 @@ def cells(hashes: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarr
         owner = np.repeat(np.arange(len(sizes)), sizes)
         used = slices[owner] > 0
         owner, values = owner[used], hashes[used]
-        salted = mix(values + level[owner].astype(np.uint64) * M2)
-        key = begins[owner] + (salted % slices[owner].astype(np.uint64)).astype(np.int64)
+        dealt = mix((values ^ salt) + level[owner].astype(np.uint64) * M2)
+        key = begins[owner] + (dealt % slices[owner].astype(np.uint64)).astype(np.int64)
         total = np.zeros(int(slices.sum()), dtype=np.uint64)
         np.add.at(total, key, mix(values ^ M2))
-        filled = np.bincount(key, minlength=len(total)) > 0
+        filled = np.bincount(key, minlength=len(total))
         of = np.repeat(np.arange(len(sizes)), slices)
-        # A cell of the empty part matters only to sets that have more than SPARE such parts.
-        empties = np.bincount(of, weights=~filled, minlength=len(sizes))
-        send_it = filled | (empties[of] > SPARE)
+        # Parts of up to ``least`` shingles are left out: the most for which there are no more than spare ones.
+        spare, least = classes.spare[np.maximum(level, 0)], np.full(len(sizes), -1)
+        for size in range(6):
+            few = np.bincount(of, weights=filled <= size, minlength=len(sizes))
+            least = np.where((few <= spare) & (least == size - 1), size, least)
+        sent = filled > least[of]
         number = np.arange(len(total)) - begins[of]
-        name = mix(total + mix(number.astype(np.uint64) * M1 + level[of].astype(np.uint64)))
-        out.append(name[send_it])
-        owners.append(of[send_it])
+        name = mix(total + mix(number.astype(np.uint64) * M1 + level[of].astype(np.uint64)) + salt)
+        out.append(name[sent])
+        owners.append(of[sent])
     return np.concatenate(out), np.concatenate(owners)
 
 
@@ -155,13 +167,40 @@ def _ask(row: dict, n: int, percent: int, parts: int) -> Iterator[tuple]:
     chosen[first] = True
     keep = np.repeat(chosen, sizes)
     names, owner = cells(hashes[keep], sizes * chosen, percent)
+    yield from _dealt(names, one[owner], parts, row["block"])
+
+
+def _dealt(names: np.ndarray, point: np.ndarray, parts: int, block: int) -> Iterator[tuple]:
+    """Cells and their points, packed for each range of cells."""
     order = np.argsort(names)
-    names, point = names[order], one[owner[order]]
+    names, point = names[order], point[order]
     at = ranges_of(names, parts)
     for part in np.flatnonzero(np.diff(at)).tolist():
         own = slice(at[part], at[part + 1])
         payload = pack_sorted(names[own])
-        yield part, row["block"], len(payload).to_bytes(8, "little") + payload + point[own].tobytes()
+        yield part, block, len(payload).to_bytes(8, "little") + payload + point[own].tobytes()
+
+
+def deal_again(members: DataFrame, percent: int, deal: int, parts: int) -> DataFrame:
+    """(point, region): the regions into which regions fall by other slices; alone in one: left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(EXCHANGE)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):
+                rows = batch.slice(begin, 512).to_pylist()
+                sets = [unpack_sorted(r["data"]) for r in rows]
+                names, owner = cells(np.concatenate(sets), np.array([len(x) for x in sets]), percent, deal)
+                region = np.array([r["region"] for r in rows]).view(np.uint64)[owner]
+                point = np.array([r["point"] for r in rows])
+                yield from _batches(_dealt(mix(names ^ region), point[owner], parts, begin), arrow)
+
+    sent = members.select("region", "point", "data").mapInArrow(run, EXCHANGE)
+    return components(answer(sent, EDGE, _stars)).select(F.col("node").alias("point"), F.col("root").alias("region"))
+
+
 
 
 def _stars(part: int, rows: list[dict]) -> Iterator[tuple]:
@@ -188,7 +227,7 @@ def _wanted(block: dict, rows: list[dict], n: int) -> Iterator[tuple]:
         begins = np.cumsum(sizes) - sizes
         for r in rows:
             i = r["position"]
-            yield r["region"], r["point"], int(sizes[i]), pack_sorted(hashes[begins[i] : begins[i] + sizes[i]])
+            yield r["region"], r["point"], r["members"], r["salt"], r["salts"], pack_sorted(hashes[begins[i] : begins[i] + sizes[i]])
 
 
 def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -241,72 +280,87 @@ def _leaves(group: pa.Table, percent: int) -> Iterator[tuple[int, int]]:
                 yield int(points[i]), int(points[j])
 
 
-def _distances(members: pa.Table, pivots: pa.Table, percent: int) -> Iterator[tuple]:
-    """(region, point, nearest pivot, its number, distances to all pivots, links found)."""
+DISTANCES = T.StructType().add("region", T.LongType()).add("point", T.LongType()).add("nearest", T.LongType()).add("buckets", T.ArrayType(T.LongType())).add("distances", T.ArrayType(T.DoubleType())).add("links", T.ArrayType(T.LongType()))
+
+
+def _distances(members: pa.Table, pivots: pa.Table, percent: int, links_only: bool) -> Iterator[tuple]:
+    """Rows of DISTANCES: nearest pivot, distances to all pivots (none with ``links_only``) and links found."""
     rows, centres = members.to_pylist(), sorted(pivots.to_pylist(), key=lambda r: r["bucket"])
     sets, around = [unpack_sorted(r["data"]) for r in rows], [unpack_sorted(r["data"]) for r in centres]
     common = common_counts(sets, around)
     a, b = np.array([[len(s)] for s in sets]), np.array([[len(s) for s in around]])
     hit = linked(common, a, b, percent)
-    distance = 1 - common / (a + b - common)
+    distance, buckets = 1 - common / (a + b - common), [r["bucket"] for r in centres]
     for i, row in enumerate(rows):
-        yield row["region"], row["point"], centres[int(distance[i].argmin())]["bucket"], [r["bucket"] for r in centres], distance[i].tolist(), [centres[j]["point"] for j in np.flatnonzero(hit[i])]
+        links = [centres[j]["point"] for j in np.flatnonzero(hit[i])]
+        if not links_only:
+            yield row["region"], row["point"], buckets[int(distance[i].argmin())], buckets, distance[i].tolist(), links
+        elif len(links) > (row["point"] in links):
+            yield row["region"], row["point"], None, [], [], links
 
 
-def _join_large(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the points of large regions; members: region, point, size, data, all large."""
-    spark, edge = members.sparkSession, 1 - percent / 100 + 1e-9
-    links = spark.createDataFrame([], EDGE)
-    whole = members.select(F.col("region").alias("origin"), F.col("point"))
-    open_ = members.withColumn("open", F.lit(True))
-    count, shuffle = PIVOTS, exchange_partitions(spark)
-    distance_row = T.StructType().add("region", T.LongType()).add("point", T.LongType()).add("nearest", T.IntegerType()).add("buckets", T.ArrayType(T.IntegerType())).add("distances", T.ArrayType(T.DoubleType())).add("links", T.ArrayType(T.LongType()))
+def _measure(rows, members: pa.Table, pivots: pa.Table) -> pa.Table:  # noqa: ANN001
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
-        from pyspark.sql.pandas.types import to_arrow_schema
+    arrow = to_arrow_schema(DISTANCES)
+    found = rows(members, pivots) if members.num_rows and pivots.num_rows else iter(())
+    return pa.Table.from_batches(list(_batches(found, arrow)), schema=arrow)
 
-        arrow = to_arrow_schema(distance_row)
-        rows = _distances(left, right, percent) if left.num_rows and right.num_rows else iter(())
-        return pa.Table.from_batches(list(_batches(rows, arrow)), schema=arrow)
 
-    def leaf(group: pa.Table) -> pa.Table:
-        from pyspark.sql.pandas.types import to_arrow_schema
+def _join_large(members: DataFrame, order: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the points of large regions.
 
-        arrow = to_arrow_schema(EDGE)
-        return pa.Table.from_batches(list(_batches(_leaves(group, percent), arrow)), schema=arrow)
-
-    while not open_.isEmpty():
-        sized = materialise(open_.groupBy("region").agg(F.count(F.lit(1)).alias("members")), "region-sizes")
-        small = open_.join(sized.filter(F.col("members") <= LEAF), "region").select("region", "point", "data")
-        links = links.unionByName(small.withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(shuffle))).groupBy("bucket").applyInArrow(leaf, EDGE))
-        large = open_.join(sized.filter(F.col("members") > LEAF), "region")
-        salted = materialise(large.withColumn("salt", F.pmod(F.xxhash64("point", F.lit(1)), F.ceil(F.col("members") / CHUNK))), "region-members")
-        # The least size and point of each bucket; combined before the shuffle.
-        bucket = F.pmod(F.xxhash64("point", F.lit(2)), F.lit(count)).cast("int").alias("bucket")
-        chosen = salted.filter("open").groupBy("region", bucket).agg(F.min(F.struct("order", "point")).alias("p"), F.max("members").alias("members"))
-        pivots = materialise(chosen.select("region", "bucket", F.col("p.point").alias("point"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / CHUNK) - 1)).alias("salt")), "pivots")
-        data = salted.select("region", "point", "data").join(pivots.select("region", "point").distinct(), ["region", "point"])
-        pivots = pivots.join(materialise(data, "pivot-sets"), ["region", "point"])
-        measured = materialise(salted.groupBy("region", "salt").cogroup(pivots.groupBy("region", "salt")).applyInArrow(measure, distance_row), "distances")
+    members: region, point, salt, salts, data, each region dealt over its salts by CHUNK points;
+    order: point and its least id, by which pivots are taken, as a copied text often is older
+    than its copies. The sets move once a round, to the chunk where they are measured; all else is numbers.
+    """
+    spark, edge = members.sparkSession, 1 - percent / 100 + 1e-9
+    links = spark.createDataFrame([], EDGE)
+    whole = members.select(F.col("region").alias("origin"), "point")
+    data = members.select("point", "data")
+    # What this round measures: the points with their chunks, and the same with their sets.
+    places = members.select("region", "point", "salts", F.lit(True).alias("open"))
+    active = members.select("region", "point", "salt", "data")
+    while True:
+        opened = materialise(places.filter("open").groupBy("region").agg(F.count(F.lit(1)).alias("n")), "opened")
+        last = opened.agg(F.max("n")).first()[0] <= PIVOTS_AT_ONCE
+        # All open points, or the least order of each bucket of them; combined before the shuffle.
+        bucket = F.col("point") if last else F.pmod(F.xxhash64("point", F.lit(2)), F.lit(PIVOTS))
+        chosen = places.filter("open").join(order, "point").groupBy("region", bucket.alias("bucket")).agg(F.min(F.struct("order", "point")).alias("p"), F.max("salts").alias("salts"))
+        pivots = materialise(chosen.select("region", "bucket", F.col("p.point").alias("point"), "salts"), "pivots")
+        sets = materialise(data.join(pivots, "point").select("region", "bucket", "point", "salts", "data"), "pivot-sets")
+        dealt = sets.select("region", "bucket", "point", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        rows = partial(_distances, percent=percent, links_only=last)
+        measured = materialise(active.groupBy("region", "salt").cogroup(dealt.groupBy("region", "salt")).applyInArrow(partial(_measure, rows), DISTANCES), "distances")
         found = measured.select(F.explode("links").alias("a"), F.col("point").alias("b")).filter("a <> b")
         links = materialise(links.unionByName(found), "links")
+        if last:
+            return links
         # What isn't in the largest component of its first region, and was no pivot, stays open.
         roots = components(links)
-        rooted = whole.join(roots.withColumnRenamed("node", "point"), "point", "left").select("origin", "point", F.coalesce("root", "point").alias("root"))
-        rooted = materialise(rooted, "rooted")
+        rooted = materialise(whole.join(roots.withColumnRenamed("node", "point"), "point", "left").select("origin", "point", F.coalesce("root", "point").alias("root")), "rooted")
         largest = materialise(rooted.groupBy("origin", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("origin").agg(F.max(F.struct("n", "root")).alias("m")), "largest")
-        outside = rooted.join(largest, "origin").filter("root <> m.root").select("point").distinct()
+        outside = rooted.join(largest, "origin").filter("root <> m.root").select("point").distinct().withColumn("outside", F.lit(True))
         was_pivot = pivots.select("region", "point").distinct().withColumn("pivot", F.lit(True))
         state = measured.select("region", "point", "nearest", F.explode(F.arrays_zip("buckets", "distances")).alias("z")).select("region", "point", "nearest", "z.buckets", "z.distances")
-        state = state.join(outside.withColumn("outside", F.lit(True)), "point", "left").join(was_pivot, ["region", "point"], "left")
-        state = materialise(state.withColumn("open", F.col("outside").isNotNull() & F.col("pivot").isNull()).drop("outside", "pivot"), "state")
-        window = state.filter(F.col("open") & (F.col("nearest") == F.col("buckets"))).groupBy("region", "buckets").agg(F.min("distances").alias("low"), F.max("distances").alias("high"))
-        inside = state.join(materialise(window, "windows"), ["region", "buckets"]).filter((F.col("distances") >= F.col("low") - edge) & (F.col("distances") <= F.col("high") + edge))
-        next_ = inside.select(F.col("region").alias("old"), F.xxhash64("region", "buckets").alias("region"), "point", (F.col("open") & (F.col("nearest") == F.col("buckets"))).alias("open"))
-        sets = salted.select(F.col("region").alias("old"), "point", "size", "order", "data")
-        open_ = materialise(next_.join(sets, ["old", "point"]).select("region", "point", "size", "order", "data", "open"), "regions")
-        count *= 4
-    return links
+        state = state.join(outside, "point", "left").join(was_pivot, ["region", "point"], "left")
+        state = state.withColumn("open", F.col("outside").isNotNull() & F.col("pivot").isNull() & (F.col("nearest") == F.col("buckets"))).drop("outside", "pivot", "nearest")
+        state = materialise(state, "state")
+        window = materialise(state.filter("open").groupBy("region", "buckets").agg(F.min("distances").alias("low"), F.max("distances").alias("high")), "windows")
+        inside = state.join(window, ["region", "buckets"]).filter((F.col("distances") >= F.col("low") - edge) & (F.col("distances") <= F.col("high") + edge))
+        next_ = materialise(inside.select(F.xxhash64("region", "buckets").alias("region"), "point", "open"), "regions")
+        discard(measured, state, window, sets, pivots, largest)
+        if next_.isEmpty():
+            return links
+        sized = materialise(next_.groupBy("region").agg(F.count(F.lit(1)).alias("members")), "region-sizes")
+        places = materialise(salted(next_.join(sized, "region"), "members").select("region", "point", "salts", "salt", "open"), "region-members")
+        active = places.select("region", "point", "salt").join(data, "point")
+
+
+def salted(points: DataFrame, members: str) -> DataFrame:
+    """Deals each region's points over ``salts`` chunks of about CHUNK."""
+    salts = F.ceil(F.col(members) / CHUNK)
+    return points.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("point", F.lit(1)), salts))
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, leaf: int | None = None) -> DataFrame:
@@ -332,10 +386,13 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     stars = answer(send(blocks, lambda row: _ask(row, shingle, percent, parts)), EDGE, _stars)
     regions = components(stars)
 
-    wanted = classes.join(regions.select(F.col("node").alias("point"), F.col("root").alias("region")), "point").select("at.block", "at.position", "point", "region")
-    set_row = T.StructType().add("region", T.LongType()).add("point", T.LongType()).add("size", T.LongType()).add("data", T.BinaryType())
+    named = regions.select(F.col("node").alias("point"), F.col("root").alias("region"))
+    sizes = materialise(named.groupBy("region").agg(F.count(F.lit(1)).alias("members")), "sizes")
+    placed = classes.select("point", "at").join(named, "point").join(sizes, "region")
+    wanted = salted(placed, "members").select("at.block", "at.position", "point", "region", "members", "salt", "salts")
+    set_row = T.StructType().add("region", T.LongType()).add("point", T.LongType()).add("members", T.LongType()).add("salt", T.LongType()).add("salts", T.LongType()).add("data", T.BinaryType())
     members = materialise(finish(blocks, wanted, set_row, lambda block, rows: _wanted(block, rows, shingle)), "members")
-    sizes = materialise(members.groupBy("region").agg(F.count(F.lit(1)).alias("members")), "sizes")
+    discard(blocks)
 
     def join_leaves(group: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -343,13 +400,22 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
         arrow = to_arrow_schema(EDGE)
         return pa.Table.from_batches(list(_batches(_leaves(group, percent), arrow)), schema=arrow)
 
-    small = members.join(sizes.filter(F.col("members") <= leaf).select("region"), "region").select("region", "point", "data")
-    links = small.withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(parts))).groupBy("bucket").applyInArrow(join_leaves, EDGE)
-    large = materialise(members.join(sizes.filter(F.col("members") > leaf).select("region"), "region"), "large")
+    links = spark.createDataFrame([], EDGE)
+    for deal in range(1, DEALS + 2):
+        small = members.filter(F.col("members") <= leaf).select("region", "point", "data")
+        found = small.withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(parts))).groupBy("bucket").applyInArrow(join_leaves, EDGE)
+        links = materialise(links.unionByName(found), "leaf-links")
+        large = members.filter(F.col("members") > leaf)
+        if deal > DEALS or large.isEmpty():
+            break
+        named = materialise(deal_again(large, percent, deal, parts), "dealt")
+        sizes = materialise(named.groupBy("region").agg(F.count(F.lit(1)).alias("members")), "sizes")
+        again = salted(named.join(sizes, "region"), "members")
+        before, members = members, materialise(again.join(large.select("point", "data"), "point").select("region", "point", "members", "salt", "salts", "data"), "members")
+        discard(before)
     if not large.isEmpty():
-        # Pivots are taken in the order of the least ids: a copied text often is older than its copies.
-        ordered = large.join(classes.select("point", F.col("least").alias("order")), "point")
-        links = links.unionByName(_join_large(materialise(ordered, "large-ordered"), percent))
+        order = materialise(large.select("point").join(classes.select("point", F.col("least").alias("order")), "point"), "order")
+        links = links.unionByName(_join_large(large, order, percent))
     roots = components(links)
     joined = classes.join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
     joined = materialise(joined.select("point", "check", "root", "least"), "class-roots")

@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from glyphstream.llm import components as cc
 from glyphstream.llm import jaccard_join as jj
 from glyphstream.llm.components import components
 
@@ -48,7 +49,7 @@ def corpus(seed, base_words, copies, edits):
 
 @pytest.mark.parametrize("leaf", [128, 3])
 def test_components_as_brute_force(spark, monkeypatch, leaf):
-    for name, value in (("LEAF", leaf), ("CHUNK", 8), ("PIVOTS", 2)):
+    for name, value in (("LEAF", leaf), ("CHUNK", 8), ("PIVOTS", 2), ("PIVOTS_AT_ONCE", 4)):
         monkeypatch.setattr(jj, name, value)
     rows = corpus(leaf, [6, 9, 14, 25, 40, 80, 150], 12, 5)
     docs = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id long, text string, point int").repartition(3)
@@ -74,7 +75,9 @@ def test_linked_sets_share_a_cell(size, lose, gain, seed):
         assert len(np.intersect1d(names[owner == 0], names[owner == 1]))
 
 
-def test_graph_components(spark):
+@pytest.mark.parametrize("one_task", [0, 40, 10**6])
+def test_graph_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(cc, "ONE_TASK", one_task)
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000, 1000 + i) for i in range(50)] + [(i, i + 1) for i in range(2000, 2040)]
     root = {}
