@@ -284,19 +284,37 @@ DISTANCES = T.StructType().add("region", T.LongType()).add("point", T.LongType()
 
 
 def _distances(members: pa.Table, pivots: pa.Table, percent: int, links_only: bool) -> Iterator[tuple]:
-    """Rows of DISTANCES: nearest pivot, distances to all pivots (none with ``links_only``) and links found."""
+    """Rows of DISTANCES: nearest pivot, distances to all pivots and links found.
+
+    With ``links_only``, links alone, and of them no more than join what all would join.
+    """
     rows, centres = members.to_pylist(), sorted(pivots.to_pylist(), key=lambda r: r["bucket"])
     sets, around = [unpack_sorted(r["data"]) for r in rows], [unpack_sorted(r["data"]) for r in centres]
     common = common_counts(sets, around)
     a, b = np.array([[len(s)] for s in sets]), np.array([[len(s) for s in around]])
     hit = linked(common, a, b, percent)
     distance, buckets = 1 - common / (a + b - common), [r["bucket"] for r in centres]
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while root.setdefault(i, i) != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
     for i, row in enumerate(rows):
         links = [centres[j]["point"] for j in np.flatnonzero(hit[i])]
         if not links_only:
             yield row["region"], row["point"], buckets[int(distance[i].argmin())], buckets, distance[i].tolist(), links
-        elif len(links) > (row["point"] in links):
-            yield row["region"], row["point"], None, [], [], links
+            continue
+        joins = []
+        for point in links:
+            x, y = find(row["point"]), find(point)
+            if x != y:
+                root[y] = x
+                joins.append(point)
+        if joins:
+            yield row["region"], row["point"], None, [], [], joins
 
 
 def _measure(rows, members: pa.Table, pivots: pa.Table) -> pa.Table:  # noqa: ANN001
