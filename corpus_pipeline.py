@@ -20,8 +20,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one with the least doc_id stays."""
-    return jaccard_join.keep_one(docs)
+    """Of documents that links join, the one with the least doc_id stays: five words, similarity 0.8 or more."""
+    return jaccard_join.keep_one(docs, shingle=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

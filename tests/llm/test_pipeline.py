@@ -31,3 +31,11 @@ def test_stages_as_plain_python(spark):
         assert r.doc_tokens == len(tok.encode(texts[r.doc_id], add_special_tokens=False).ids) + 1
     assert set(pieces) == set(texts)
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_of_five_words_at_four_fifths(spark):
+    words = [f"w{i}" for i in range(50)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:25], "other", *words[26:]])), (3, " ".join([*words[:15], "x", *words[16:35], "y", *words[36:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # 2: 41 of 51 shingles of five words (0.804), 43 of 51 of four (0.843); 3 is beyond both.
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == {1, 3}
