@@ -21,6 +21,9 @@ distance is a metric, and points link at a distance of at most e = 1 - threshold
    others are worked on: each Voronoi cell that has some keeps the points whose distance to
    its pivot is within e of theirs (the triangle inequality lets no link leave that window),
    and becomes a region of the next round, with those others as its candidates for pivots.
+   A point is open in one region only: in its windows elsewhere it is context. Where a round
+   doesn't halve the pairs of open points and members, windows don't prune, and all open
+   points become pivots, in blocks of PIVOTS_AT_ONCE.
 4. Leaves. In regions of up to LEAF points one task computes all distances.
 
 Everything is exact; a window or a leaf only skips pairs that can't link or are joined by
@@ -56,6 +59,8 @@ LEAF = 128
 PIVOTS = 16
 PIVOTS_AT_ONCE = 4096
 CHUNK = 128
+SHRINK = 0.5  # a round that leaves a larger share of pairs is the last
+WIDE = 8  # chunks that are measured as one where it was
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 EDGE = T.StructType().add("a", T.LongType()).add("b", T.LongType())
 
@@ -339,17 +344,31 @@ def _join_large(members: DataFrame, order: DataFrame, percent: int) -> DataFrame
     # What this round measures: the points with their chunks, and the same with their sets.
     places = members.select("region", "point", "salts", F.lit(True).alias("open"))
     active = members.select("region", "point", "salt", "data")
+    before = None
     while True:
-        opened = materialise(places.filter("open").groupBy("region").agg(F.count(F.lit(1)).alias("n")), "opened")
-        last = opened.agg(F.max("n")).first()[0] <= PIVOTS_AT_ONCE
+        opened = materialise(places.groupBy("region").agg(F.count_if("open").alias("n"), F.count(F.lit(1)).cast("double").alias("members")), "opened")
+        most, pairs = opened.agg(F.max("n"), F.sum(F.col("n") * F.col("members"))).first()
+        last = most <= PIVOTS_AT_ONCE or (before is not None and pairs > SHRINK * before)
+        before = pairs
         # All open points, or the least order of each bucket of them; combined before the shuffle.
         bucket = F.col("point") if last else F.pmod(F.xxhash64("point", F.lit(2)), F.lit(PIVOTS))
         chosen = places.filter("open").join(order, "point").groupBy("region", bucket.alias("bucket")).agg(F.min(F.struct("order", "point")).alias("p"), F.max("salts").alias("salts"))
         pivots = materialise(chosen.select("region", "bucket", F.col("p.point").alias("point"), "salts"), "pivots")
         sets = materialise(data.join(pivots, "point").select("region", "bucket", "point", "salts", "data"), "pivot-sets")
-        dealt = sets.select("region", "bucket", "point", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        early = most > PIVOTS_AT_ONCE if last else False
+        width = WIDE if early else 1
+        dealt = sets.select("region", "bucket", "point", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("salts") - 1) / width))).alias("salt"))
+        chunks = active.withColumn("salt", F.floor(F.col("salt") / width))
+        keys = ["region", "salt"]
+        if early:  # each chunk meets each block of pivots
+            blocks = F.broadcast(opened.filter(F.col("n") > PIVOTS_AT_ONCE).select("region", F.ceil(F.col("n") / PIVOTS_AT_ONCE).alias("blocks")))
+            count = F.coalesce("blocks", F.lit(1).cast("long"))
+            dealt = dealt.join(blocks, "region", "left").withColumn("block", F.pmod(F.xxhash64("bucket", F.lit(3)), count))
+            chunks = chunks.join(blocks, "region", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+            keys.append("block")
+        dealt, chunks = dealt.select(*keys, "bucket", "point", "data"), chunks.select(*keys, "point", "data")
         rows = partial(_distances, percent=percent, links_only=last)
-        measured = materialise(active.groupBy("region", "salt").cogroup(dealt.groupBy("region", "salt")).applyInArrow(partial(_measure, rows), DISTANCES), "distances")
+        measured = materialise(chunks.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(partial(_measure, rows), DISTANCES), "distances")
         found = measured.select(F.explode("links").alias("a"), F.col("point").alias("b")).filter("a <> b")
         links = materialise(links.unionByName(found), "links")
         if last:
@@ -361,8 +380,9 @@ def _join_large(members: DataFrame, order: DataFrame, percent: int) -> DataFrame
         outside = rooted.join(largest, "origin").filter("root <> m.root").select("point").distinct().withColumn("outside", F.lit(True))
         was_pivot = pivots.select("region", "point").distinct().withColumn("pivot", F.lit(True))
         state = measured.select("region", "point", "nearest", F.explode(F.arrays_zip("buckets", "distances")).alias("z")).select("region", "point", "nearest", "z.buckets", "z.distances")
-        state = state.join(outside, "point", "left").join(was_pivot, ["region", "point"], "left")
-        state = state.withColumn("open", F.col("outside").isNotNull() & F.col("pivot").isNull() & (F.col("nearest") == F.col("buckets"))).drop("outside", "pivot", "nearest")
+        was_open = places.select("region", "point", F.col("open").alias("was_open"))
+        state = state.join(was_open, ["region", "point"]).join(outside, "point", "left").join(was_pivot, ["region", "point"], "left")
+        state = state.withColumn("open", F.col("was_open") & F.col("outside").isNotNull() & F.col("pivot").isNull() & (F.col("nearest") == F.col("buckets"))).drop("was_open", "outside", "pivot", "nearest")
         state = materialise(state, "state")
         window = materialise(state.filter("open").groupBy("region", "buckets").agg(F.min("distances").alias("low"), F.max("distances").alias("high")), "windows")
         inside = state.join(window, ["region", "buckets"]).filter((F.col("distances") >= F.col("low") - edge) & (F.col("distances") <= F.col("high") + edge))

@@ -63,6 +63,33 @@ def test_keep_one_and_no_rows(spark):
     assert jj.join(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shrink", [0.5, 1.0])
+def test_regions_that_windows_do_not_prune(spark, monkeypatch, shrink):
+    for name, value in (("PIVOTS", 4), ("PIVOTS_AT_ONCE", 4), ("CHUNK", 2), ("SHRINK", shrink)):
+        monkeypatch.setattr(jj, name, value, raising=False)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = [np.sort(np.concatenate((base[: rng.integers(76, 80)], rng.integers(0, 2**63, 20, dtype=np.uint64)))) for _ in range(30)]
+    sets += [np.delete(s, 3) for s in sets[:3]]
+    rows = [(1, i, i // 2, 17, jj.pack_sorted(s)) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "region long, point long, salt long, salts long, data binary")
+    order = spark.createDataFrame([(i, i) for i in range(len(sets))], "point long, order long")
+    write, rounds = jj.materialise, []
+
+    def watch(df, label):
+        df = write(df, label)
+        if label == "opened":
+            rounds.append(1)
+            assert len(rounds) <= (2 if shrink < 1 else 10)
+        if label == "regions":
+            assert (df.filter("open").groupBy("point").count().agg({"count": "max"}).first()[0] or 0) <= 1
+        return df
+
+    monkeypatch.setattr(jj, "materialise", watch)
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in jj._join_large(members, order, 85).collect()}
+    assert found == {(0, 30), (1, 31), (2, 32)}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10**6))
 def test_linked_sets_share_a_cell(size, lose, gain, seed):
