@@ -367,15 +367,15 @@ def blocks(reader: Reader, movie: Movie, numbers: set[int] | None = None, begin:
     """(position, track, pts, decoded data) of PGS blocks whose cluster starts in [begin, end).
 
     With ``auto`` and cues for the wanted tracks, only what they point to is read, within
-    ``times`` (ticks); otherwise every cluster is. Blocks that can't be inflated are left out.
+    ``times`` (ticks); otherwise, or where no cue is left, every cluster is. Blocks that can't be inflated are left out.
     """
     wanted = {t.number: t for t in movie.tracks if numbers is None or t.number & 0xFFFFFFFF in numbers}
     end = reader.size if end is None else end
     cues = [c for c in movie.cues if c.track in wanted] if strategy == "auto" else []
+    low, high = times
+    cues = [c for c in cues if (low is None or movie.pts(c.time) >= low) and (high is None or movie.pts(c.time) <= high)]
     if cues:
-        low, high = times
-        cues = [c for c in cues if begin <= c.cluster < end and (low is None or movie.pts(c.time) >= low) and (high is None or movie.pts(c.time) <= high)]
-        found = cue_blocks(reader, movie, cues, wanted)
+        found = cue_blocks(reader, movie, [c for c in cues if begin <= c.cluster < end], wanted)
     else:
         found = (b for p in clusters(reader, movie, begin, end) for b in cluster_blocks(reader, p, wanted, strategy == "sequential"))
     for at, track, time, data in found:

@@ -301,3 +301,18 @@ def test_set_cut_between_batches():
     out = [row for p in parts for frame in _push(("f", 0), iter([pd.DataFrame([p], columns=names)]), state) for row in frame.itertuples()]
     assert [(r.index, len(r.segments)) for r in [type("R", (), {"index": o[4], "segments": o[8]}) for o in out]] == [(0, 5), (1, 2)]
     assert codec.state_of(out[0][8][0]["payload"]) == "epoch_start"
+
+
+def test_matroska_scans_clusters_where_no_cue_is_left(media):
+    reader = Reader((media / "cues.mkv").read_bytes())
+    movie = mkv.read_movie(reader)
+    every = list(mkv.blocks(reader, movie, strategy="sequential"))
+    cue = min(movie.cues)
+    movie.cues = [cue]
+    low, half = movie.pts(cue.time) + 1, every[len(every) // 2][0]
+    assert [b[:3] for b in mkv.blocks(reader, movie, times=(None, low))] == [every[0][:3]]
+    assert list(mkv.blocks(reader, movie, times=(low, None))) == every
+    # Splits agree: a cue that lies in another split still is one.
+    parts = [list(mkv.blocks(reader, movie, begin=a, end=b, times=(low, None))) for a, b in ((0, half), (half, None))]
+    assert sorted(x for part in parts for x in part) == sorted(every)
+    assert list(mkv.blocks(reader, movie, begin=cue.cluster + 1)) == []
