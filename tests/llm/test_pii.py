@@ -4,7 +4,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glyphstream.llm.pii import base_spans, find, luhn, made_up, redact, all_spans, trained
+from glyphstream.llm.pii import base_spans, find, luhn, made_up, redact, all_spans, trained, zones
 
 
 def plain(text):
@@ -51,3 +51,13 @@ def test_tables(spark):
     clean = redact(docs).collect()
     assert clean[0].text == "[email] É [ip], call [phone]" and clean[1].text is None and clean[0].spans == "s"
     assert find(docs.limit(0)).count() == 0
+
+
+def test_gates_let_through_what_the_model_knows():
+    long = "n" * 120
+    for entity in ("8 . 8 . 8 . 8", "10 . 0 . 0 . 1", "jane (AT) host (DOT) com", "jane AT host DOT com", f"{long} (at) host (dot) com", "jane (at) a.b.c.d.e.com"):
+        text = f"write to {entity}, please"
+        assert [text[a:b] for a, b in zones(text)] == [entity], entity
+    for kind, entity in (("ip", "10 . 0 . 0 . 1"), ("email", "jane (AT) host (DOT) com"), ("email", f"{long} (at) host (dot) com")):
+        text = f"write to {entity}, please"
+        assert (kind, 9, 9 + len(entity)) in all_spans(text, trained())[1], entity
