@@ -1,9 +1,15 @@
 """Blocks of documents, and the exchange of packed keys between blocks and key ranges.
 
 Operators that count keys over the whole corpus would shuffle a row for each word. Instead
-the documents are written once as blocks of compressed text. Each block sends its distinct
-keys, sorted and packed, to the ranges that own them, and each range answers every block in
-the block's own order. So a key that a third of the corpus shares travels once a block.
+the documents are written once as blocks: of compressed text, or of coded words (the block's
+sorted vocabulary of word hashes, and a number into it for each word). Each block sends its
+distinct keys, sorted and packed, to the ranges that own them, and each range answers every
+block in the block's own order. So a key that a third of the corpus shares travels once a
+block. Ranges are as many as the input's size asks for, so that a range's keys fit a task; a
+message has at least one key, so there are never more rows than distinct keys of blocks.
+
+Words are what stands between ASCII white space. A word's hash is a polynomial over random
+64-bit numbers, one for each byte, computed for all words of a block in a few array passes.
 """
 
 from __future__ import annotations
@@ -18,10 +24,102 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._scratch import materialise, texts, utf8_values
+from ._scratch import input_bytes, materialise, texts, utf8_values, width
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
+MESSAGE_BYTES = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
+M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+PIECE = 1 << 17  # bytes hashed at once
+OWNER_BITS = 12  # a block has at most 2**12 documents
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * M1
+    x = (x ^ (x >> np.uint64(27))) * M2
+    return x ^ (x >> np.uint64(31))
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    """base**0 .. base**(n - 1), modulo 2**64."""
+    out, done = np.ones(n, dtype=np.uint64), 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
+        done += more
+    return out
+
+
+UP, DOWN = powers(PIECE + 1, int(BASE)), powers(PIECE + 1, pow(int(BASE), -1, 1 << 64))
+VALUES = mix(np.arange(1, 257, dtype=np.uint64))
+INSIDE = np.ones(256, dtype=bool)
+INSIDE[[9, 10, 11, 12, 13, 32]] = False
+
+
+def word_hashes(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word, words of each text) of the texts data[at[i]:at[i + 1]]."""
+    raw, at = np.frombuffer(data, dtype=np.uint8), np.asarray(at, dtype=np.int64)
+    inside = INSIDE[raw]
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    edge = at[(at > 0) & (at < len(raw))]
+    begin[edge], end[edge - 1] = inside[edge], inside[edge - 1]
+    begins, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    out, done = np.empty(len(begins), dtype=np.uint64), 0
+    while done < len(begins):
+        first = int(begins[done])
+        upto = int(np.searchsorted(ends, first + PIECE, side="right"))
+        if upto == done:  # a word longer than a piece
+            out[done] = xxhash.xxh64_intdigest(data[first : ends[done]])
+            done += 1
+            continue
+        part = raw[first : ends[upto - 1]]
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(VALUES[part] * UP[: len(part)], out=total[1:])
+        a, b = begins[done:upto] - first, ends[done:upto] - first
+        out[done:upto] = mix((total[b] - total[a]) * DOWN[a] + (b - a).astype(np.uint64))
+        done = upto
+    return out, np.diff(np.searchsorted(begins, at))
+
+
+def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Rabin-Karp: the polynomial hash, modulo 2**64, of the n values from each place on.
+
+    Windows double: that of a + b values is that of a, times base**b, plus that of b. The
+    last n - 1 places have no window.
+    """
+    done, covered, power = None, 0, [hashes, 1, BASE]
+    out_n = n
+    while n:
+        piece, size, factor = power
+        if n & 1:
+            if done is None:
+                done, covered = piece, size
+            else:
+                keep = len(done) - size
+                done = done[:keep] * factor + piece[covered : covered + keep]
+                covered += size
+        n >>= 1
+        if n:
+            keep = max(0, len(piece) - size)
+            power = [piece[:keep] * factor + piece[size : size + keep], 2 * size, np.uint64(int(factor) ** 2 & (1 << 64) - 1)]
+    return done[: max(0, len(hashes) - out_n + 1)]
+
+
+def places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, place within it) of every word."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def ranges_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of 64-bit keys begins in the sorted keys, and the end."""
+    edges = np.array([(i << 64) // parts for i in range(parts)], dtype=np.uint64)
+    return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+# Packing
 
 
 def pack_bytes(data: bytes) -> bytes:
@@ -33,28 +131,53 @@ def unpack_bytes(data: bytes) -> bytes:
 
 
 def pack_ints(values: np.ndarray) -> bytes:
-    """Non-negative integers, as planes of bytes that compress well."""
-    planes = np.ascontiguousarray(values, dtype="<u8").view(np.uint8).reshape(-1, 8).T
-    return pack_bytes(np.ascontiguousarray(planes).tobytes())
+    """Non-negative integers, as planes of bytes that compress well; as many planes as the largest needs."""
+    values = np.ascontiguousarray(values, dtype="<u8")
+    planes = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    rows = values.view(np.uint8).reshape(-1, 8)[:, :planes].T
+    return bytes([planes]) + pack_bytes(np.ascontiguousarray(rows).tobytes())
 
 
 def unpack_ints(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(unpack_bytes(data), dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+    planes = data[0]
+    rows = np.frombuffer(unpack_bytes(data[1:]), dtype=np.uint8).reshape(planes, -1)
+    out = np.zeros((rows.shape[1], 8), dtype=np.uint8)
+    out[:, :planes] = rows.T
+    return out.view("<u8").reshape(-1)
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    return pack_ints(np.diff(values, prepend=np.uint64(0)))
+    return pack_ints(np.diff(values, prepend=np.zeros(1, dtype=values.dtype)))
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack_ints(data), dtype=np.uint64)
 
 
-def write_blocks(docs: DataFrame, id_col: str, text_col: str, label: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, ids, sizes, data): the documents, about block_bytes of text together."""
-    source = texts(docs, id_col, text_col)
-    schema = T.StructType().add("block", T.LongType()).add("ids", T.ArrayType(source.schema["id"].dataType)).add("sizes", T.BinaryType()).add("data", T.BinaryType())
+def pack_parts(*parts: bytes) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def unpack_parts(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
+
+
+# Blocks
+
+BLOCK = ("block", "ids", "sizes", "data")
+
+
+def _write(docs: DataFrame, id_col: str, text_col: str, label: str, make: Callable[[bytes, np.ndarray], tuple[np.ndarray, bytes]]) -> DataFrame:
+    """(block, ids, sizes, data): ``make`` turns a block's bytes and offsets into sizes and data."""
+    source, size = texts(docs, id_col, text_col), input_bytes(docs)
+    source = source.coalesce(width(docs.sparkSession, size))
+    kinds = [T.LongType(), T.ArrayType(source.schema["id"].dataType), T.BinaryType(), T.BinaryType()]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(BLOCK, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -63,100 +186,80 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, label: str, block_
         ids, sizes, parts, held = [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            values = [[block], [ids], [pack_ints(np.array(sizes, dtype=np.uint64))], [pack_bytes(b"".join(parts))]]
+            at = np.concatenate(([0], np.cumsum(sizes)))
+            found, data = make(b"".join(parts), at)
+            values = [[block], [ids], [pack_ints(found)], [data]]
             return pa.record_batch([pa.array(v, type=f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for begin in range(0, batch.num_rows, 128):
+                part = batch.slice(begin, 128)
                 data, at = utf8_values(part.column(1))
                 ids += part.column(0).to_pylist()
                 sizes += np.diff(at).tolist()
                 parts.append(data[at[0] : at[-1]])
                 held += at[-1] - at[0]
-                if held >= block_bytes:
+                if held >= BLOCK_BYTES or len(ids) > (1 << OWNER_BITS) - 128:
                     yield row()
                     ids, sizes, parts, held, block = [], [], [], 0, block + 1
         if ids:
             yield row()
 
-    return materialise(source.mapInArrow(run, schema), label)
+    return materialise(source.mapInArrow(run, schema), label, size)
 
 
-def block_texts(row: dict) -> list[bytes]:
-    """The texts of a block, in UTF-8."""
-    data, at = unpack_bytes(row["data"]), np.concatenate(([0], np.cumsum(unpack_ints(row["sizes"])))).astype(np.int64).tolist()
-    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+def write_blocks(docs: DataFrame, id_col: str, text_col: str, label: str) -> DataFrame:
+    """The documents as blocks of compressed text."""
+    return _write(docs, id_col, text_col, label, lambda data, at: (np.diff(at), pack_bytes(data)))
 
 
-def word_hashes(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word, words of each text)."""
-    sizes = np.array([len(words) for words in split], dtype=np.int64)
-    code: dict[bytes, int] = {}
-    codes = np.fromiter((code.setdefault(w, len(code)) for words in split for w in words), dtype=np.int64, count=int(sizes.sum()))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, code), dtype=np.uint64, count=len(code))
-    return hashes[codes], sizes
+def write_coded(docs: DataFrame, id_col: str, text_col: str, label: str) -> DataFrame:
+    """The documents as blocks of coded words, A-Z lower-cased; sizes count words."""
 
+    def make(data: bytes, at: np.ndarray) -> tuple[np.ndarray, bytes]:
+        hashes, sizes = word_hashes(data.lower(), at)
+        vocabulary, codes = np.unique(hashes, return_inverse=True)
+        return sizes, pack_parts(pack_sorted(vocabulary), pack_ints(codes))
 
-def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Rabin-Karp: the polynomial hash, modulo 2**64, of the n values from each place on.
+    return _write(docs, id_col, text_col, label, make)
 
-    Windows double: that of a + b values is that of a, times base**b, plus that of b. The
-    last n - 1 places have no window.
-    """
-    done, width, power = None, 0, [hashes, 1, BASE]
-    out_n = n
-    while n:
-        piece, size, factor = power
-        if n & 1:
-            if done is None:
-                done, width = piece, size
-            else:
-                keep = len(done) - size
-                done = done[:keep] * factor + piece[width : width + keep]
-                width += size
-        n >>= 1
-        if n:
-            keep = max(0, len(piece) - size)
-            power = [piece[:keep] * factor + piece[size : size + keep], 2 * size, np.uint64(int(factor) ** 2 & (1 << 64) - 1)]
-    return done[: max(0, len(hashes) - out_n + 1)]
 
+def block_texts(row: dict) -> tuple[bytes, np.ndarray]:
+    """(the texts of a block in UTF-8, one after the other; where each begins, and the end)."""
+    return unpack_bytes(row["data"]), np.concatenate(([0], np.cumsum(unpack_ints(row["sizes"])))).astype(np.int64)
 
-def places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, place within it) of every word."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
+def block_words(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vocabulary, number into it of each word, words of each text) of a coded block."""
+    vocabulary, codes = unpack_parts(row["data"])
+    return unpack_sorted(vocabulary), unpack_ints(codes).astype(np.int64), unpack_ints(row["sizes"]).astype(np.int64)
 
-def ranges_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of ``parts`` equal ranges of 64-bit keys begins in the sorted keys, and the end."""
-    edges = np.array([(i << 64) // parts for i in range(parts)], dtype=np.uint64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
 
+# The exchange
 
 EXCHANGE = T.StructType().add("part", T.IntegerType()).add("block", T.LongType()).add("payload", T.BinaryType())
 
 
-def send(blocks: DataFrame, make: Callable[[dict], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
-    """Rows (part, block, payload) that ``make`` yields for each block."""
+def send(blocks: DataFrame, make: Callable[[dict], Iterator[tuple]], schema: T.StructType = EXCHANGE) -> DataFrame:
+    """Rows of schema, (part, block, payload), that ``make`` yields for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(EXCHANGE)
+        arrow = to_arrow_schema(schema)
         for batch in batches:
             for i in range(batch.num_rows):
                 yield from _batches(make(batch.slice(i, 1).to_pylist()[0]), arrow)
 
-    return blocks.mapInArrow(run, EXCHANGE)
+    return blocks.mapInArrow(run, schema)
 
 
-def _batches(rows: Iterator[tuple], arrow: pa.Schema, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += sum(len(v) for v in row if isinstance(v, bytes))
-        if size >= limit:
+        size += 64 + sum(len(v) for v in row if isinstance(v, bytes))
+        if size >= MESSAGE_BYTES:
             yield _batch(held, arrow)
             held, size = [], 0
     if held:
@@ -170,12 +273,11 @@ def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
 def answer(sent: DataFrame, schema: T.StructType, reply: Callable[[int, list[dict]], Iterator[tuple]]) -> DataFrame:
     """Bring each range's rows together; ``reply`` makes rows of schema out of (part, rows by block)."""
 
-    def run(group: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
-        rows = sorted(group.to_pylist(), key=lambda r: r["block"])
-        return pa.Table.from_batches(list(_batches(reply(rows[0]["part"], rows), arrow)), schema=arrow)
+        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: -1 if r["block"] is None else r["block"])
+        yield from _batches(reply(rows[0]["part"], rows), to_arrow_schema(schema))
 
     return sent.groupBy("part").applyInArrow(run, schema)
 

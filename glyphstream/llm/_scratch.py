@@ -37,10 +37,32 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
+# A written table's row groups are held in memory until they are full; Spark's default is 128 MB.
+ROW_GROUP_BYTES = 16 << 20
+TASK_BYTES = 16 << 20
+RANGE_BYTES = 4 << 20
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of df's size, as files hold it; for sources that can't tell, a task's share for each core."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 52 else df.sparkSession.sparkContext.defaultParallelism * TASK_BYTES
+
+
+def width(spark: SparkSession, size: int) -> int:
+    """Tasks for ``size`` bytes: a task for each TASK_BYTES, and two for each core at least."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
+def materialise(df: DataFrame, label: str, size: int = 0) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``size`` is a bound on its bytes, or on those it is made of; no more tasks write files
+    than that needs, however many partitions a session deals shuffles to.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.coalesce(width(df.sparkSession, size)).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,9 +86,9 @@ def delete_scratch() -> None:
 atexit.register(delete_scratch)
 
 
-def exchange_partitions(spark: SparkSession) -> int:
-    """Ranges into which packed key blocks are dealt: a few for each shuffle partition."""
-    return 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def exchange_ranges(size: int) -> int:
+    """Ranges into which the keys of ``size`` bytes of documents are dealt, RANGE_BYTES for each."""
+    return max(16, -(-size // RANGE_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,10 +96,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) alone, null texts as empty ones; all other columns stay behind."""
+    """(id, text) alone, null texts as empty ones; all other columns stay behind.
+
+    Bounds the session's Arrow batches, as rows here are whole texts: a batch of 10,000 of them
+    is held twice, by the JVM and by the Python worker.
+    """
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    for key, most in BATCH.items():
+        if not 0 < int(spark.conf.get(key).removesuffix("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
 def held_out(id_col, remainder: int):
     """crc32(id as text) mod 5 equals remainder; a null id counts as not held out."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == remainder, F.lit(False))

@@ -22,21 +22,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._blocks import EXCHANGE, answer, block_texts, finish, pack_bytes, pack_sorted, places, ranges_of, rolling, send, unpack_bytes, unpack_sorted, word_hashes, write_blocks
-from ._scratch import exchange_partitions, materialise, table
+from ._scratch import exchange_ranges, input_bytes, materialise, table, width
 
 SIZE = 35
 
 
-def _windows(split: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(data: bytes, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of all windows, the words where they start, words of each text)."""
-    words, sizes = word_hashes(split)
+    words, sizes = word_hashes(data, at)
     owner, place = places(sizes)
     starts = np.flatnonzero(place + size <= sizes[owner]) if len(words) else np.zeros(0, np.int64)
     return rolling(words, size)[starts] if len(starts) else np.zeros(0, np.uint64), starts, sizes
 
 
 def _keys(row: dict, size: int, parts: int) -> Iterator[tuple[int, int, bytes]]:
-    hashes, _, _ = _windows([t.split() for t in block_texts(row)], size)
+    hashes, _, _ = _windows(*block_texts(row), size)
     keys, count = np.unique(hashes, return_counts=True)
     at = ranges_of(keys, parts)
     for part in np.flatnonzero(np.diff(at)).tolist():
@@ -52,7 +52,7 @@ def _repeated(part: int, rows: list[dict]) -> Iterator[tuple[int, int, bytes]]:
         keys.append(unpack_sorted(row["payload"][8 : 8 + size]))
         twice.append(np.unpackbits(np.frombuffer(unpack_bytes(row["payload"][8 + size :]), dtype=np.uint8))[: len(keys[-1])])
     joined = np.concatenate(keys)
-    order = np.argsort(joined, kind="stable")
+    order = np.argsort(joined)
     ordered = joined[order]
     same = ordered[1:] == ordered[:-1]
     group = np.concatenate(([0], np.cumsum(~same)))
@@ -68,8 +68,8 @@ def _repeated(part: int, rows: list[dict]) -> Iterator[tuple[int, int, bytes]]:
 
 
 def _cut(block: dict, answers: list[dict], size: int, parts: int) -> Iterator[tuple]:
-    split = [t.split() for t in block_texts(block)]
-    hashes, starts, sizes = _windows(split, size)
+    data, texts_at = block_texts(block)
+    hashes, starts, sizes = _windows(data, texts_at, size)
     keys, at_key = np.unique(hashes, return_inverse=True)
     at = ranges_of(keys, parts)
     repeated = np.zeros(len(keys), dtype=bool)
@@ -81,7 +81,8 @@ def _cut(block: dict, answers: list[dict], size: int, parts: int) -> Iterator[tu
     step = np.bincount(hit, minlength=int(sizes.sum()) + 1) - np.bincount(hit + size, minlength=int(sizes.sum()) + 1)
     removed = np.cumsum(step[:-1]) > 0
     begin = 0
-    for key, words in zip(block["ids"], split, strict=True):
+    for key, a, b in zip(block["ids"], texts_at.tolist(), texts_at[1:].tolist(), strict=False):
+        words = data[a:b].split()
         mask = removed[begin : begin + len(words)]
         begin += len(words)
         edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
@@ -92,13 +93,13 @@ def _cut(block: dict, answers: list[dict], size: int, parts: int) -> Iterator[tu
 
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """id, n_words, n_removed, kept (words joined by one space, UTF-8), removed (word intervals)."""
-    blocks = write_blocks(docs, id_col, text_col, "substrings")
-    parts = exchange_partitions(docs.sparkSession)
-    answers = materialise(answer(send(blocks, lambda row: _keys(row, size, parts)), EXCHANGE, _repeated), "repeats")
+    total, blocks = input_bytes(docs), write_blocks(docs, id_col, text_col, "substrings")
+    parts = exchange_ranges(total)
+    answers = materialise(answer(send(blocks, lambda row: _keys(row, size, parts)), EXCHANGE, _repeated), "repeats", total)
     id_type = blocks.schema["ids"].dataType.elementType
     schema = T.StructType().add(id_col, id_type).add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept", T.BinaryType())
     schema = schema.add("removed", T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType())))
-    return finish(blocks, answers, schema, lambda block, rows: _cut(block, rows, size, parts))
+    return finish(blocks, answers, schema, lambda block, rows: _cut(block, rows, size, parts)).coalesce(width(docs.sparkSession, total))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
