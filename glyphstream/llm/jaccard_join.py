@@ -3,37 +3,39 @@
 Documents are sets of word shingles; those that are equal as sets are one point. Jaccard
 distance is a metric, and points link at a distance of at most e = 1 - threshold.
 
-1. Cells. Unrelated texts are all at distance one from any document, so documents alone
-   make poor first pivots: a cell would hold nearly all points. The first pivots are small
-   sets instead. All shingles are dealt into m slices, and in each slice a point lies in the
-   cell of the pivot that equals its part there. Linked points differ in at most k shingles,
-   where k follows from e and the size; with m = k + 1 + r slices they share a cell in more
-   than r of them. So each point may leave out its r smallest parts, as long as it leaves out
-   all of a size or none: parts of one or two shingles say little, and most are left out.
-   Sizes are cut into classes that link with the next class only; m goes by class.
-2. Regions. Points that share cells, directly or in steps, form a region. Regions of more than
-   LEAF points are dealt into other slices and fall apart again, up to DEALS times: chance
-   meetings don't repeat, links always do.
-3. Pivots. Where a region has at most PIVOTS_AT_ONCE points, each is a pivot, to which the
-   others are compared in chunks. In a larger one PIVOTS points are chosen, and every point
-   learns its distances to them: links within e are found, the nearest pivot names a point's
-   Voronoi cell. What the links join into the region's largest component is settled. Only the
-   others are worked on: each Voronoi cell that has some keeps the points whose distance to
-   its pivot is within e of theirs (the triangle inequality lets no link leave that window),
-   and becomes a region of the next round, with those others as its candidates for pivots.
-   A point is open in one region only: in its windows elsewhere it is context. Where a round
-   doesn't halve the pairs of open points and members, windows don't prune, and all open
-   points become pivots, in blocks of PIVOTS_AT_ONCE.
-4. Leaves. In regions of up to LEAF points one task computes all distances.
-
-Everything is exact; a window or a leaf only skips pairs that can't link or are joined by
-other links. Stars of links stand for cells and groups of copies, never all their pairs.
+1. Which pivots are near. Unrelated texts are all at distance one from each other, so pivots
+   drawn at random tell nearly all points nothing: every triangle window holds everything.
+   Pivots therefore come out of the data. All shingles are dealt into m slices; in each slice
+   the points that have an equal part there share a cell, and the cell's least point is its
+   centre. Linked points differ in at most k shingles, where k follows from e and the size;
+   with m = k + 1 + r slices they share more than r cells. So each point may leave out its r
+   smallest parts, as long as it leaves out all of a size or none: parts of one or two
+   shingles say little, and most are left out. Sizes are cut into classes that link with the
+   next class only; m goes by class. Centres are the first pivots, and a point belongs to the
+   region of each centre that it shares a cell with, so two linked points have a region in
+   common. No distance to any other pivot is worth computing.
+2. Windows. In a region all distances to its centre are computed. Points within e of it link
+   and are settled: what links join to the centre needs no further links among itself. The
+   others are open. An open point is compared with those members only whose distance to the
+   pivot is within e of its own: the triangle inequality lets no link leave that window.
+3. Recursion. Where open points and members are many, PIVOTS open points far apart become
+   pivots, the other open points fall into the Voronoi cell of the nearest, and each cell
+   takes the members in the windows of its open points along: boundary documents are
+   replicated, while a point is open in one cell only. Cells are regions in turn. Where that
+   doesn't halve the pairs left, windows don't prune, and the open points are compared with
+   the members that are left, each in its window.
+4. Regions of at most REGION_SHINGLES shingles are solved by one task; in larger ones the same
+   rounds run over the cluster, members in chunks, pivots dealt to them.
+
+Everything is exact: a window only skips pairs that can't link or are joined by other links.
+Stars around centres stand for cells and groups of copies, never all their pairs.
 
 A-Z are lower-cased, words are what stands between ASCII white space. A text of fewer words
 than a shingle, but not none, is one shingle as a whole; a text without words, or null, is
 empty, links with nothing and is a component of its own. Repeated rows are equal points; null
 ids link like others but never name a component unless no member has an id. Other columns
-stay behind. Shingles and sets are told apart by 64-bit hashes, equal sets by 128 bits.
+stay behind. Shingles are told apart by 52-bit hashes within a pair of documents, points by
+64 bits, equal sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -47,33 +49,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._blocks import EXCHANGE, _batches, answer, block_texts, finish, pack_sorted, places, ranges_of, rolling, send, unpack_sorted, word_hashes, write_blocks
-from ._scratch import discard, exchange_partitions, materialise, table
+from ._blocks import M1, M2, OWNER_BITS, _batches, answer, block_words, finish, mix, pack_sorted, places, ranges_of, rolling, send, unpack_sorted, write_coded
+from ._scratch import RANGE_BYTES, discard, exchange_ranges, input_bytes, materialise, table, width
 from .components import components
 
 SHINGLE = 4
 PERCENT = 85
 SPARE = 0.4  # r, as a share of k + 1
-DEALS = 3
-LEAF = 128
+LEAF = 64
 PIVOTS = 16
-PIVOTS_AT_ONCE = 4096
-CHUNK = 128
+REGION_SHINGLES = 3_000_000
+PIVOTS_AT_ONCE = 512
+CHUNK_SHINGLES = 50_000
 SHRINK = 0.5  # a round that leaves a larger share of pairs is the last
 WIDE = 8  # chunks that are measured as one where it was
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+SLACK = 1e-12
+KEEP = np.uint64(64 - OWNER_BITS)
+LOW = np.uint64((1 << 64 - OWNER_BITS) - 1)
 EDGE = T.StructType().add("a", T.LongType()).add("b", T.LongType())
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * M1
-    x = (x ^ (x >> np.uint64(27))) * M2
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(vocabulary: np.ndarray, codes: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes of all texts, each text's sorted; their number for each text)."""
-    words, sizes = word_hashes([t.lower().split() for t in texts])
+    words = vocabulary[codes]
     owner, place = places(sizes)
     full = np.flatnonzero(place + n <= sizes[owner]) if len(words) else np.zeros(0, np.int64)
     parts, owners = [mix(rolling(words, n)[full]) if len(full) else np.zeros(0, np.uint64)], [owner[full]]
@@ -85,21 +83,21 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
             value = value * np.uint64(0x9E3779B97F4A7C15) + words[begins[short] + j]
         parts.append(mix(value ^ np.uint64(length)))
         owners.append(short)
-    hashes, owner = np.concatenate(parts), np.concatenate(owners)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.ones(len(hashes), dtype=bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[new], np.bincount(owner[new], minlength=len(texts))
+    # One sort: the text's number above what is left of the hash.
+    keys = np.sort(np.concatenate(parts) & LOW | np.concatenate(owners).astype(np.uint64) << KEEP)
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    keys = keys[new]
+    edge = np.searchsorted(keys, np.arange(len(sizes), dtype=np.uint64) << KEEP)
+    return keys & LOW, np.diff(np.append(edge, len(keys)))
 
 
 def set_keys(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit keys for each set; zeros for an empty one."""
-    out = np.zeros((2, len(sizes)), dtype=np.uint64)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    np.add.at(out[0], owner, mix(hashes + np.uint64(1)))
-    np.add.at(out[1], owner, mix(hashes ^ M1))
-    return mix(out[0]), mix(out[1] + np.uint64(7))
+    """Two 64-bit keys for each set; those of an empty one are equal everywhere."""
+    edge = np.concatenate(([0], np.cumsum(sizes)))
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(x), dtype=np.uint64))) for x in (hashes + np.uint64(1), hashes ^ M1)]
+    one, two = (x[edge[1:]] - x[edge[:-1]] for x in sums)
+    return mix(one), mix(two + np.uint64(7))
 
 
 class Classes:
@@ -120,169 +118,190 @@ class Classes:
         return np.searchsorted(self.first, sizes, side="right") - 1
 
 
-def cells(hashes: np.ndarray, sizes: np.ndarray, percent: int, deal: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, number of the set) for each cell of each set that isn't empty; ``deal`` numbers the ways to slice."""
+def cells(hashes: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, number of the set) for each cell of each set that isn't empty."""
     out, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     classes = Classes(percent, int(sizes.max(initial=1)))
     own = classes.of(np.maximum(sizes, 1))
-    salt = mix(np.array([deal + 1], dtype=np.uint64))[0]
+    value = mix(hashes ^ M2)
     for below in (0, 1):
         level = own - below
         slices = np.where((level >= 0) & (sizes > 0), classes.slices[np.maximum(level, 0)], 0)
         begins = np.cumsum(slices) - slices
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        used = slices[owner] > 0
-        owner, values = owner[used], hashes[used]
-        dealt = mix((values ^ salt) + level[owner].astype(np.uint64) * M2)
-        key = begins[owner] + (dealt % slices[owner].astype(np.uint64)).astype(np.int64)
+        each = np.repeat(slices, sizes)
+        dealt = mix(hashes + np.repeat(np.maximum(level, 0).astype(np.uint64) * M2, sizes)) >> np.uint64(32)
+        # Multiplied and shifted, a hash falls into a slice without a division.
+        key = np.repeat(begins, sizes) + (dealt * each.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        used = each > 0
+        key, values = (key, value) if used.all() else (key[used], value[used])
         total = np.zeros(int(slices.sum()), dtype=np.uint64)
-        np.add.at(total, key, mix(values ^ M2))
+        np.add.at(total, key, values)
         filled = np.bincount(key, minlength=len(total))
         of = np.repeat(np.arange(len(sizes)), slices)
         # Parts of up to ``least`` shingles are left out: the most for which there are no more than spare ones.
         spare, least = classes.spare[np.maximum(level, 0)], np.full(len(sizes), -1)
         for size in range(6):
-            few = np.bincount(of, weights=filled <= size, minlength=len(sizes))
+            few = np.bincount(of[filled <= size], minlength=len(sizes))
             least = np.where((few <= spare) & (least == size - 1), size, least)
         sent = filled > least[of]
         number = np.arange(len(total)) - begins[of]
-        name = mix(total + mix(number.astype(np.uint64) * M1 + level[of].astype(np.uint64)) + salt)
+        name = mix(total + mix(number.astype(np.uint64) * M1 + level[of].astype(np.uint64)))
         out.append(name[sent])
         owners.append(of[sent])
     return np.concatenate(out), np.concatenate(owners)
 
 
 def _points(row: dict, n: int) -> Iterator[tuple]:
-    sizes, one, two = (a.tolist() for a in _sized(row, n))
-    for i, key in enumerate(row["ids"]):
-        yield row["block"], i, key, sizes[i], one[i], two[i]
-
-
-def _sized(row: dict, n: int) -> tuple:
-    hashes, sizes = shingle_sets(block_texts(row), n)
+    hashes, sizes = shingle_sets(*block_words(row), n)
     one, two = set_keys(hashes, sizes)
-    return sizes, one.view(np.int64), two.view(np.int64)
+    yield from zip([row["block"]] * len(sizes), range(len(sizes)), row["ids"], sizes.tolist(), one.view(np.int64).tolist(), two.view(np.int64).tolist(), strict=True)
 
 
 def _ask(row: dict, n: int, percent: int, parts: int) -> Iterator[tuple]:
-    hashes, sizes = shingle_sets(block_texts(row), n)
+    """Cells and their points, packed for each range of cells."""
+    hashes, sizes = shingle_sets(*block_words(row), n)
     one, _ = set_keys(hashes, sizes)
     _, first = np.unique(one, return_index=True)
     chosen = np.zeros(len(sizes), dtype=bool)
     chosen[first] = True
-    keep = np.repeat(chosen, sizes)
-    names, owner = cells(hashes[keep], sizes * chosen, percent)
-    yield from _dealt(names, one[owner], parts, row["block"])
-
-
-def _dealt(names: np.ndarray, point: np.ndarray, parts: int, block: int) -> Iterator[tuple]:
-    """Cells and their points, packed for each range of cells."""
+    names, owner = cells(hashes[np.repeat(chosen, sizes)], sizes * chosen, percent)
     order = np.argsort(names)
-    names, point = names[order], point[order]
+    names, point = names[order], one[owner[order]]
     at = ranges_of(names, parts)
     for part in np.flatnonzero(np.diff(at)).tolist():
         own = slice(at[part], at[part + 1])
         payload = pack_sorted(names[own])
-        yield part, block, len(payload).to_bytes(8, "little") + payload + point[own].tobytes()
-
-
-def deal_again(members: DataFrame, percent: int, deal: int, parts: int) -> DataFrame:
-    """(point, region): the regions into which regions fall by other slices; alone in one: left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(EXCHANGE)
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                rows = batch.slice(begin, 512).to_pylist()
-                sets = [unpack_sorted(r["data"]) for r in rows]
-                names, owner = cells(np.concatenate(sets), np.array([len(x) for x in sets]), percent, deal)
-                region = np.array([r["region"] for r in rows]).view(np.uint64)[owner]
-                point = np.array([r["point"] for r in rows])
-                yield from _batches(_dealt(mix(names ^ region), point[owner], parts, begin), arrow)
-
-    sent = members.select("region", "point", "data").mapInArrow(run, EXCHANGE)
-    return components(answer(sent, EDGE, _stars)).select(F.col("node").alias("point"), F.col("root").alias("region"))
-
-
+        yield part, row["block"], len(payload).to_bytes(8, "little") + payload + point[own].tobytes()
 
 
 def _stars(part: int, rows: list[dict]) -> Iterator[tuple]:
-    """(least point, other point) for each cell with several."""
+    """(centre, other point) for each cell with several points."""
     names, points = [], []
     for row in rows:
         size = int.from_bytes(row["payload"][:8], "little")
         names.append(unpack_sorted(row["payload"][8 : 8 + size]))
         points.append(np.frombuffer(row["payload"][8 + size :], dtype=np.int64))
     name, point = np.concatenate(names), np.concatenate(points)
-    order = np.lexsort((point, name))
+    order = np.argsort(name)
     name, point = name[order], point[order]
     first = np.ones(len(name), dtype=bool)
     first[1:] = name[1:] != name[:-1]
-    least = point[first][np.cumsum(first) - 1]
+    least = np.minimum.reduceat(point, np.flatnonzero(first))[np.cumsum(first) - 1]
     differ = least != point
-    for a, b in np.unique(np.stack((least[differ], point[differ]), axis=1), axis=0).tolist():
-        yield a, b
+    yield from map(tuple, np.unique(np.stack((least[differ], point[differ]), axis=1), axis=0).tolist())
 
 
 def _wanted(block: dict, rows: list[dict], n: int) -> Iterator[tuple]:
     if rows:
-        hashes, sizes = shingle_sets(block_texts(block), n)
+        hashes, sizes = shingle_sets(*block_words(block), n)
         begins = np.cumsum(sizes) - sizes
         for r in rows:
             i = r["position"]
-            yield r["region"], r["point"], r["members"], r["salt"], r["salts"], pack_sorted(hashes[begins[i] : begins[i] + sizes[i]])
+            yield r["region"], r["point"], r["shingles"], r["n"], pack_sorted(hashes[begins[i] : begins[i] + sizes[i]])
 
 
 def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * common >= percent * (a + b - common)
 
 
-def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Sizes of all intersections of a left and a right set, as products of incidence matrices."""
-    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(v) for v in x])) for x in (left, right)]
-    shared = np.intersect1d(sides[0][0], sides[1][0])
-    out = np.zeros((len(left), len(right)), dtype=np.int64)
-    found = []
-    for values, owner in sides:
-        at = np.minimum(np.searchsorted(shared, values), max(0, len(shared) - 1))
-        hit = shared[at] == values if len(shared) else np.zeros(len(values), bool)
-        order = np.argsort(at[hit], kind="stable")
-        found.append((at[hit][order], owner[hit][order]))
-    for begin in range(0, len(shared), columns):
-        grids = []
-        for (at, owner), count in zip(found, (len(left), len(right)), strict=True):
-            a, b = np.searchsorted(at, (begin, begin + columns))
-            grid = np.zeros((count, columns), dtype=np.float32)
-            grid[owner[a:b], at[a:b] - begin] = 1
-            grids.append(grid)
-        out += (grids[0] @ grids[1].T).astype(np.int64)
-    return out
-
-
-def _leaves(group: pa.Table, percent: int) -> Iterator[tuple[int, int]]:
-    """Links within each region of the group; enough of them to join what all would join."""
-    regions: dict[int, list[dict]] = {}
-    for row in group.to_pylist():
-        regions.setdefault(row["region"], []).append(row)
-    for rows in regions.values():
-        sets, points = [unpack_sorted(r["data"]) for r in rows], np.array([r["point"] for r in rows])
-        sizes = np.array([len(s) for s in sets])
-        hit = linked(common_counts(sets, sets), sizes[:, None], sizes[None, :], percent)
-        root = list(range(len(rows)))
-
-        def find(i: int, root: list[int] = root) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, j in zip(*np.nonzero(np.triu(hit, 1)), strict=True):
-            a, b = find(int(i)), find(int(j))
-            if a != b:
-                root[b] = a
-                yield int(points[i]), int(points[j])
+class Roots:
+    """Union and find."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root.setdefault(i, i) != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were apart."""
+        a, b = self.find(a), self.find(b)
+        self.root[b] = a
+        return a != b
+
+
+class Region:
+    """The members of a region in memory: finds links that join all that its links join."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+        self.percent, self.edge = percent, 1 - percent / 100 + SLACK
+        self.sizes = np.array([len(s) for s in sets])
+        values, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        shared = count[number] > 1
+        self.values, self.shingle = len(values), number[shared]
+        self.at = np.searchsorted(owner[shared], np.arange(len(sets) + 1))
+        self.roots, self.links = Roots(), []
+
+    def distances(self, members: np.ndarray, to: int) -> np.ndarray:
+        """Distances of members to a point; those that link with it are joined."""
+        mark = np.zeros(self.values, dtype=bool)
+        mark[self.shingle[self.at[to] : self.at[to + 1]]] = True
+        size = self.at[members + 1] - self.at[members]
+        edge = np.concatenate(([0], np.cumsum(size)))
+        taken = np.arange(edge[-1]) + np.repeat(self.at[members] - edge[:-1], size)
+        total = np.concatenate(([0], np.cumsum(mark[self.shingle[taken]])))
+        common = total[edge[1:]] - total[edge[:-1]]
+        a, b = self.sizes[members], self.sizes[to]
+        for i in members[linked(common, a, b, self.percent)].tolist():
+            if self.roots.join(i, to):
+                self.links.append((to, i))
+        return 1 - common / (a + b - common)
+
+    def _open(self, points: np.ndarray, anchor: int) -> np.ndarray:
+        settled = self.roots.find(anchor)
+        return points[[self.roots.find(i) != settled for i in points.tolist()]]
+
+    def solve(self, centre: int) -> list[tuple[int, int]]:
+        """Links (a, b), at most one less than there are members.
+
+        What is joined to the centre is settled, so of two points that end up apart one at
+        least is open throughout, and meets the other where the windows let it.
+        """
+        members = np.arange(len(self.sizes))
+        distance = self.distances(members, centre)
+        work = [(members, distance, self._open(members, centre))]
+        while work:
+            members, distance, open_ = work.pop()
+            if len(open_) * len(members) > LEAF * LEAF and len(open_) > 2 * PIVOTS:
+                pivots, table_, near = [], [], None
+                for _ in range(PIVOTS):  # the next pivot is the open point farthest from all before it
+                    pivot = int(open_[0 if near is None else near[np.searchsorted(members, open_)].argmax()])
+                    pivots.append(pivot)
+                    table_.append(self.distances(members, pivot))
+                    near = table_[-1] if near is None else np.minimum(near, table_[-1])
+                rest = self._open(open_[~np.isin(open_, pivots)], centre)
+                grid = np.stack(table_)
+                nearest = grid[:, np.searchsorted(members, rest)].argmin(axis=0) if len(rest) else np.zeros(0, np.int64)
+                parts = []
+                for cell in np.unique(nearest).tolist():
+                    own, to = rest[nearest == cell], grid[cell]
+                    at = to[np.searchsorted(members, own)]
+                    inside = (to >= at.min() - self.edge) & (to <= at.max() + self.edge)
+                    parts.append((members[inside], to[inside], own))
+                if sum(len(m) * len(o) for m, _, o in parts) <= SHRINK * len(open_) * len(members):
+                    work += parts
+                    continue
+                open_ = rest
+            own = distance[np.searchsorted(members, open_)]
+            for i, d in zip(open_.tolist(), own.tolist(), strict=True):
+                self.distances(members[np.abs(distance - d) <= self.edge], i)
+        return self.links
+
+
+def _solve_regions(group: pa.Table, percent: int) -> Iterator[tuple[int, int]]:
+    regions: dict[int, list[tuple]] = {}
+    for row in zip(*(group.column(n).to_pylist() for n in ("region", "point", "data")), strict=True):
+        regions.setdefault(row[0], []).append(row)
+    for region, rows in regions.items():
+        points = [point for _, point, _ in rows]
+        links = Region([unpack_sorted(data) for _, _, data in rows], percent).solve(points.index(region))
+        for a, b in links:
+            yield points[a], points[b]
 
 
 DISTANCES = T.StructType().add("region", T.LongType()).add("point", T.LongType()).add("nearest", T.LongType()).add("buckets", T.ArrayType(T.LongType())).add("distances", T.ArrayType(T.DoubleType())).add("links", T.ArrayType(T.LongType()))
@@ -294,31 +313,15 @@ def _distances(members: pa.Table, pivots: pa.Table, percent: int, links_only: bo
     With ``links_only``, links alone, and of them no more than join what all would join.
     """
     rows, centres = members.to_pylist(), sorted(pivots.to_pylist(), key=lambda r: r["bucket"])
-    sets, around = [unpack_sorted(r["data"]) for r in rows], [unpack_sorted(r["data"]) for r in centres]
-    common = common_counts(sets, around)
-    a, b = np.array([[len(s)] for s in sets]), np.array([[len(s) for s in around]])
-    hit = linked(common, a, b, percent)
-    distance, buckets = 1 - common / (a + b - common), [r["bucket"] for r in centres]
-    root: dict[int, int] = {}
-
-    def find(i: int) -> int:
-        while root.setdefault(i, i) != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    sets, buckets = [unpack_sorted(r["data"]) for r in [*rows, *centres]], [r["bucket"] for r in centres]
+    region, own, roots = Region(sets, percent), np.arange(len(rows)), Roots()
+    grid = np.stack([region.distances(own, len(rows) + j) for j in range(len(centres))], axis=1)
+    hit = grid <= region.edge
     for i, row in enumerate(rows):
         links = [centres[j]["point"] for j in np.flatnonzero(hit[i])]
         if not links_only:
-            yield row["region"], row["point"], buckets[int(distance[i].argmin())], buckets, distance[i].tolist(), links
-            continue
-        joins = []
-        for point in links:
-            x, y = find(row["point"]), find(point)
-            if x != y:
-                root[y] = x
-                joins.append(point)
-        if joins:
+            yield row["region"], row["point"], buckets[int(grid[i].argmin())], buckets, grid[i].tolist(), links
+        elif joins := [point for point in links if roots.join(row["point"], point)]:
             yield row["region"], row["point"], None, [], [], joins
 
 
@@ -330,143 +333,119 @@ def _measure(rows, members: pa.Table, pivots: pa.Table) -> pa.Table:  # noqa: AN
     return pa.Table.from_batches(list(_batches(found, arrow)), schema=arrow)
 
 
-def _join_large(members: DataFrame, order: DataFrame, percent: int) -> DataFrame:
+def _join_large(members: DataFrame, percent: int, size: int) -> DataFrame:
     """Links (a, b) that join the points of large regions.
 
-    members: region, point, salt, salts, data, each region dealt over its salts by CHUNK points;
-    order: point and its least id, by which pivots are taken, as a copied text often is older
-    than its copies. The sets move once a round, to the chunk where they are measured; all else is numbers.
+    members: region (its centre), point, shingles of the region, n of the point, data. The sets
+    move once a round, to the chunk where they are measured; all else is numbers.
     """
-    spark, edge = members.sparkSession, 1 - percent / 100 + 1e-9
+    spark, edge = members.sparkSession, 1 - percent / 100 + SLACK
     links = spark.createDataFrame([], EDGE)
-    whole = members.select(F.col("region").alias("origin"), "point")
-    data = members.select("point", "data")
-    # What this round measures: the points with their chunks, and the same with their sets.
-    places = members.select("region", "point", "salts", F.lit(True).alias("open"))
-    active = members.select("region", "point", "salt", "data")
+    data = materialise(members.groupBy("point").agg(F.first("data").alias("data")), "large-sets", size)
+    # What this round measures: the points with their chunks.
+    places = materialise(salted(members.select("region", F.col("region").alias("origin"), "point", "n", "shingles", F.lit(True).alias("open"))), "places")
     before = None
     while True:
         opened = materialise(places.groupBy("region").agg(F.count_if("open").alias("n"), F.count(F.lit(1)).cast("double").alias("members")), "opened")
         most, pairs = opened.agg(F.max("n"), F.sum(F.col("n") * F.col("members"))).first()
         last = most <= PIVOTS_AT_ONCE or (before is not None and pairs > SHRINK * before)
         before = pairs
-        # All open points, or the least order of each bucket of them; combined before the shuffle.
+        # All open points, or the least of each bucket of them; combined before the shuffle.
         bucket = F.col("point") if last else F.pmod(F.xxhash64("point", F.lit(2)), F.lit(PIVOTS))
-        chosen = places.filter("open").join(order, "point").groupBy("region", bucket.alias("bucket")).agg(F.min(F.struct("order", "point")).alias("p"), F.max("salts").alias("salts"))
-        pivots = materialise(chosen.select("region", "bucket", F.col("p.point").alias("point"), "salts"), "pivots")
-        sets = materialise(data.join(pivots, "point").select("region", "bucket", "point", "salts", "data"), "pivot-sets")
+        chosen = places.filter("open").groupBy("region", bucket.alias("bucket")).agg(F.min("point").alias("point"), F.max("salts").alias("salts"))
+        pivots = materialise(chosen, "pivots")
+        sets = materialise(data.join(pivots, "point").select("region", "bucket", "point", "salts", "data"), "pivot-sets", size)
         early = most > PIVOTS_AT_ONCE if last else False
-        width = WIDE if early else 1
-        dealt = sets.select("region", "bucket", "point", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("salts") - 1) / width))).alias("salt"))
-        chunks = active.withColumn("salt", F.floor(F.col("salt") / width))
+        wide = WIDE if early else 1
+        dealt = sets.select("region", "bucket", "point", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("salts") - 1) / wide))).alias("salt"))
+        chunks = places.select("region", "point", F.floor(F.col("salt") / wide).alias("salt")).join(data, "point")
         keys = ["region", "salt"]
         if early:  # each chunk meets each block of pivots
-            blocks = F.broadcast(opened.filter(F.col("n") > PIVOTS_AT_ONCE).select("region", F.ceil(F.col("n") / PIVOTS_AT_ONCE).alias("blocks")))
+            blocks = opened.filter(F.col("n") > PIVOTS_AT_ONCE).select("region", F.ceil(F.col("n") / PIVOTS_AT_ONCE).alias("blocks"))
             count = F.coalesce("blocks", F.lit(1).cast("long"))
             dealt = dealt.join(blocks, "region", "left").withColumn("block", F.pmod(F.xxhash64("bucket", F.lit(3)), count))
             chunks = chunks.join(blocks, "region", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
             keys.append("block")
         dealt, chunks = dealt.select(*keys, "bucket", "point", "data"), chunks.select(*keys, "point", "data")
         rows = partial(_distances, percent=percent, links_only=last)
-        measured = materialise(chunks.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(partial(_measure, rows), DISTANCES), "distances")
+        measured = materialise(chunks.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(partial(_measure, rows), DISTANCES), "distances", size)
         found = measured.select(F.explode("links").alias("a"), F.col("point").alias("b")).filter("a <> b")
         links = materialise(links.unionByName(found), "links")
         if last:
             return links
-        # What isn't in the largest component of its first region, and was no pivot, stays open.
+        # What isn't joined to the centre of its first region, and was no pivot, stays open.
         roots = components(links)
-        rooted = materialise(whole.join(roots.withColumnRenamed("node", "point"), "point", "left").select("origin", "point", F.coalesce("root", "point").alias("root")), "rooted")
-        largest = materialise(rooted.groupBy("origin", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("origin").agg(F.max(F.struct("n", "root")).alias("m")), "largest")
-        outside = rooted.join(largest, "origin").filter("root <> m.root").select("point").distinct().withColumn("outside", F.lit(True))
-        was_pivot = pivots.select("region", "point").distinct().withColumn("pivot", F.lit(True))
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         state = measured.select("region", "point", "nearest", F.explode(F.arrays_zip("buckets", "distances")).alias("z")).select("region", "point", "nearest", "z.buckets", "z.distances")
-        was_open = places.select("region", "point", F.col("open").alias("was_open"))
-        state = state.join(was_open, ["region", "point"]).join(outside, "point", "left").join(was_pivot, ["region", "point"], "left")
-        state = state.withColumn("open", F.col("was_open") & F.col("outside").isNotNull() & F.col("pivot").isNull() & (F.col("nearest") == F.col("buckets"))).drop("was_open", "outside", "pivot", "nearest")
-        state = materialise(state, "state")
+        known = places.select("region", "origin", "point", "n", F.col("open").alias("was_open"))
+        known = known.join(of("point"), "point", "left").join(of("origin"), "origin", "left")
+        known = known.join(pivots.select("region", "point", F.lit(True).alias("pivot")), ["region", "point"], "left")
+        apart = F.coalesce("point_root", "point") != F.coalesce("origin_root", "origin")
+        known = materialise(known.select("region", "origin", "point", "n", (F.col("was_open") & apart & F.col("pivot").isNull()).alias("stays")), "known")
+        state = state.join(known, ["region", "point"]).withColumn("open", F.col("stays") & (F.col("nearest") == F.col("buckets"))).drop("stays", "nearest")
+        state = materialise(state, "state", size)
         window = materialise(state.filter("open").groupBy("region", "buckets").agg(F.min("distances").alias("low"), F.max("distances").alias("high")), "windows")
         inside = state.join(window, ["region", "buckets"]).filter((F.col("distances") >= F.col("low") - edge) & (F.col("distances") <= F.col("high") + edge))
-        next_ = materialise(inside.select(F.xxhash64("region", "buckets").alias("region"), "point", "open"), "regions")
-        discard(measured, state, window, sets, pivots, largest)
+        next_ = materialise(inside.select(F.xxhash64("region", "buckets").alias("region"), "origin", "point", "n", "open"), "regions", size)
+        discard(measured, state, window, sets, pivots)
         if next_.isEmpty():
             return links
-        sized = materialise(next_.groupBy("region").agg(F.count(F.lit(1)).alias("members")), "region-sizes")
-        places = materialise(salted(next_.join(sized, "region"), "members").select("region", "point", "salts", "salt", "open"), "region-members")
-        active = places.select("region", "point", "salt").join(data, "point")
+        sized = materialise(next_.groupBy("region").agg(F.sum("n").alias("shingles")), "region-sizes")
+        places = materialise(salted(next_.join(sized, "region")), "places", size)
 
 
-def salted(points: DataFrame, members: str) -> DataFrame:
-    """Deals each region's points over ``salts`` chunks of about CHUNK."""
-    salts = F.ceil(F.col(members) / CHUNK)
+def salted(points: DataFrame) -> DataFrame:
+    """Deals each region's points over ``salts`` chunks of about CHUNK_SHINGLES."""
+    salts = F.ceil(F.col("shingles") / CHUNK_SHINGLES)
     return points.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("point", F.lit(1)), salts))
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, leaf: int | None = None) -> DataFrame:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, region_shingles: int | None = None) -> DataFrame:
     """id, n_shingles and component_id (the least id that links reach) for each document."""
-    spark, parts = docs.sparkSession, exchange_partitions(docs.sparkSession)
-    leaf = LEAF if leaf is None else leaf
-    blocks = write_blocks(docs, id_col, text_col, "jaccard-texts")
+    spark, size = docs.sparkSession, input_bytes(docs)
+    parts, tasks, most = exchange_ranges(size), width(docs.sparkSession, size), REGION_SHINGLES if region_shingles is None else region_shingles
+    blocks = write_coded(docs, id_col, text_col, "jaccard-words")
     id_type = blocks.schema["ids"].dataType.elementType
     point_row = T.StructType().add("block", T.LongType()).add("position", T.IntegerType()).add("id", id_type).add("n_shingles", T.LongType()).add("point", T.LongType()).add("check", T.LongType())
-
-    def list_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(point_row)
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from _batches(_points(row, shingle), arrow)
-
-    points = materialise(blocks.mapInArrow(list_points, point_row), "points")
-    classes = materialise(
-        points.filter("n_shingles > 0").groupBy("point", "check").agg(F.min("id").alias("least"), F.min(F.struct("block", "position")).alias("at"), F.max("n_shingles").alias("size")), "classes"
-    )
-    stars = answer(send(blocks, lambda row: _ask(row, shingle, percent, parts)), EDGE, _stars)
-    regions = components(stars)
-
-    named = regions.select(F.col("node").alias("point"), F.col("root").alias("region"))
-    sizes = materialise(named.groupBy("region").agg(F.count(F.lit(1)).alias("members")), "sizes")
-    placed = classes.select("point", "at").join(named, "point").join(sizes, "region")
-    wanted = salted(placed, "members").select("at.block", "at.position", "point", "region", "members", "salt", "salts")
-    set_row = T.StructType().add("region", T.LongType()).add("point", T.LongType()).add("members", T.LongType()).add("salt", T.LongType()).add("salts", T.LongType()).add("data", T.BinaryType())
-    members = materialise(finish(blocks, wanted, set_row, lambda block, rows: _wanted(block, rows, shingle)), "members")
-    discard(blocks)
-
-    def join_leaves(group: pa.Table) -> pa.Table:
+    points = materialise(send(blocks, lambda row: _points(row, shingle), point_row), "points", size)
+    classes = points.filter("n_shingles > 0").groupBy("point", "check").agg(F.min("id").alias("least"), F.min(F.struct("block", "position")).alias("at"), F.max("n_shingles").alias("n"))
+    classes = materialise(classes, "classes", size)
+    stars = materialise(answer(send(blocks, lambda row: _ask(row, shingle, percent, parts)), EDGE, _stars).distinct(), "stars", size)
+
+    centres = stars.select(F.col("a").alias("region"), F.col("a").alias("point")).distinct()
+    placed = stars.select(F.col("a").alias("region"), F.col("b").alias("point")).unionByName(centres).join(classes.select("point", "at", "n"), "point")
+    placed = materialise(placed, "placed", size)
+    sized = placed.groupBy("region").agg(F.sum("n").alias("shingles"))
+    wanted = placed.join(sized, "region").select("at.block", "at.position", "point", "region", "n", "shingles")
+    set_row = T.StructType().add("region", T.LongType()).add("point", T.LongType()).add("shingles", T.LongType()).add("n", T.LongType()).add("data", T.BinaryType())
+    members = materialise(finish(blocks, wanted, set_row, lambda block, rows: _wanted(block, rows, shingle)), "members", size)
+    discard(blocks, stars)
+    in_task, total = F.col("shingles") <= most, members.agg(F.sum(F.when(F.col("shingles") <= most, F.col("n"))), F.max("shingles")).first()
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(EDGE)
-        return pa.Table.from_batches(list(_batches(_leaves(group, percent), arrow)), schema=arrow)
+        yield from _batches(_solve_regions(pa.Table.from_batches(list(batches)), percent), to_arrow_schema(EDGE))
 
-    links = spark.createDataFrame([], EDGE)
-    for deal in range(1, DEALS + 2):
-        small = members.filter(F.col("members") <= leaf).select("region", "point", "data")
-        found = small.withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(parts))).groupBy("bucket").applyInArrow(join_leaves, EDGE)
-        links = materialise(links.unionByName(found), "leaf-links")
-        large = members.filter(F.col("members") > leaf)
-        if deal > DEALS or large.isEmpty():
-            break
-        named = materialise(deal_again(large, percent, deal, parts), "dealt")
-        sizes = materialise(named.groupBy("region").agg(F.count(F.lit(1)).alias("members")), "sizes")
-        again = salted(named.join(sizes, "region"), "members")
-        before, members = members, materialise(again.join(large.select("point", "data"), "point").select("region", "point", "members", "salt", "salts", "data"), "members")
-        discard(before)
-    if not large.isEmpty():
-        order = materialise(large.select("point").join(classes.select("point", F.col("least").alias("order")), "point"), "order")
-        links = links.unionByName(_join_large(large, order, percent))
+    buckets = max(16, -(-8 * (total[0] or 0) // RANGE_BYTES))
+    small = members.filter(in_task).select("region", "point", "data", F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket"))
+    links = materialise(small.groupBy("bucket").applyInArrow(solve, EDGE), "links", size)
+    if total[1] is not None and total[1] > most:
+        links = links.unionByName(_join_large(members.filter(~in_task), percent, size))
     roots = components(links)
     joined = classes.join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
-    joined = materialise(joined.select("point", "check", "root", "least"), "class-roots")
-    least = materialise(joined.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    named = materialise(joined.join(least, "root").select("point", "check", "component_id"), "class-components")
+    joined = materialise(joined.select("point", "check", "root", "least"), "class-roots", size)
+    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialise(joined.join(least, "root").select("point", "check", "component_id"), "class-components", size)
     found = points.filter("n_shingles > 0").join(named, ["point", "check"]).select(F.col("id").alias(id_col), "n_shingles", "component_id")
-    return found.unionByName(points.filter("n_shingles = 0").select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id")))
+    return found.unionByName(points.filter("n_shingles = 0").select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id"))).coalesce(tasks)
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose id names their component, with the columns of docs."""
     found = join(docs, id_col=id_col, text_col=text_col, **options)
-    chosen = materialise(found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gs_id")).distinct(), "chosen")
+    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gs_id")).distinct()
+    chosen = materialise(kept, "chosen", input_bytes(docs))
     return docs.join(chosen, F.col(id_col).eqNullSafe(F.col("__gs_id")), "left_semi")
 
 

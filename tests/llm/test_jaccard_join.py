@@ -47,16 +47,51 @@ def corpus(seed, base_words, copies, edits):
     return [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
 
 
-@pytest.mark.parametrize("leaf", [128, 3])
-def test_components_as_brute_force(spark, monkeypatch, leaf):
-    for name, value in (("LEAF", leaf), ("CHUNK", 8), ("PIVOTS", 2), ("PIVOTS_AT_ONCE", 4)):
+@pytest.mark.parametrize(("leaf", "region_shingles"), [(64, None), (3, None), (3, 0)])
+def test_components_as_brute_force(spark, monkeypatch, leaf, region_shingles):
+    for name, value in (("LEAF", leaf), ("CHUNK_SHINGLES", 400), ("PIVOTS", 2), ("PIVOTS_AT_ONCE", 4)):
         monkeypatch.setattr(jj, name, value)
-    rows = corpus(leaf, [6, 9, 14, 25, 40, 80, 150], 12, 5)
+    rows = corpus(leaf, [6, 9, 14, 25, 40, 80, 150, 3000], 12, 5)
+    rows += [(1000, rows[20][1]), (1000, rows[20][1])]
     docs = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id long, text string, point int").repartition(3)
-    got = jj.join(docs).collect()
+    got = jj.join(docs, region_shingles=region_shingles).collect()
     assert {tuple(r) for r in got} == brute(rows) and len(got) == len(rows)
 
 
+def test_whole_table_as_brute_force(spark):
+    found = {tuple(r) for r in jj.query(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    assert found == brute([tuple(r) for r in docs])
+
+
+def test_voronoi_cells_solve_a_region(monkeypatch):
+    """Clusters apart from each other: cells take over, and find what all pairs would."""
+    monkeypatch.setattr(jj, "LEAF", 4)
+    rng, sets = np.random.default_rng(3), []
+    for _ in range(12):
+        base = rng.integers(0, 2**50, 90, dtype=np.uint64)
+        for _ in range(15):
+            sets.append(np.unique(np.concatenate((rng.choice(base, 74, replace=False), rng.integers(0, 2**50, 2, dtype=np.uint64)))))
+            sets.append(np.unique(np.concatenate((sets[-1][:-3], rng.integers(0, 2**50, 3, dtype=np.uint64)))))
+    measured, count = [], jj.Region.distances
+
+    def watch(self, members, to):
+        measured.append(len(members))
+        return count(self, members, to)
+
+    monkeypatch.setattr(jj.Region, "distances", watch)
+    got, want = jj.Roots(), jj.Roots()
+    for a, b in jj.Region(sets, 85).solve(0):
+        got.join(a, b)
+    for i, x in enumerate(sets):
+        for j in range(i):
+            common = len(np.intersect1d(x, sets[j]))
+            if jj.linked(common, len(x), len(sets[j]), 85):
+                want.join(i, j)
+    parts = lambda roots: {frozenset(j for j in range(len(sets)) if roots.find(j) == roots.find(i)) for i in range(len(sets))}
+    assert parts(got) == parts(want) and sum(measured) < 0.5 * len(sets) ** 2
+
+
 def test_keep_one_and_no_rows(spark):
     docs = spark.createDataFrame([(2, "a b c d e"), (1, "A b c d e"), (3, None), (None, "z")], "doc_id long, text string")
     assert {r.doc_id for r in jj.keep_one(docs).collect()} == {1, 3, None}
@@ -65,19 +100,19 @@ def test_keep_one_and_no_rows(spark):
 
 @pytest.mark.parametrize("shrink", [0.5, 1.0])
 def test_regions_that_windows_do_not_prune(spark, monkeypatch, shrink):
-    for name, value in (("PIVOTS", 4), ("PIVOTS_AT_ONCE", 4), ("CHUNK", 2), ("SHRINK", shrink)):
-        monkeypatch.setattr(jj, name, value, raising=False)
+    for name, value in (("PIVOTS", 4), ("PIVOTS_AT_ONCE", 4), ("CHUNK_SHINGLES", 200), ("SHRINK", shrink)):
+        monkeypatch.setattr(jj, name, value)
     rng = np.random.default_rng(7)
-    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
-    sets = [np.sort(np.concatenate((base[: rng.integers(76, 80)], rng.integers(0, 2**63, 20, dtype=np.uint64)))) for _ in range(30)]
+    base = rng.integers(0, 2**50, 100, dtype=np.uint64)
+    sets = [np.sort(np.concatenate((base[: rng.integers(76, 80)], rng.integers(0, 2**50, 20, dtype=np.uint64)))) for _ in range(30)]
     sets += [np.delete(s, 3) for s in sets[:3]]
-    rows = [(1, i, i // 2, 17, jj.pack_sorted(s)) for i, s in enumerate(sets)]
-    members = spark.createDataFrame(rows, "region long, point long, salt long, salts long, data binary")
-    order = spark.createDataFrame([(i, i) for i in range(len(sets))], "point long, order long")
+    total = sum(map(len, sets))
+    rows = [(0, i, total, len(s), jj.pack_sorted(s)) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "region long, point long, shingles long, n long, data binary")
     write, rounds = jj.materialise, []
 
-    def watch(df, label):
-        df = write(df, label)
+    def watch(df, label, size=0):
+        df = write(df, label, size)
         if label == "opened":
             rounds.append(1)
             assert len(rounds) <= (2 if shrink < 1 else 10)
@@ -86,16 +121,18 @@ def test_regions_that_windows_do_not_prune(spark, monkeypatch, shrink):
         return df
 
     monkeypatch.setattr(jj, "materialise", watch)
-    found = {(min(r.a, r.b), max(r.a, r.b)) for r in jj._join_large(members, order, 85).collect()}
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in jj._join_large(members, 85, 0).collect()}
     assert found == {(0, 30), (1, 31), (2, 32)}
+    links = jj.Region(sets, 85).solve(0)
+    assert {(min(x), max(x)) for x in links} == found
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10**6))
 def test_linked_sets_share_a_cell(size, lose, gain, seed):
     rng = np.random.default_rng(seed)
-    x = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
-    y = np.unique(np.concatenate((x[: max(1, len(x) - lose)], rng.integers(0, 2**64, gain, dtype=np.uint64))))
+    x = np.unique(rng.integers(0, 2**52, size, dtype=np.uint64))
+    y = np.unique(np.concatenate((x[: max(1, len(x) - lose)], rng.integers(0, 2**52, gain, dtype=np.uint64))))
     common = len(np.intersect1d(x, y))
     if 100 * common >= 85 * (len(x) + len(y) - common) and len(np.setxor1d(x, y)):
         names, owner = jj.cells(np.concatenate((x, y)), np.array([len(x), len(y)]), 85)
