@@ -1,25 +1,31 @@
-"""Katz backoff language model: bigrams that back off to words, and words to one unknown word.
+"""Katz backoff language model of order three: three words back off to two, two to one, one to an unknown word.
 
-Counts of one to five are discounted by Good and Turing's estimate from the counts of counts
-of the whole training corpus (where those are too irregular to use, by half a count). What
-the discounts free goes to unseen events in proportion to the lower order, divided by an
-exact sum over what was seen, so that the probabilities of all words and the unknown one
-after any word sum to one:
+Counts of one to KATZ_MAX are discounted by Good and Turing's estimate. The counts of counts
+that it needs are smoothed by a straight line through their logarithms, so discounted counts
+rise with the count. What the discounts free goes to unseen events in proportion to the lower
+order, divided by an exact sum over what was seen, so that the probabilities of all words and
+the unknown one after any history sum to one:
 
-    P(w | v) = d(c(v, w)) c(v, w) / c(v)    if (v, w) was seen in training
-               a(v) P(w)                    if not; a(v) = 1 after a word that wasn't seen
-    P(w)     = d(c(w)) c(w) / N             if w was seen, else what is left
+    P(w | u v) = d3(c) c(u, v, w) / c(u, v)    if (u, v, w) was seen in training
+                 a(u, v) P(w | v)              if not; a(u, v) = 1 where (u, v) wasn't seen
+    P(w | v)   = d2(c) c(v, w) / c(v)          if (v, w) was seen
+                 a(v) P(w)                     if not; a(v) = 1 after a word that wasn't seen
+    P(w)       = d1(c) c(w) / N                if w was seen, else what is left
 
-Where all counts after v are above five and nothing is freed, one unseen event is added to
-c(v); the same goes for N.
+A text's first word has no more history than its start. Where all counts after a history are
+above KATZ_MAX and nothing is freed, one unseen event is added to the history's count; the
+same goes for N.
 
 All counts live in tables that are partitioned by key range: words by the range of their
-hash, bigrams by the word before. Words are numbered by descending count, so that a table of
-the distinct counts (of N tokens there are less than sqrt(2 N)) tells every word's
-probability from its number. A word so frequent that its bigrams would overload a range has
-them dealt out by the next word as well; how its parts add up is known for at most a few
-words a range. Blocks of documents send distinct keys only, each once, so neither a hot word
-nor a hot pair loads one task. Scores are sums over all tokens of the whole texts.
+hash, longer runs by v, the last word of their history, so that what recursion from three
+words to two needs is in one range. Words are numbered by descending count within their
+range, for small messages. A word so frequent that its runs would overload a range has them
+dealt out by the next word as well; what histories that end in it need is then summed by
+ranges of (u, v). Blocks of documents send distinct keys only, each once, so neither a hot
+word nor a hot run loads one task. Everything that ranges send back is a sum of integers, or
+of P(w); discounts are applied by the blocks. The driver gets sums, and a row for each word
+that is dealt out: those with more than N / ranges tokens, so fewer than there are ranges.
+Scores are sums over all tokens of the whole texts.
 
 A null text is empty and has the end token only. Rows that repeat count and score as often
 as they occur; a null id is not held out; without training rows every token is unknown with
@@ -30,302 +36,447 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._blocks import answer, block_texts, finish, pack_bytes, pack_ints, pack_sorted, places, ranges_of, send, unpack_bytes, unpack_ints, unpack_sorted, word_hashes, write_blocks
-from ._scratch import exchange_partitions, materialise, table
+from ._blocks import answer, block_words, finish, pack_bytes, pack_ints, pack_parts, pack_sorted, places, ranges_of, send, unpack_bytes, unpack_ints, unpack_parts, unpack_sorted, write_coded
+from ._scratch import exchange_ranges, input_bytes, materialise, table, width
 
 KATZ_MAX = 5
 HELD_OUT = 1
-END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
-BOS = 0  # the number of what stands before the first token
-WORDS_REPLY = T.StructType().add("part", T.IntegerType()).add("block", T.LongType()).add("payload", T.BinaryType()).add("count", T.LongType()).add("types", T.LongType())
-HOT = ["n1", "n2", "n3", "n4", "n5"]
-PAIRS_REPLY = T.StructType().add("part", T.IntegerType()).add("block", T.LongType()).add("payload", T.BinaryType()).add("word", T.LongType())
-for _name in [*HOT, "n6"]:
-    PAIRS_REPLY = PAIRS_REPLY.add(_name, T.LongType())
-PAIRS_REPLY = PAIRS_REPLY.add("seen", T.DoubleType())
-
-
-def pack_parts(*parts: bytes) -> bytes:
-    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
-
-
-def unpack_parts(data: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(data):
-        size = int.from_bytes(data[at : at + 8], "little")
-        out.append(data[at + 8 : at + 8 + size])
-        at += 8 + size
-    return out
+END = np.uint64((1 << 64) - 1)  # the end token's key
+NONE, BOS, FIRST = 0, 1, 2  # numbers: no or an unknown word, what stands before a text, the first word
+SLOPE = -1.1  # the least steep line through the counts of counts that still frees something everywhere
+ROW = T.StructType().add("kind", T.IntegerType()).add("part", T.IntegerType()).add("block", T.LongType()).add("payload", T.BinaryType())
+REPLY = T.StructType(list(ROW.fields)).add("word", T.LongType()).add("sums", T.ArrayType(T.LongType())).add("seen", T.DoubleType())
+WORDS, GRAMS, SUMS, HOT, PARTIAL, ASKED, HISTORIES = range(7)  # kinds of rows
+R = np.arange(1, KATZ_MAX + 1)
 
 
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
     """d(0..KATZ_MAX) from N_1..N_(KATZ_MAX + 1)."""
-    n = [0, *map(float, counts_of_counts)]
-    out = np.ones(KATZ_MAX + 1)
-    share = (KATZ_MAX + 1) * n[KATZ_MAX + 1] / n[1] if n[1] else 1.0
-    for r in range(1, KATZ_MAX + 1):
-        good = (r + 1) * n[r + 1] / (r * n[r]) if n[r] else 0.0
-        found = (good - share) / (1 - share) if share < 1 else 0.0
-        out[r] = found if 0 < found < 1 else (r - 0.5) / r
-    return out
+    r = np.flatnonzero(np.array(counts_of_counts, dtype=float) > 0) + 1
+    slope = np.polyfit(np.log(r), np.log([counts_of_counts[i - 1] for i in r]), 1)[0] if len(r) > 1 else -2.0
+    slope = min(slope, SLOPE)
+    share = (KATZ_MAX + 1.0) ** (slope + 1)
+    return np.concatenate(([1.0], ((1 + 1 / R) ** (slope + 1) - share) / (1 - share)))
 
 
 def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(counts <= KATZ_MAX, d[np.minimum(counts, KATZ_MAX)], 1.0) * counts
 
 
+def freed(low: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What discounts free of histories; low: how many runs have counts 1..KATZ_MAX, as rows. One where it is nothing."""
+    return ((1 - d[1:]) * R) @ low + ~low.any(axis=0)
+
+
 def trains(key, held: int = HELD_OUT) -> bool:
     return key is None or zlib.crc32(str(key).encode()) % 5 != held
 
 
+@dataclass(frozen=True)
 class Words:
-    """What the words' counts come to: N, V, the numbering and P(w); small, and broadcast."""
-
-    def __init__(self, classes: list[tuple[int, int, int]], documents: int, parts: int) -> None:
-        """classes: (count, words that have it, most of them in one range)."""
-        seen = sorted(((c, n, most) for c, n, most in classes if c > 0), reverse=True)
-        self.parts, self.documents = parts, documents
-        self.counts = np.array([c for c, _, _ in seen], dtype=np.int64)
-        types = np.array([n for _, n, _ in seen], dtype=np.int64)
-        self.total, self.types = int((self.counts * types).sum()), int(types.sum())
-        width = np.array([most * parts for _, _, most in seen], dtype=np.int64)
-        self.begins = 1 + np.cumsum(width) - width
-        self.unknown = int(1 + width.sum())
-        of = dict(zip(self.counts.tolist(), types.tolist(), strict=True))
-        self.d = discounts([of.get(r, 0) for r in range(1, KATZ_MAX + 2)])
-        kept = discounted(self.counts, self.d)
-        free = self.total - float((kept * types).sum())
-        divisor = self.total + (1 if free <= 0 else 0)
-        divisor, free = (2, 1) if not self.total else (divisor, max(free, 1 if free <= 0 else free))
-        self.p = kept / divisor
-        self.p_unknown = free / divisor
-
-    def number(self, counts: np.ndarray, rank: np.ndarray, part: np.ndarray) -> np.ndarray:
-        """The number of words of these counts; rank: among those of the count in the word's range."""
-        if not len(self.counts):
-            return np.full(len(counts), self.unknown, dtype=np.int64)
-        at = np.minimum(len(self.counts) - 1, np.searchsorted(-self.counts, -counts))
-        return np.where(counts > 0, self.begins[at] + rank * self.parts + part, self.unknown)
-
-    def _class(self, numbers: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.begins, numbers, side="right") - 1
-
-    def probability(self, numbers: np.ndarray) -> np.ndarray:
-        if not len(self.p):
-            return np.full(len(numbers), self.p_unknown)
-        return np.where(numbers < self.unknown, self.p[self._class(numbers)], self.p_unknown)
-
-    def times_before(self, numbers: np.ndarray) -> np.ndarray:
-        """How often each number, BOS included, stands before a token of the training texts."""
-        if not len(self.counts):
-            return np.zeros(len(numbers), dtype=np.int64)
-        known = np.where(numbers < self.unknown, self.counts[np.maximum(0, self._class(numbers))], 0)
-        return np.where(numbers == BOS, self.documents, known)
-
-    def splits(self, numbers: np.ndarray) -> np.ndarray:
-        """Into how many parts the bigrams after each number are dealt."""
-        share = 8 * self.parts * self.times_before(numbers) // max(1, self.total)
-        return np.clip(share, 1, self.parts)
-
-
-def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of all tokens with the ends, tokens of each text, whether each text trains)."""
-    words, sizes = word_hashes([t.lower().split() for t in block_texts(row)])
-    return np.insert(words, np.cumsum(sizes), END), sizes + 1, np.array([trains(k) for k in row["ids"]], dtype=bool)
+    """What the words' counts come to."""
+
+    parts: int
+    total: int
+    types: int
+    documents: int
+    low: tuple[int, ...]  # N_1..N_(KATZ_MAX + 1)
+
+    def discounts(self) -> np.ndarray:
+        return discounts(list(self.low))
+
+    def probability(self, counts: np.ndarray) -> np.ndarray:
+        """P(w) of words by their count; of the unknown one for zero."""
+        if not self.total:
+            return np.full(len(counts), 0.5)
+        low, d = np.array(self.low[:KATZ_MAX])[:, None], self.discounts()
+        divisor = self.total + (not low.any())
+        return np.where(counts > 0, discounted(counts, d) / divisor, freed(low, d)[0] / divisor)
+
+    def splits(self, before: np.ndarray) -> np.ndarray:
+        """Into how many parts the runs after words of these counts are dealt."""
+        share = before * self.parts
+        return np.where(share > self.total, np.minimum(self.parts, 1 + 2 * share // max(1, self.total)), 1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)).astype(np.int64)
+
+
+def combined(*columns: np.ndarray) -> np.ndarray:
+    """One sortable number for each row, in the order of the columns; exact."""
+    columns = [c.astype(np.uint64) for c in columns]
+    bits = [max(1, int(c.max(initial=0)).bit_length()) for c in columns]
+    while sum(bits) > 64:  # the widest column by its ranks, which are fewer than there are rows
+        widest = int(np.argmax(bits))
+        _, columns[widest] = np.unique(columns[widest], return_inverse=True)
+        columns[widest] = columns[widest].astype(np.uint64)
+        bits[widest] = max(1, int(columns[widest].max(initial=0)).bit_length())
+    out = columns[0]
+    for column, size in zip(columns[1:], bits[1:], strict=True):
+        out = out << np.uint64(size) | column
+    return out
+
+
+def runs(sorted_: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(sorted_)), dtype=bool), sorted_[1:] != sorted_[:-1])))
+
+
+def spread(begins: np.ndarray, size: int) -> np.ndarray:
+    """The number of its run for each row."""
+    return np.repeat(np.arange(len(begins)), np.diff(np.append(begins, size)))
+
+
+def pack_flags(flags: np.ndarray) -> bytes:
+    return pack_bytes(np.packbits(flags).tobytes())
+
+
+def unpack_flags(data: bytes, size: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(unpack_bytes(data), dtype=np.uint8), count=size).astype(bool)
+
+
+# Words
+
+
+def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(vocabulary with the end, last; number into it of each token; tokens of each text; whether each text trains)."""
+    vocabulary, codes, sizes = block_words(row)
+    tokens = np.insert(codes, np.cumsum(sizes), len(vocabulary))
+    return np.append(vocabulary, END), tokens, sizes + 1, np.array([trains(k) for k in row["ids"]], dtype=bool)
 
 
 def _ask_words(row: dict, parts: int) -> Iterator[tuple]:
-    tokens, sizes, train = _tokens(row)
-    keys, at = np.unique(tokens, return_inverse=True)
-    count = np.bincount(at, weights=np.repeat(train, sizes)).astype(np.int64)
+    keys, tokens, sizes, train = _tokens(row)
+    count = np.bincount(tokens[np.repeat(train, sizes)], minlength=len(keys))
     edge = ranges_of(keys, parts)
     for part in np.flatnonzero(np.diff(edge)).tolist():
         own = slice(edge[part], edge[part + 1])
-        yield part, row["block"], pack_parts(pack_sorted(keys[own]), pack_ints(count[own]))
+        yield WORDS, part, row["block"], pack_parts(pack_sorted(keys[own]), pack_ints(count[own]))
 
 
 def _count_words(part: int, rows: list[dict]) -> Iterator[tuple]:
     asked = [unpack_parts(r["payload"]) for r in rows]
     keys = [unpack_sorted(a) for a, _ in asked]
     words, at = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(at, weights=np.concatenate([unpack_ints(b) for _, b in asked]).astype(float)).astype(np.int64)
-    order = np.argsort(-count, kind="stable")
-    ordered = count[order]
-    first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    begin = np.flatnonzero(first)
+    count = np.bincount(at, weights=np.concatenate([unpack_ints(b) for _, b in asked])).astype(np.int64)
     rank = np.empty(len(words), dtype=np.int64)
-    rank[order] = np.arange(len(words)) - begin[np.cumsum(first) - 1]
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(words))
     done = 0
     for row, own in zip(rows, keys, strict=True):
         mine = at[done : done + len(own)]
         done += len(own)
-        yield part, row["block"], pack_parts(pack_ints(count[mine]), pack_ints(rank[mine])), None, None
-    for c, n in zip(ordered[begin].tolist(), np.diff(np.append(begin, len(words))).tolist(), strict=True):
-        yield part, None, None, c, n
+        yield WORDS, part, row["block"], pack_parts(pack_ints(count[mine]), pack_ints(np.where(count[mine] > 0, rank[mine], 0))), None, None, None
+    documents = int(count[-1]) if words[-1] == END else 0
+    yield SUMS, part, None, None, None, [int(count.sum()), int((count > 0).sum()), documents, *_low(count, KATZ_MAX + 1)], None
 
 
-def _numbered(row: dict, answers: list[dict], words: Words) -> tuple:
-    """(numbers of all tokens, their counts, tokens of each text, whether each text trains)."""
-    tokens, sizes, train = _tokens(row)
-    keys, at = np.unique(tokens, return_inverse=True)
-    edge = ranges_of(keys, words.parts)
-    count, rank, part_of = np.zeros((3, len(keys)), dtype=np.int64)
-    for reply in answers:
-        own = slice(edge[reply["part"]], edge[reply["part"] + 1])
-        counts, ranks = unpack_parts(reply["payload"])
-        count[own], rank[own], part_of[own] = unpack_ints(counts), unpack_ints(ranks), reply["part"]
-    return words.number(count, rank, part_of)[at], count[at], sizes, train
+def _low(counts: np.ndarray, most: int) -> list[int]:
+    return np.bincount(counts[(counts > 0) & (counts <= most)], minlength=most + 1)[1:].tolist()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)
-
-
-def _pairs(numbers: np.ndarray, sizes: np.ndarray, words: Words) -> tuple:
-    """Distinct pairs after known words, in order of (part, before, next), and where each token's pair is."""
-    _, place = places(sizes)
-    before = np.where(place == 0, BOS, np.roll(numbers, 1))
-    asked = np.flatnonzero((before != words.unknown) & (words.times_before(before) > 0))
-    v, w = before[asked], numbers[asked]
-    part = (_mixed(v) + _mixed(w) % words.splits(v).astype(np.uint64)) % np.uint64(words.parts)
-    order = np.lexsort((w, v, part))
-    v, w, part = v[order], w[order], part[order]
-    new = np.ones(len(v), dtype=bool)
-    new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-    at = np.empty(len(v), dtype=np.int64)
-    at[order] = np.cumsum(new) - 1
-    return v[new], w[new], part[new].astype(np.int64), asked, at, before
-
-
-def _ask_pairs(row: dict, answers: list[dict], words: Words) -> Iterator[tuple]:
-    numbers, _, sizes, train = _numbered(row, answers, words)
-    v, w, part, asked, at, _ = _pairs(numbers, sizes, words)
-    count = np.bincount(at, weights=np.repeat(train, sizes)[asked], minlength=len(v)).astype(np.int64)
-    edge = np.searchsorted(part, np.arange(words.parts + 1))
-    for p in np.flatnonzero(np.diff(edge)).tolist():
-        own = slice(edge[p], edge[p + 1])
-        yield p, row["block"], pack_parts(pack_sorted(v[own].astype(np.uint64)), pack_ints(w[own]), pack_ints(count[own]))
-
-
-def _context_sums(v: np.ndarray, w: np.ndarray, count: np.ndarray, words: Words) -> tuple:
-    """By distinct word before: (number, n_1..n_5 as rows, sum of P(w) over the words seen next)."""
-    seen = count > 0
-    before, at = np.unique(v, return_inverse=True)
-    low = np.stack([np.bincount(at, weights=count == r, minlength=len(before)) for r in range(1, KATZ_MAX + 1)]).astype(np.int64)
-    return before, low, np.bincount(at, weights=np.where(seen, words.probability(w), 0.0), minlength=len(before))
-
-
-def _count_pairs(part: int, rows: list[dict], words: Words) -> Iterator[tuple]:
-    asked = [unpack_parts(r["payload"]) for r in rows]
-    sizes = [0]
-    vs, ws, cs = [], [], []
-    for a, b, c in asked:
-        vs.append(unpack_sorted(a).astype(np.int64))
-        ws.append(unpack_ints(b).astype(np.int64))
-        cs.append(unpack_ints(c).astype(np.int64))
-        sizes.append(len(vs[-1]))
-    v, w, c = np.concatenate(vs), np.concatenate(ws), np.concatenate(cs)
-    order = np.lexsort((w, v))
-    ov, ow = v[order], w[order]
-    new = np.ones(len(v), dtype=bool)
-    new[1:] = (ov[1:] != ov[:-1]) | (ow[1:] != ow[:-1])
-    at = np.empty(len(v), dtype=np.int64)
-    at[order] = np.cumsum(new) - 1
-    total = np.bincount(at, weights=c).astype(np.int64)
-    before, low, sums = _context_sums(ov[new], ow[new], total, words)
-    hot = words.splits(before) > 1
-    edges = np.cumsum(sizes)
-    for row, a, b in zip(rows, edges, edges[1:], strict=False):
-        mine, context = total[at[a:b]], np.searchsorted(before, v[a:b])
-        alone = np.unique(context[~hot[context]])
-        # The sums are needed where something wasn't seen; elsewhere, whether any count is low.
-        unseen = np.unique(context[(mine == 0) & ~hot[context]])
-        payload = pack_parts(pack_ints(mine), pack_bytes(np.packbits(low[:, alone].any(axis=0)).tobytes()), pack_ints(low[:, unseen].reshape(-1)), pack_bytes(sums[unseen].tobytes()))
-        yield part, row["block"], payload, None, *[None] * 6, None
-    yield part, None, None, -1, *[int((total == r).sum()) for r in range(1, KATZ_MAX + 2)], 0.0
-    for i in np.flatnonzero(hot).tolist():
-        yield part, None, None, int(before[i]), *low[:, i].tolist(), 0, float(sums[i])
+# Runs of two and three words
 
 
-class Hot:
-    """n_1..n_5 and the sum of P(w) for the words whose bigrams are dealt to several ranges."""
+class Grams:
+    """The distinct runs (u, v, w) of a block after words v that were seen, in the order in which they are sent.
 
-    def __init__(self, rows: list) -> None:
-        rows = sorted(rows)
-        self.before = np.array([r[0] for r in rows], dtype=np.int64)
-        self.low = np.array([r[1:6] for r in rows], dtype=np.int64).reshape(len(rows), 5).T
-        self.sums = np.array([r[6] for r in rows], dtype=np.float64)
+    Slots are words v, those dealt out once for each part that they are dealt to. ``slot``,
+    ``w`` and ``u`` (numbers into ``number``) name each run, ``pair`` and ``history`` the
+    (slot, w) and (slot, u) it belongs to, ``at`` the run of each token in ``asked``.
+    """
 
-
-def _score(row: dict, answers: list[dict], words: Words, d: np.ndarray, hot: Hot) -> Iterator[tuple]:
-    numbers, counts, sizes, train = _numbered(row, [a for a in answers if not a["pairs"]], words)
-    v, w, part, asked, at, before = _pairs(numbers, sizes, words)
-    edge = np.searchsorted(part, np.arange(words.parts + 1))
-    count = np.zeros(len(v), dtype=np.int64)
-    plain = words.splits(v) == 1
-    owners, lows, sums, flag_owner, flags = [hot.before], [hot.low], [hot.sums], [hot.before], [hot.low.any(axis=0)]
-    for reply in answers:
-        if reply["pairs"]:
+    def __init__(self, row: dict, answers: list[dict], words: Words) -> None:
+        vocabulary, tokens, self.sizes, self.train = _tokens(row)
+        n, edge = len(vocabulary), ranges_of(vocabulary, words.parts)
+        count, number = np.zeros((2, n + 3), dtype=np.int64)
+        for reply in answers:
             own = slice(edge[reply["part"]], edge[reply["part"] + 1])
-            found, bits, low, seen = unpack_parts(reply["payload"])
-            count[own] = unpack_ints(found)
-            alone = np.unique(v[own][plain[own]])
-            flag_owner.append(alone)
-            flags.append(np.unpackbits(np.frombuffer(unpack_bytes(bits), dtype=np.uint8))[: len(alone)].astype(bool))
-            owners.append(np.unique(v[own][plain[own] & (count[own] == 0)]))
-            lows.append(unpack_ints(low).astype(np.int64).reshape(KATZ_MAX, -1))
-            sums.append(np.frombuffer(unpack_bytes(seen), dtype=np.float64))
-    flag_owner, flags = np.concatenate(flag_owner), np.concatenate(flags)
-    by = np.argsort(flag_owner)
-    has_low = flags[by][np.searchsorted(flag_owner[by], v)] if len(v) else np.zeros(0, bool)
-    divisor = words.times_before(v) + np.where(has_low, 0, 1)
-    p = discounted(count, d) / divisor
-    unseen = np.flatnonzero(count == 0)
-    if len(unseen):
-        owners, lows, sums = np.concatenate(owners), np.concatenate(lows, axis=1), np.concatenate(sums)
-        by = np.argsort(owners)
-        of = by[np.searchsorted(owners[by], v[unseen])]
-        freed = ((1 - d[1:]) * np.arange(1, KATZ_MAX + 1)) @ lows[:, of] + np.where(has_low[unseen], 0, 1)
-        p[unseen] = freed / divisor[unseen] / np.maximum(1 - sums[of], words.p_unknown) * words.probability(w[unseen])
-    score = words.probability(numbers)
-    score[asked] = p[at]
-    owner, _ = places(sizes)
+            counts, ranks = unpack_parts(reply["payload"])
+            count[own] = unpack_ints(counts)
+            number[own] = unpack_ints(ranks).astype(np.int64) * words.parts + reply["part"] + FIRST
+        start, none, unknown = n, n + 1, n + 2
+        number[start:] = BOS, NONE, NONE
+        self.tokens, self.count, self.number = tokens, count, number
+        before = count.copy()
+        before[start] = words.documents
+        _, place = places(self.sizes)
+        v, u = np.full((2, len(tokens)), none)
+        v[1:], u[2:] = tokens[:-1], tokens[:-2]
+        v[place == 0], u[place == 1], u[place == 0] = start, start, none
+        self.asked = np.flatnonzero(before[v] > 0)
+        v, u, w = v[self.asked], u[self.asked], tokens[self.asked]
+        u, w = np.where(before[u] > 0, u, none), np.where(count[w] > 0, w, unknown)
+
+        splits = words.splits(before)
+        dealt = np.flatnonzero(splits > 1)
+        code = np.concatenate((np.arange(n + 3), np.repeat(dealt, splits[dealt])))
+        first = np.arange(n + 3)
+        first[dealt] = n + 3 + np.cumsum(splits[dealt]) - splits[dealt]
+        split = np.arange(len(code)) - first[code]
+        part = (_mixed(number[code]) + np.where(np.arange(len(code)) >= n + 3, split, 0)) % words.parts
+        order = np.lexsort((number[code], part))
+        rank = np.empty(len(code), dtype=np.int64)
+        rank[order] = np.arange(len(code))
+        self.slot_word, self.slot_part, self.slot_hot, self.slot_before = code[order], part[order], (splits > 1)[code[order]], before[code[order]]
+        slot = rank[first[v] + np.where(splits[v] > 1, _mixed(number[w]) % splits[v], 0)]
+
+        key = combined(slot, w, u)
+        _, index, self.at = np.unique(key, return_index=True, return_inverse=True)
+        self.slot, self.w, self.u = slot[index], w[index], u[index]
+        self.pairs = runs(combined(self.slot, self.w))
+        self.pair = spread(self.pairs, len(self.slot))
+        self.slots = runs(self.slot)
+        self.has = self.slot[self.slots]  # the slots that there are
+        # Histories by slot and by the number of u, which both sides know.
+        numbers = np.where(self.u == none, NONE, number[self.u])
+        _, where, self.history = np.unique(combined(self.slot, numbers), return_index=True, return_inverse=True)
+        self.history_slot, self.history_u = self.slot[where], numbers[where]
+        self.edge = np.searchsorted(self.slot_part[self.slot], np.arange(words.parts + 1))
+
+    def counts(self) -> np.ndarray:
+        """How often each run stands in training texts of the block."""
+        return np.bincount(self.at, weights=np.repeat(self.train, self.sizes)[self.asked], minlength=len(self.slot)).astype(np.int64)
+
+    def part_slices(self, part: int) -> tuple[slice, slice, slice, slice]:
+        """Runs, pairs, slots and histories of a part."""
+        a, b = self.edge[part], self.edge[part + 1]
+        slots = self.slot_part[self.history_slot]
+        return slice(a, b), slice(*np.searchsorted(self.pairs, (a, b))), slice(*np.searchsorted(self.slots, (a, b))), slice(*np.searchsorted(slots, (part, part + 1)))
+
+    def dealt_histories(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(v, u, part) by number of the histories that end in a word dealt out, in order of part, v and u."""
+        of = self.slot_hot[self.history_slot] & (self.history_u > NONE)
+        v, u = self.number[self.slot_word[self.history_slot[of]]], self.history_u[of]
+        index = np.unique(combined(v, u), return_index=True)[1]
+        v, u = v[index], u[index]
+        part = history_part(v, u, parts)
+        order = np.lexsort((u, v, part))
+        return v[order], u[order], part[order]
+
+
+def history_part(v: np.ndarray, u: np.ndarray, parts: int) -> np.ndarray:
+    return (_mixed(v) + _mixed(u + (1 << 40))) % parts
+
+
+def _ask_grams(row: dict, answers: list[dict], words: Words) -> Iterator[tuple]:
+    g = Grams(row, answers, words)
+    count, pair_sizes = g.counts(), np.diff(np.append(g.pairs, len(g.slot)))
+    pair_slot = g.slot[g.pairs]
+    slot_sizes = np.diff(np.append(np.searchsorted(pair_slot, g.has), len(g.pairs)))
+    pair_w, slot_v = g.w[g.pairs], g.slot_word[g.has]
+    for part in np.flatnonzero(np.diff(g.edge)).tolist():
+        own, pairs, slots, _ = g.part_slices(part)
+        w, v = pair_w[pairs], slot_v[slots]
+        yield GRAMS, part, row["block"], pack_parts(
+            pack_sorted(g.number[v].astype(np.uint64)), pack_ints(g.slot_before[g.has[slots]]), pack_ints(slot_sizes[slots]),
+            pack_ints(g.number[w]), pack_ints(g.count[w]), pack_ints(pair_sizes[pairs]), pack_ints(g.number[g.u[own]]), pack_ints(count[own]),
+        )
+    v, u, part = g.dealt_histories(words.parts)
+    for begin, end in zip(runs(part).tolist(), [*runs(part)[1:].tolist(), len(part)], strict=True) if len(part) else ():
+        yield ASKED, int(part[begin]), row["block"], pack_parts(pack_ints(v[begin:end]), pack_ints(u[begin:end]))
+
+
+def _sums_by(groups: np.ndarray, n: int, counts: np.ndarray, values: np.ndarray, most: int, rest: bool) -> np.ndarray:
+    """Sums of values by group, a row for each count 1..most of ``counts``, and one for larger ones if ``rest``."""
+    rows = [np.bincount(groups[own := counts == r], weights=values[own], minlength=n) for r in range(1, most + 1)]
+    rows += [np.bincount(groups[own := counts > most], weights=values[own], minlength=n)] if rest else []
+    return np.stack(rows).astype(np.int64)
+
+
+def _count_grams(part: int, rows: list[dict], words: Words) -> Iterator[tuple]:
+    for row in rows:
+        if row["kind"] == ASKED:
+            yield ASKED, part, row["block"], row["payload"], None, None, None
+    rows = [r for r in rows if r["kind"] == GRAMS]
+    if not rows:
+        return
+    columns = [[unpack_sorted(p[0]).astype(np.int64), *(unpack_ints(x).astype(np.int64) for x in p[1:])] for p in (unpack_parts(r["payload"]) for r in rows)]
+    v, before, v_size, w, w_count, w_size, u, c = (np.concatenate([x[i] for x in columns]) for i in range(8))
+    of_pair, of_slot = np.repeat(np.arange(len(w)), w_size), np.repeat(np.arange(len(v)), v_size)
+    run_slot = of_slot[of_pair]
+    key = combined(v[run_slot], w[of_pair], u)
+    order = np.argsort(key)
+    begin = runs(key[order])
+    index, at = order[begin], np.empty(len(key), dtype=np.int64)
+    at[order] = spread(begin, len(key))
+    total3 = np.add.reduceat(c[order], begin)
+    # All distinct runs of the range: pairs and slots of them, as in a block.
+    gv, gw, gu = v[run_slot[index]], w[of_pair[index]], u[index]
+    pairs = runs(combined(gv, gw))
+    pair = spread(pairs, len(gv))
+    total2 = np.add.reduceat(total3, pairs)
+    pv = gv[pairs]
+    slots = runs(pv)
+    slot = spread(slots, len(pairs))
+    word, word_before = pv[slots], before[run_slot[index[pairs[slots]]]]
+    hot = words.splits(word_before) > 1
+    p1 = np.where(total2 > 0, words.probability(w_count[of_pair[index[pairs]]]), 0.0)
+    low2, seen = _sums_by(slot, len(slots), total2, np.ones(len(total2)), KATZ_MAX, False), np.bincount(slot, weights=p1, minlength=len(slots))
+    any2 = low2.any(axis=0)
+    histories, history = np.unique(combined(slot[pair], gu), return_inverse=True)
+    n = len(histories)
+    low3, sums3 = _sums_by(history, n, total3, np.ones(len(total3)), KATZ_MAX, False), _sums_by(history, n, np.where(total3 > 0, total2[pair], 0), total2[pair], KATZ_MAX, True)
+    any3, known3 = low3.any(axis=0), np.bincount(history, weights=total3, minlength=n) > 0
+
+    t = p = s = 0
+    for row, x in zip(rows, columns, strict=True):
+        t_end, p_end, s_end = t + len(x[6]), p + len(x[3]), s + len(x[0])
+        own, first = at[t:t_end], np.concatenate(([0], np.cumsum(x[5])[:-1]))
+        c3, mine = total3[own], pair[own[first]]
+        c2, in_slot = total2[mine], of_slot[p:p_end] - s
+        context = slot[mine[np.concatenate(([0], np.cumsum(x[2])[:-1]))]]
+        unseen = np.bincount(in_slot, weights=c2 == 0, minlength=s_end - s) > 0
+        wanted = context[unseen & ~hot[context]]
+        # Histories in the block's order: by slot, then by the number of u.
+        _, where, of = np.unique(combined(run_slot[t:t_end] - s, x[6]), return_index=True, return_inverse=True)
+        mine3 = history[own[where]]
+        need = (np.bincount(of, weights=c3 == 0, minlength=len(where)) > 0) & known3[mine3] & (x[6][where] > NONE) & ~hot[slot[pair[own[where]]]]
+        yield GRAMS, part, row["block"], pack_parts(
+            pack_ints(c3), pack_ints(c2), pack_flags(any2[context]), pack_flags(unseen & ~hot[context]), pack_ints(low2[:, wanted].reshape(-1)), pack_bytes(seen[wanted].tobytes()),
+            pack_flags(any3[mine3]), pack_flags(need), pack_ints(low3[:, mine3[need]].reshape(-1)), pack_ints(sums3[:, mine3[need]].reshape(-1)),
+        ), None, None, None
+        t, p, s = t_end, p_end, s_end
+    yield SUMS, part, None, None, None, [*_low(total2, KATZ_MAX + 1), *_low(total3[gu > NONE], KATZ_MAX + 1)], None
+    for i in np.flatnonzero(hot).tolist():
+        yield HOT, part, None, None, int(word[i]), low2[:, i].tolist(), float(seen[i])
+    if hot.any():
+        where = np.unique(history, return_index=True)[1]
+        some = hot[slot[pair[where]]] & (gu[where] > NONE) & known3
+        hv, hu, to = gv[where[some]], gu[where[some]], history_part(gv[where[some]], gu[where[some]], words.parts)
+        low3, sums3 = low3[:, some], sums3[:, some]
+        for other in np.unique(to).tolist():
+            own = to == other
+            yield PARTIAL, other, None, pack_parts(pack_ints(hv[own]), pack_ints(hu[own]), pack_ints(low3[:, own].reshape(-1)), pack_ints(sums3[:, own].reshape(-1))), None, None, None
+
+
+def _sum_histories(part: int, rows: list[dict]) -> Iterator[tuple]:
+    """Replies about histories that end in words dealt out: found, any low count, low counts, sums."""
+    ints = lambda data: unpack_ints(data).astype(np.int64)
+    partial = [[ints(x) for x in unpack_parts(r["payload"])] for r in rows if r["kind"] == PARTIAL]
+    asked = [(r["block"], *map(ints, unpack_parts(r["payload"]))) for r in rows if r["kind"] == ASKED]
+    if not asked:
+        return
+    empty = np.zeros(0, np.int64)
+    v, u = (np.concatenate([*[x[i] for x in partial], *[a[i + 1] for a in asked]]) for i in (0, 1))
+    of = np.unique(combined(v, u), return_inverse=True)[1]
+    n, given = int(of.max()) + 1, sum(len(x[0]) for x in partial)
+    summed = []
+    for i, height in ((2, KATZ_MAX), (3, KATZ_MAX + 1)):
+        grid = np.concatenate([x[i].reshape(height, -1) for x in partial] or [empty.reshape(height, 0)], axis=1)
+        summed.append(np.stack([np.bincount(of[:given], weights=grid[k], minlength=n) for k in range(height)]).astype(np.int64))
+    found, done = np.bincount(of[:given], minlength=n) > 0, given
+    for block, own_v, _ in asked:
+        mine = of[done : done + len(own_v)]
+        done += len(own_v)
+        some = mine[found[mine]]
+        yield HISTORIES, part, block, pack_parts(pack_flags(found[mine]), pack_ints(summed[0][:, some].reshape(-1)), pack_ints(summed[1][:, some].reshape(-1)))
+
+
+# Scores
+
+
+def _score(row: dict, answers: list[dict], words: Words, d2: np.ndarray, d3: np.ndarray, hot: dict[int, tuple[list[int], float]]) -> Iterator[tuple]:
+    by = lambda kind: [a for a in answers if a["kind"] == kind]
+    g = Grams(row, by(WORDS), words)
+    c3, c2 = np.zeros(len(g.slot), dtype=np.int64), np.zeros(len(g.pairs), dtype=np.int64)
+    k, h = len(g.has), len(g.history_slot)
+    any2, low2, seen = np.zeros(k, dtype=bool), np.zeros((KATZ_MAX, k), dtype=np.int64), np.zeros(k)
+    any3, low3, sums3 = np.zeros(h, dtype=bool), np.zeros((KATZ_MAX, h), dtype=np.int64), np.zeros((KATZ_MAX + 1, h), dtype=np.int64)
+    for reply in by(GRAMS):
+        own, pairs, slots, histories = g.part_slices(reply["part"])
+        x = unpack_parts(reply["payload"])
+        c3[own], c2[pairs] = unpack_ints(x[0]), unpack_ints(x[1])
+        any2[slots], any3[histories] = unpack_flags(x[2], slots.stop - slots.start), unpack_flags(x[6], histories.stop - histories.start)
+        some = slots.start + np.flatnonzero(unpack_flags(x[3], slots.stop - slots.start))
+        low2[:, some], seen[some] = unpack_ints(x[4]).reshape(KATZ_MAX, -1), np.frombuffer(unpack_bytes(x[5]))
+        some = histories.start + np.flatnonzero(unpack_flags(x[7], histories.stop - histories.start))
+        low3[:, some], sums3[:, some] = unpack_ints(x[8]).reshape(KATZ_MAX, -1), unpack_ints(x[9]).reshape(KATZ_MAX + 1, -1)
+    number = g.number[g.slot_word]
+    for i in np.flatnonzero(g.slot_hot[g.has]).tolist():
+        sums, seen[i] = hot[int(number[g.has[i]])]
+        low2[:, i] = sums
+        any2[i] = low2[:, i].any()
+    if replies := by(HISTORIES):
+        v, u, part = g.dealt_histories(words.parts)
+        found, low, sums = np.zeros(len(v), dtype=bool), np.zeros((KATZ_MAX, len(v)), dtype=np.int64), np.zeros((KATZ_MAX + 1, len(v)), dtype=np.int64)
+        for reply in replies:
+            a, b = np.searchsorted(part, (reply["part"], reply["part"] + 1))
+            x = unpack_parts(reply["payload"])
+            some = a + np.flatnonzero(unpack_flags(x[0], b - a))
+            low[:, some], sums[:, some], found[some] = unpack_ints(x[1]).reshape(KATZ_MAX, -1), unpack_ints(x[2]).reshape(KATZ_MAX + 1, -1), True
+        of = np.flatnonzero(g.slot_hot[g.history_slot] & (g.history_u > NONE))
+        own = number[g.history_slot[of]]
+        keys = combined(np.concatenate((v, own)), np.concatenate((u, g.history_u[of])))
+        order = np.argsort(keys[: len(v)])
+        to = order[np.searchsorted(keys[: len(v)][order], keys[len(v) :])]
+        low3[:, of], sums3[:, of], any3[of] = low[:, to], sums[:, to], low[:, to].any(axis=0)
+
+    base1 = words.probability(g.count)
+    divisor2 = g.slot_before[g.has] + ~any2
+    back2 = freed(low2, d2) / divisor2 / np.maximum(1 - seen, base1[-1])
+    pair_slot = np.searchsorted(g.has, g.slot[g.pairs])
+    p2 = np.where(c2 > 0, discounted(c2, d2) / divisor2[pair_slot], back2[pair_slot] * base1[g.w[g.pairs]])
+    # How often a run's history was seen is the count of the pair that ends where the run's last word begins.
+    of_token = np.full(len(g.tokens) + 1, -1)
+    of_token[g.asked + 1] = g.pair[g.at]
+    earlier = of_token[g.asked]
+    times = np.zeros(len(g.slot), dtype=np.int64)
+    times[g.at] = np.where(earlier >= 0, np.append(c2, 0)[earlier], 0)
+    times[g.history_u[g.history] == NONE] = 0
+    history_slot = np.searchsorted(g.has, g.history_slot)
+    seen3 = (d2[1:] @ sums3[:KATZ_MAX] + sums3[KATZ_MAX]) / divisor2[history_slot]
+    divisor3 = np.maximum(1, times + ~any3[g.history])
+    back3 = (freed(low3, d3) / (1 - seen3))[g.history] / divisor3
+    p3 = np.where(times == 0, p2[g.pair], np.where(c3 > 0, discounted(c3, d3) / divisor3, back3 * p2[g.pair]))
+    score = base1[g.tokens]
+    score[g.asked] = p3[g.at]
+
+    counts, owner = g.count[g.tokens], places(g.sizes)[0]
     base = np.log10((counts + 0.5) / (words.total + 0.5 * (words.types + 1)))
-    totals = [np.bincount(owner, weights=x, minlength=len(sizes)) for x in (counts > 0, base, np.log10(score))]
+    totals = [np.bincount(owner, weights=x, minlength=len(g.sizes)) for x in (counts > 0, base, np.log10(score))]
     for i, key in enumerate(row["ids"]):
-        yield key, not bool(train[i]), int(sizes[i]), int(totals[0][i]), words.total, float(totals[1][i]), float(totals[2][i])
+        yield key, not bool(g.train[i]), int(g.sizes[i]), int(totals[0][i]), words.total, float(totals[1][i]), float(totals[2][i])
+
+
+def _summed(rows: DataFrame, kind: int, size: int) -> list[int]:
+    """The sums of the rows of a kind, place by place."""
+    sums = rows.filter(F.col("kind") == kind).agg(*[F.sum(F.col("sums")[i]).alias(str(i)) for i in range(size)]).first()
+    return [int(x or 0) for x in sums]
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
-    spark, parts = docs.sparkSession, exchange_partitions(docs.sparkSession)
-    blocks = write_blocks(docs, id_col, text_col, "katz-texts")
-    counted = materialise(answer(send(blocks, lambda r: _ask_words(r, parts)), WORDS_REPLY, _count_words), "katz-words")
-    classes = counted.filter("block is null").groupBy("count").agg(F.sum("types"), F.max("types")).collect()
-    train_docs = blocks.select(F.explode("ids").alias("id")).filter(F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != HELD_OUT, F.lit(True))).count()
-    words = spark.sparkContext.broadcast(Words([tuple(r) for r in classes], train_docs, parts))
-    replies = counted.filter("block is not null").select("part", "block", "payload")
-
-    asked = finish(blocks, replies, replies.schema, lambda row, got: _ask_pairs(row, got, words.value))
-    pairs = materialise(answer(asked, PAIRS_REPLY, lambda part, rows: _count_pairs(part, rows, words.value)), "katz-bigrams")
-    sums = pairs.filter("block is null").groupBy("word").agg(*[F.sum(c) for c in (*HOT, "n6", "seen")]).collect()
-    of_counts = next((list(r[1:7]) for r in sums if r[0] == -1), [0] * 6)
-    d, hot = discounts(of_counts), spark.sparkContext.broadcast(Hot([(*r[0:6], r[7]) for r in sums if r[0] != -1]))
-
-    both = replies.withColumn("pairs", F.lit(False)).unionByName(pairs.filter("block is not null").select("part", "block", "payload").withColumn("pairs", F.lit(True)))
+    spark, size = docs.sparkSession, input_bytes(docs)
+    parts = parts or exchange_ranges(size)
+    blocks = write_coded(docs, id_col, text_col, "katz-words")
+    counted = materialise(answer(send(blocks, lambda r: _ask_words(r, parts), ROW), REPLY, _count_words), "katz-counts", size)
+    total, types, documents, *low = _summed(counted, SUMS, 3 + KATZ_MAX + 1)
+    words = Words(parts, total, types, documents, tuple(low))
+    replies = counted.filter(F.col("kind") == WORDS).select(*ROW.fieldNames())
+
+    asked = finish(blocks, replies, ROW, lambda row, got: _ask_grams(row, got, words))
+    grams = materialise(answer(asked, REPLY, lambda part, rows: _count_grams(part, rows, words)), "katz-runs", size)
+    sums = _summed(grams, SUMS, 2 * (KATZ_MAX + 1))
+    d2, d3 = discounts(sums[: KATZ_MAX + 1]), discounts(sums[KATZ_MAX + 1 :])
+    dealt = grams.filter(F.col("kind") == HOT).groupBy("word").agg(*[F.sum(F.col("sums")[i]) for i in range(KATZ_MAX)], F.sum("seen")).collect()
+    hot = spark.sparkContext.broadcast({r[0]: (list(r[1:-1]), r[-1]) for r in dealt})
+    histories = materialise(answer(grams.filter(F.col("kind").isin(PARTIAL, ASKED)).select(*ROW.fieldNames()), ROW, _sum_histories), "katz-histories", size)
+
+    both = replies.unionByName(grams.filter(F.col("kind") == GRAMS).select(*ROW.fieldNames())).unionByName(histories)
     schema = T.StructType().add(id_col, blocks.schema["ids"].dataType.elementType).add("held_out", T.BooleanType())
     for name in ("n_tokens", "n_known", "train_tokens"):
         schema = schema.add(name, T.LongType())
     schema = schema.add("base_score", T.DoubleType()).add("score", T.DoubleType())
-    return finish(blocks, both, schema, lambda row, got: _score(row, got, words.value, d, hot.value))
+    return finish(blocks, both, schema, lambda row, got: _score(row, got, words, d2, d3, hot.value)).coalesce(width(spark, size))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
