@@ -40,7 +40,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 # A written table's row groups are held in memory until they are full; Spark's default is 128 MB.
 ROW_GROUP_BYTES = 16 << 20
 TASK_BYTES = 16 << 20
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 3 << 20
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
