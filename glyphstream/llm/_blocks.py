@@ -22,11 +22,12 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._scratch import input_bytes, materialise, texts, utf8_values, width
+from ._scratch import bucketed, input_bytes, texts, utf8_values, width
 
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 4_000_000
 MESSAGE_BYTES = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -169,14 +170,19 @@ def unpack_parts(data: bytes) -> list[bytes]:
 
 # Blocks
 
-BLOCK = ("block", "ids", "sizes", "data")
+BLOCK = ("task", "block", "ids", "sizes", "data")
+MAX_BUCKETS = 50_000
 
 
 def _write(docs: DataFrame, id_col: str, text_col: str, label: str, make: Callable[[bytes, np.ndarray], tuple[np.ndarray, bytes]]) -> DataFrame:
-    """(block, ids, sizes, data): ``make`` turns a block's bytes and offsets into sizes and data."""
+    """(task, block, ids, sizes, data): ``make`` turns a block's bytes and offsets into sizes and data.
+
+    The table is bucketed by the task that wrote a block, the upper half of its number. So each
+    task writes one file, and blocks meet their answers without a shuffle of their own.
+    """
     source, size = texts(docs, id_col, text_col), input_bytes(docs)
     source = source.coalesce(width(docs.sparkSession, size))
-    kinds = [T.LongType(), T.ArrayType(source.schema["id"].dataType), T.BinaryType(), T.BinaryType()]
+    kinds = [T.LongType(), T.LongType(), T.ArrayType(source.schema["id"].dataType), T.BinaryType(), T.BinaryType()]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(BLOCK, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +194,7 @@ def _write(docs: DataFrame, id_col: str, text_col: str, label: str, make: Callab
         def row() -> pa.RecordBatch:
             at = np.concatenate(([0], np.cumsum(sizes)))
             found, data = make(b"".join(parts), at)
-            values = [[block], [ids], [pack_ints(found)], [data]]
+            values = [[block >> 32], [block], [ids], [pack_ints(found)], [data]]
             return pa.record_batch([pa.array(v, type=f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
@@ -205,7 +211,7 @@ def _write(docs: DataFrame, id_col: str, text_col: str, label: str, make: Callab
         if ids:
             yield row()
 
-    return materialise(source.mapInArrow(run, schema), label, size)
+    return bucketed(source.mapInArrow(run, schema), label, "task", min(MAX_BUCKETS, 4 * width(docs.sparkSession, size)))
 
 
 def write_blocks(docs: DataFrame, id_col: str, text_col: str, label: str) -> DataFrame:
@@ -292,4 +298,5 @@ def finish(blocks: DataFrame, answers: DataFrame, schema: T.StructType, make: Ca
         batches = [b for block in left.to_pylist() for b in _batches(make(block, rows), arrow)]
         return pa.Table.from_batches(batches, schema=arrow)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    dealt = answers.withColumn("task", F.shiftright("block", 32))
+    return blocks.groupBy("task", "block").cogroup(dealt.groupBy("task", "block")).applyInArrow(run, schema)
