@@ -6,8 +6,8 @@ the smallest that suffices; a segment tree over the free space finds it in O(log
 
 Every input partition is tokenised and packed where it is read, in blocks of at most
 ``block_tokens`` tokens: no shuffle, memory bounded by the block, and a lost task packs the
-same rows again. Only the last windows of a block are loosely filled, so partitions should
-hold some hundred windows (``partitions`` merges small ones, again without a shuffle).
+same rows again. Only the last windows of a block are loosely filled, so small partitions are
+merged, again without a shuffle, until they are PARTITION_BYTES of files, some 250 windows.
 
 Null texts count as empty: such a document is the end token alone. Rows that repeat are
 packed as often as they occur, ties in length go in reading order, null ids are carried
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._scratch import table, texts
+from ._scratch import input_bytes, table, texts
 
 WINDOW = 4096
 END_ID = 2
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 300_000
+BETWEEN = "~^`|★☆■▪●◆►▶♥♦♪"  # marks that are one token each
+PARTITION_BYTES = 4 << 20
 
 
 class OpenWindows:
@@ -85,83 +88,94 @@ class WordCache:
     """Token ids of a text, as little-endian unsigned 32-bit integers.
 
     For tokenizers that lower-case and whose pieces never span a space or a line break, nor a
-    letter and a full stop or comma after it: each word is encoded once and remembered, by all
-    tasks of a Python worker.
+    letter or digit and a full stop or comma after it: each word is encoded once and remembered.
+    Words are forgotten that haven't been met while CACHE_WORDS others were.
     """
 
-    _by_path: dict[str, WordCache] = {}
-
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    @classmethod
-    def of(cls, path: str) -> WordCache:
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
-
-    def _forget(self) -> None:
-        self.known: dict[str, bytes] = {"": b""}
-        self._learn([".", ","])
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode the words in one text, a line for each, and deal the ids out by their offsets."""
-        for begin in range(0, len(words), 20_000):
-            part = words[begin : begin + 20_000]
-            found = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
-            sizes = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1
-            at = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(ids))
-            edges = (4 * np.searchsorted(at, np.concatenate(([0], np.cumsum(sizes))))).tolist()
-            data = ids.tobytes()
-            self.known.update(zip(part, (data[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = self._encoded([".", ","])
+
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Encode the words in one text, a line for each, with lines between them of a mark that none has."""
+        if len(words) > 20_000:
+            return {k: v for begin in range(0, len(words), 20_000) for k, v in self._encoded(words[begin : begin + 20_000]).items()}
+        everything = "".join(words)
+        mark = next((m for m in BETWEEN if m not in everything), None)
+        if mark is None and len(words) > 1:
+            return self._encoded(words[: len(words) // 2]) | self._encoded(words[len(words) // 2 :])
+        ids = self._ids(f"\n{mark}\n".join(words))
+        ends = [*(4 * np.flatnonzero(ids == self._ids(mark)[0])).tolist(), 4 * len(ids)] if mark else [4 * len(ids)]
+        data = ids.tobytes()
+        return dict(zip(words, [data[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends, strict=False)], strict=bool(words)))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def encode(self, batch: list[str]) -> Iterator[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in batch]
-        if len(self.known) > CACHE_WORDS:
-            self._forget()
-        known = self.known
-        parts = {}
-        for word in {word for words in split for word in words if word not in known}:
-            before = word[-2:-1]
-            # Latin letters that stay one letter in lower case.
-            stem = word[:-1] if word[-1] in ".," and before < "\u0250" and before.isalpha() and len(before.lower()) == 1 else word
-            parts[word] = stem.lower() if stem.isascii() else stem, word[len(stem) :]
-        self._learn(list({stem for stem, _ in parts.values() if stem not in known}))
-        for word, (stem, mark) in parts.items():
-            known[word] = known[stem] + known[mark]
-        get = known.__getitem__
+        wanted = set().union(*split)
+        wanted.discard("")
+        young, old = self.young, self.old
+        fresh = wanted - young.keys()
+        again = fresh & old.keys()
+        young.update((word, old[word]) for word in again)
+        self._learn(fresh - again)
+        known = young
+        known[""] = b""
         for words in split:
-            yield b"".join(map(get, words))
-
-
-def _emit(ids: list, tokens: list[bytes], window: int, sequence: int, schema: pa.Schema) -> tuple[list[pa.RecordBatch], int]:
-    """Pack one block; sequence is the first free sequence number."""
+            yield b"".join(map(known.__getitem__, words))
+        if len(young) > CACHE_WORDS:
+            self.young, self.old = {}, young
+
+    def _learn(self, words: set[str]) -> None:
+        plain, marked = [], []
+        for word in words:
+            (marked if word[-1] in ".," and word[-2:-1] in PLAIN else plain).append(word)
+        # Plain ASCII is lower-cased here, as the tokenizer would; a special token's name has marks in it.
+        low = lambda word: word.lower() if word.isascii() and "<" not in word else word
+        stems = {word: low(word) for word in plain}
+        stems |= {word: low(word[:-1]) for word in marked}
+        found = dict.fromkeys(stems.values())
+        for known in (self.old, self.young):
+            found |= {stem: known[stem] for stem in found.keys() & known.keys()}
+        found |= self._encoded([stem for stem, ids in found.items() if ids is None])
+        self.young.update((word, found[stems[word]]) for word in plain)
+        self.young.update((word, found[stems[word]] + self.marks[word[-1]]) for word in marked)
+
+
+# Letters and digits that are one character in lower case too; "" isn't one.
+PLAIN = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and (c.isalpha() or c.isdecimal()) and len(c.lower()) == 1)
+
+
+def _rows(ids: list, tokens: list[bytes], window: int, sequence: int) -> Iterator[tuple]:
+    """The pieces of one block; sequence is the first free sequence number."""
     rest: list[tuple[int, int, int]] = []
-    rows: list[tuple] = []
     for doc, data in enumerate(tokens):
         total = len(data) // 4
         full = total - total % window
         for start in range(0, full, window):
-            rows.append((ids[doc], start, window, data[4 * start : 4 * (start + window)], total, sequence, 0))
+            yield ids[doc], start, window, data[4 * start : 4 * (start + window)], total, sequence, 0
             sequence += 1
         if total > full:
             rest.append((doc, full, total))
     for group in best_fit_decreasing([total - start for _, start, total in rest], window):
         offset = 0
         for doc, start, total in (rest[i] for i in group):
-            rows.append((ids[doc], start, total - start, tokens[doc][4 * start :], total, sequence, offset))
+            yield ids[doc], start, total - start, tokens[doc][4 * start :], total, sequence, offset
             offset += total - start
         sequence += 1
-    out = []
-    for begin in range(0, len(rows), 4096):
-        columns = list(zip(*rows[begin : begin + 4096], strict=True))
-        out.append(pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
-    return out, sequence
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, 512)):
+        columns = list(zip(*part, strict=True))
+        yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def pack(
@@ -172,12 +186,11 @@ def pack(
     text_col: str = "text",
     window: int = WINDOW,
     end_id: int = END_ID,
-    block_tokens: int = 16_000_000,
+    block_tokens: int = 4_000_000,
     partitions: int | None = None,
 ) -> DataFrame:
     """One row for each piece: id, start, length, ids (little-endian u32), doc_tokens, sequence_id, offset."""
-    source = texts(docs, id_col, text_col)
-    source = source.coalesce(partitions) if partitions else source
+    source = texts(docs, id_col, text_col).coalesce(partitions or max(1, input_bytes(docs) // PARTITION_BYTES))
     out_id = source.schema["id"].dataType
     schema = T.StructType(
         [T.StructField(id_col, out_id), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())]
@@ -191,19 +204,19 @@ def pack(
         sequence = TaskContext.get().partitionId() << 40
         ids, tokens, held = [], [], 0
         for batch in batches:
-            cache = cache or WordCache.of(tokenizer_path)
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            cache = cache or WordCache(tokenizer_path)
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
                 for key, data in zip(part.column(0).to_pylist(), cache.encode(part.column(1).to_pylist()), strict=True):
                     ids.append(key)
                     tokens.append(data + end)
                     held += len(data) // 4 + 1
                 if held >= block_tokens:
-                    out, sequence = _emit(ids, tokens, window, sequence, arrow)
-                    yield from out
+                    yield from _batches(_rows(ids, tokens, window, sequence), arrow)
+                    sequence += held  # no block has more windows than tokens
                     ids, tokens, held = [], [], 0
         if ids:
-            yield from _emit(ids, tokens, window, sequence, arrow)[0]
+            yield from _batches(_rows(ids, tokens, window, sequence), arrow)
 
     return source.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glyphstream.llm.packing import best_fit_decreasing, pack, tokenizer_file
+from glyphstream.llm.packing import BETWEEN, best_fit_decreasing, pack, query, tokenizer_file
 
 
 @settings(max_examples=200, deadline=None)
@@ -27,7 +27,7 @@ def test_best_fit_equals_scanning_all_windows(lengths):
 def test_pieces_cover_every_document_once(spark):
     from tokenizers import Tokenizer
 
-    texts = {1: "Hello  world\n\tÉcole 's <|endoftext|>x", 2: None, 3: "", 4: "word two " * 9000, 5: "á ẛ̣ 　 Σας", 6: "word two " * 3000, 7: "x", 8: "x"}
+    texts = {1: "Hello  world\n\tÉcole 's <|endoftext|>x", 2: None, 3: "", 4: "word two " * 9000, 5: "á ẛ̣ 　 Σας", 6: "word two " * 3000, 7: "x", 8: "x", 9: "~^`| a~ b^ c`. d| <|ENDOFTEXT|>. İ. ÀB, 3. 4, ..", 10: BETWEEN, 11: " ".join(f"{m}w" for m in BETWEEN)}
     docs = spark.createDataFrame([(k, v, 0) for k, v in texts.items()] + [(8, "x", 1), (None, "y", 2)], "doc_id long, text string, start int")
     rows = pack(docs, tokenizer_file(), window=256, partitions=1).collect()
     tok = Tokenizer.from_file(tokenizer_file())
@@ -52,3 +52,19 @@ def test_pieces_cover_every_document_once(spark):
         assert at <= 256
     assert pack(docs.limit(0), tokenizer_file()).count() == 0
     assert zlib.crc32(b"") == 0
+
+
+def test_query_digests_and_padding(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_file())
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    ids = {k: np.array(tok.encode(t, add_special_tokens=False).ids + [2], dtype="<u4") for k, t in docs.items()}
+    rows, covered, used = query(spark, "/root/testdata/sf0.001").collect(), Counter(), Counter()
+    for r in rows:
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert (len(piece), zlib.crc32(piece.tobytes()), len(ids[r.doc_id])) == (r.length, r.ids_crc32, r.doc_tokens)
+        covered[r.doc_id] += r.length
+        used[r.sequence_id] += r.length
+    assert covered == {k: len(v) for k, v in ids.items()} and max(used.values()) <= 4096
+    assert sum(used.values()) > 0.97 * 4096 * len(used)
