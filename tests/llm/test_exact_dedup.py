@@ -2,7 +2,8 @@ import hashlib
 
 import numpy as np
 
-from glyphstream.llm.exact_dedup import drop_copies, filter_bits, mark_copies
+from glyphstream.llm import exact_dedup
+from glyphstream.llm.exact_dedup import MAX_BITS, drop_copies, filter_bits, mark_copies, query
 
 
 def low(text):
@@ -35,4 +36,23 @@ def test_null_ids_repeats_and_no_rows(spark):
 
 def test_filter_is_bounded():
     assert filter_bits(0) == 1024
-    assert filter_bits(10**12) == 1 << 27
+    assert filter_bits(10**12) == MAX_BITS
+
+
+def test_unique_rows_do_not_shuffle(spark, monkeypatch):
+    """Slots in several ranges and messages; of rows that are all unique, few are asked about twice."""
+    monkeypatch.setattr(exact_dedup, "RANGE_BITS", 1 << 12)
+    monkeypatch.setattr(exact_dedup, "TASK_ROWS", 300)
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id % 3990) AS text").repartition(4)
+    bits = filter_bits(4000)
+    found = exact_dedup.asked(docs, "text", ["doc_id"], exact_dedup.repeated_filter(docs, "text", bits), bits)
+    maybe = {r.doc_id for r in found.filter("__gs_maybe").collect()}
+    assert maybe >= {*range(10), *range(3990, 4000)} and len(maybe) < 100
+
+
+def test_query_as_brute_force(spark):
+    got = {tuple(r) for r in query(spark, "/root/testdata/sf0.001").collect()}
+    groups, rows = {}, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    for i, t in rows:
+        groups.setdefault(low(t), []).append(i)
+    assert got == {(i, max(g := groups[low(t)]), len(g), i == max(g), hashlib.sha256(low(t).encode()).hexdigest()) for i, t in rows}
