@@ -16,7 +16,9 @@ along, and other columns stay behind. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import islice
 
@@ -84,23 +86,124 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[list[int]]:
     return groups
 
 
+def byte_letters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+class Merges:
+    """Byte-pair merges of many words at once, by the merges of a tokenizer's file.
+
+    In each round every word merges its pair of the least rank, at all of its places from the
+    left, until no word has a pair that can be merged.
+    """
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, suffix, letters = model["vocab"], model["end_of_word_suffix"], byte_letters()
+        self.inner = np.array([vocabulary[c] for c in letters])
+        self.last = np.array([vocabulary[c + suffix] for c in letters])
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.none = len(pairs)
+        keys = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in pairs], dtype=np.uint64)
+        self.made = np.array([vocabulary[a + b] for a, b in pairs])
+        # Open addressing: a pair lies at its hash or at one of the next places.
+        self.bits = max(10, (4 * len(pairs)).bit_length())
+        self.keys, self.rank, left = np.full(1 << self.bits, np.uint64((1 << 64) - 1)), np.full(1 << self.bits, self.none), np.arange(len(pairs))
+        at = self._place(keys)
+        while len(left):
+            free = left[self.keys[at[left]] == np.uint64((1 << 64) - 1)]
+            _, first = np.unique(at[free], return_index=True)
+            self.keys[at[free[first]]], self.rank[at[free[first]]] = keys[free[first]], free[first]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & (1 << self.bits) - 1
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, ``none`` for those that don't merge."""
+        keys = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+        at = self._place(keys)
+        found, out = self.keys[at], self.rank[at]
+        left = np.flatnonzero((found != keys) & (out != self.none))
+        out[left] = self.none
+        while len(left):
+            at[left] = (at[left] + 1) & (1 << self.bits) - 1
+            found, rank = self.keys[at[left]], self.rank[at[left]]
+            out[left[found == keys[left]]] = rank[found == keys[left]]
+            left = left[(found != keys[left]) & (rank != self.none)]
+        return out
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has); no word may be empty."""
+        raw, sizes = np.frombuffer(b"".join(words), dtype=np.uint8), np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        symbol, word = self.inner[raw], np.repeat(np.arange(len(words)), sizes)
+        ends = np.cumsum(sizes) - 1
+        symbol[ends] = self.last[raw[ends]]
+        rank = np.append(self.ranks(symbol[:-1], symbol[1:]), self.none)
+        rank[ends] = self.none
+        done_ids, done_words = [], []
+        while len(symbol):
+            begins = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            least = np.repeat(np.minimum.reduceat(rank, begins), np.diff(np.append(begins, len(symbol))))
+            ended = least == self.none
+            if ended.any():
+                done_ids.append(symbol[ended])
+                done_words.append(word[ended])
+                symbol, word, rank, least = symbol[~ended], word[~ended], rank[~ended], least[~ended]
+                if not len(symbol):
+                    break
+            merge = rank == least
+            if (merge[1:] & merge[:-1]).any():  # a run of places that overlap: every other one
+                place = np.arange(len(merge))
+                before = np.maximum.accumulate(np.where(merge, -1, place))
+                merge &= (place - before) % 2 == 1
+            at = np.flatnonzero(merge)
+            symbol[at] = self.made[rank[at]]
+            keep = np.ones(len(symbol), dtype=bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))
+            symbol, word = symbol[keep], word[keep]
+            rank = rank[keep]
+            for near in (at, at[at > 0] - 1):
+                after = np.minimum(near + 1, len(symbol) - 1)
+                rank[near] = np.where((word[after] == word[near]) & (after > near), self.ranks(symbol[near], symbol[after]), self.none)
+        ids, of = np.concatenate(done_ids), np.concatenate(done_words)
+        order = np.argsort(of, kind="stable")
+        return ids[order].astype("<u4"), np.bincount(of, minlength=len(words))
+
+
 class WordCache:
     """Token ids of a text, as little-endian unsigned 32-bit integers.
 
-    For tokenizers that lower-case and whose pieces never span a space or a line break, nor a
-    letter or digit and a full stop or comma after it: each word is encoded once and remembered.
-    Words are forgotten that haven't been met while CACHE_WORDS others were.
+    For byte-level tokenizers with word ends that lower-case and whose pieces are runs of
+    letters, single digits, or runs of what is neither: each word is encoded once and
+    remembered by all tasks of a Python worker. Words of plain letters are merged here, many
+    at once; others go to the tokenizer. Words are forgotten that haven't been met while
+    CACHE_WORDS others were.
     """
 
+    _by_path: dict[str, WordCache] = {}
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks = self._encoded([".", ","])
 
+    @classmethod
+    def of(cls, path: str) -> WordCache:
+        if path not in cls._by_path:
+            cls._by_path[path] = cls(path)
+        return cls._by_path[path]
+
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
         """Encode the words in one text, a line for each, with lines between them of a mark that none has."""
         if len(words) > 20_000:
@@ -114,6 +217,13 @@ class WordCache:
         data = ids.tobytes()
         return dict(zip(words, [data[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends, strict=False)], strict=bool(words)))
 
+    def _merged(self, stems: list[str]) -> dict[str, bytes]:
+        if not stems:
+            return {}
+        ids, sizes = self.merges.encode([stem.lower().encode() for stem in stems])
+        data, edges = ids.tobytes(), np.concatenate(([0], 4 * np.cumsum(sizes))).tolist()
+        return dict(zip(stems, [data[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -144,11 +254,15 @@ class WordCache:
         found = dict.fromkeys(stems.values())
         for known in (self.old, self.young):
             found |= {stem: known[stem] for stem in found.keys() & known.keys()}
-        found |= self._encoded([stem for stem, ids in found.items() if ids is None])
+        new = [stem for stem, ids in found.items() if ids is None]
+        found |= self._merged([stem for stem in new if LETTERS.fullmatch(stem)])
+        found |= self._encoded([stem for stem in new if found[stem] is None])
         self.young.update((word, found[stems[word]]) for word in plain)
         self.young.update((word, found[stems[word]] + self.marks[word[-1]]) for word in marked)
 
 
+# Letters that are composed, and one letter in lower case: of Latin, Greek and Cyrillic.
+LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f\u0391-\u03a1\u03a4-\u03a9\u03b1-\u03c1\u03c3-\u03c9\u0410-\u044f]+")
 # Letters and digits that are one character in lower case too; "" isn't one.
 PLAIN = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and (c.isalpha() or c.isdecimal()) and len(c.lower()) == 1)
 
@@ -204,7 +318,7 @@ def pack(
         sequence = TaskContext.get().partitionId() << 40
         ids, tokens, held = [], [], 0
         for batch in batches:
-            cache = cache or WordCache(tokenizer_path)
+            cache = cache or WordCache.of(tokenizer_path)
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 for key, data in zip(part.column(0).to_pylist(), cache.encode(part.column(1).to_pylist()), strict=True):

@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glyphstream.llm.packing import BETWEEN, best_fit_decreasing, pack, query, tokenizer_file
+from glyphstream.llm.packing import BETWEEN, LETTERS, WordCache, best_fit_decreasing, pack, query, tokenizer_file
 
 
 @settings(max_examples=200, deadline=None)
@@ -54,6 +54,20 @@ def test_pieces_cover_every_document_once(spark):
     assert zlib.crc32(b"") == 0
 
 
+def test_words_as_the_tokenizer():
+    import pyarrow.dataset as ds
+    from tokenizers import Tokenizer
+
+    tok, cache, rng = Tokenizer.from_file(tokenizer_file()), WordCache(tokenizer_file()), np.random.default_rng(1)
+    letters = [chr(c) for c in range(0x41, 0x460) if LETTERS.fullmatch(chr(c))]
+    words = ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(3000)] + ["a" * n for n in range(1, 40)] + ["nana" * n for n in range(1, 9)] + letters
+    words += {w for t in ds.dataset("/root/testdata/sf0.001/documents.parquet").to_table()["text"].to_pylist() for w in (t or "").split()}
+    for word, got in zip(words, cache.encode(words), strict=True):
+        assert got == np.array(tok.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes(), word
+    text = "Straße ΣΑΣ ǅ ŉ ﬁ x\u0301 e\u0301. \u0130 don't I'LL 12.5,3 <|startoftext|>a"
+    assert next(cache.encode([text])) == np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def test_query_digests_and_padding(spark):
     from tokenizers import Tokenizer
 
