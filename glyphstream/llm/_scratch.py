@@ -39,9 +39,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 # A written table's row groups are held in memory until they are full; Spark's default is 128 MB.
 ROW_GROUP_BYTES = 16 << 20
-TASK_BYTES = 16 << 20
+TASK_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -67,11 +67,13 @@ def materialise(df: DataFrame, label: str, size: int = 0) -> DataFrame:
 
 
 def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
-    """As materialise, bucketed by a column; what groups by it reads the table without a shuffle.
+    """As materialise, bucketed by a column; what groups by it, and more, reads the table without a shuffle.
 
     Buckets need a table in the catalog; it is dropped again at once, as the frame needs its files only.
     """
     spark, path, name = df.sparkSession, scratch_path(df.sparkSession, label), f"glyphstream_{uuid.uuid4().hex}"
+    # Else Spark shuffles where a grouping has more columns than the buckets.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     df.write.format("parquet").option("path", path).option("parquet.block.size", ROW_GROUP_BYTES).bucketBy(buckets, column).saveAsTable(name)
     written = spark.table(name)
     written.schema  # resolved before the name goes

@@ -287,9 +287,11 @@ def _ask_grams(row: dict, answers: list[dict], words: Words) -> Iterator[tuple]:
 
 def _sums_by(groups: np.ndarray, n: int, counts: np.ndarray, values: np.ndarray, most: int, rest: bool) -> np.ndarray:
     """Sums of values by group, a row for each count 1..most of ``counts``, and one for larger ones if ``rest``."""
-    rows = [np.bincount(groups[own := counts == r], weights=values[own], minlength=n) for r in range(1, most + 1)]
-    rows += [np.bincount(groups[own := counts > most], weights=values[own], minlength=n)] if rest else []
-    return np.stack(rows).astype(np.int64)
+    out = np.empty((most + rest, n), dtype=np.int64)
+    for r in range(1, most + rest + 1):
+        own = counts == r if r <= most else counts > most
+        out[r - 1] = np.bincount(groups[own], weights=values[own], minlength=n)
+    return out
 
 
 def _count_grams(part: int, rows: list[dict], words: Words) -> Iterator[tuple]:
@@ -300,7 +302,9 @@ def _count_grams(part: int, rows: list[dict], words: Words) -> Iterator[tuple]:
     if not rows:
         return
     columns = [[unpack_sorted(p[0]).astype(np.int64), *(unpack_ints(x).astype(np.int64) for x in p[1:])] for p in (unpack_parts(r["payload"]) for r in rows)]
+    rows = [(r["block"], len(x[0]), len(x[3]), x[2], x[5], len(x[6])) for r, x in zip(rows, columns, strict=True)]
     v, before, v_size, w, w_count, w_size, u, c = (np.concatenate([x[i] for x in columns]) for i in range(8))
+    del columns
     of_pair, of_slot = np.repeat(np.arange(len(w)), w_size), np.repeat(np.arange(len(v)), v_size)
     run_slot = of_slot[of_pair]
     key = combined(v[run_slot], w[of_pair], u)
@@ -328,19 +332,19 @@ def _count_grams(part: int, rows: list[dict], words: Words) -> Iterator[tuple]:
     any3, known3 = low3.any(axis=0), np.bincount(history, weights=total3, minlength=n) > 0
 
     t = p = s = 0
-    for row, x in zip(rows, columns, strict=True):
-        t_end, p_end, s_end = t + len(x[6]), p + len(x[3]), s + len(x[0])
-        own, first = at[t:t_end], np.concatenate(([0], np.cumsum(x[5])[:-1]))
+    for block, n_slots, n_pairs, slot_sizes, pair_sizes, n_runs in rows:
+        t_end, p_end, s_end = t + n_runs, p + n_pairs, s + n_slots
+        own, first = at[t:t_end], np.concatenate(([0], np.cumsum(pair_sizes)[:-1]))
         c3, mine = total3[own], pair[own[first]]
         c2, in_slot = total2[mine], of_slot[p:p_end] - s
-        context = slot[mine[np.concatenate(([0], np.cumsum(x[2])[:-1]))]]
+        context = slot[mine[np.concatenate(([0], np.cumsum(slot_sizes)[:-1]))]]
         unseen = np.bincount(in_slot, weights=c2 == 0, minlength=s_end - s) > 0
         wanted = context[unseen & ~hot[context]]
         # Histories in the block's order: by slot, then by the number of u.
-        _, where, of = np.unique(combined(run_slot[t:t_end] - s, x[6]), return_index=True, return_inverse=True)
+        _, where, of = np.unique(combined(run_slot[t:t_end] - s, u[t:t_end]), return_index=True, return_inverse=True)
         mine3 = history[own[where]]
-        need = (np.bincount(of, weights=c3 == 0, minlength=len(where)) > 0) & known3[mine3] & (x[6][where] > NONE) & ~hot[slot[pair[own[where]]]]
-        yield GRAMS, part, row["block"], pack_parts(
+        need = (np.bincount(of, weights=c3 == 0, minlength=len(where)) > 0) & known3[mine3] & (u[t:t_end][where] > NONE) & ~hot[slot[pair[own[where]]]]
+        yield GRAMS, part, block, pack_parts(
             pack_ints(c3), pack_ints(c2), pack_flags(any2[context]), pack_flags(unseen & ~hot[context]), pack_ints(low2[:, wanted].reshape(-1)), pack_bytes(seen[wanted].tobytes()),
             pack_flags(any3[mine3]), pack_flags(need), pack_ints(low3[:, mine3[need]].reshape(-1)), pack_ints(sums3[:, mine3[need]].reshape(-1)),
         ), None, None, None
@@ -456,7 +460,7 @@ def _summed(rows: DataFrame, kind: int, size: int) -> list[int]:
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
     spark, size = docs.sparkSession, input_bytes(docs)
-    parts = parts or exchange_ranges(size)
+    parts = parts or exchange_ranges(2 * size)  # runs of words are more than words
     blocks = write_coded(docs, id_col, text_col, "katz-words")
     counted = materialise(answer(send(blocks, lambda r: _ask_words(r, parts), ROW), REPLY, _count_words), "katz-counts", size)
     total, types, documents, *low = _summed(counted, SUMS, 3 + KATZ_MAX + 1)
