@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._scratch import materialise, scratch_path, table
+from ._scratch import input_bytes, materialise, scratch_path, table
 
 DATE = "2026-01-01T00:00:00Z"
 # Fixed values of the WARC 1.1 format and of RFC 4648.
@@ -41,6 +41,9 @@ def record_id(key: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
+KEY, REFERS = "X-Record-Key", "X-Refers-To-Key"  # extension fields, left out for a null key
+
+
 def header_bytes(key: Column, url: Column, size: Column, payload_digest: Column, refers_to: Column, revisit: Column) -> Column:
     """The WARC header and the HTTP head, up to the payload."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"))
@@ -51,6 +54,8 @@ def header_bytes(key: Column, url: Column, size: Column, payload_digest: Column,
         F.lit("\r\nWARC-Record-ID: "),
         record_id(key),
         F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), target), F.lit("")),
+        F.coalesce(F.concat(F.lit(f"\r\n{KEY}: "), key.cast("string")), F.lit("")),
+        F.when(revisit, F.coalesce(F.concat(F.lit(f"\r\n{REFERS}: "), refers_to.cast("string")), F.lit(""))).otherwise(""),
         F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Payload-Digest: sha1:"),
         payload_digest,
         F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), record_id(refers_to))).otherwise(""),
@@ -70,7 +75,7 @@ def write_archive(pages: DataFrame, path: str, *, key_col: str = "page_id", url_
 
     sized = hashed.select("key", "url", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_digest"))
     whole = F.col("payload_bytes") >= min_revisit_bytes
-    last = materialise(sized.filter(whole).groupBy("digest").agg(F.max("key").alias("last")), "responses")
+    last = materialise(sized.filter(whole).groupBy("digest").agg(F.max("key").alias("last")), "responses", input_bytes(pages))
     joined = sized.join(last, "digest", "left")
     revisit = F.coalesce(F.col("last").isNotNull() & ~F.col("key").eqNullSafe(F.col("last")), F.lit(False))
     joined.select(
@@ -101,6 +106,31 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return headers.join(read_payloads(spark, path), "digest").select("key", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", record.alias("record"))
 
 
+def read_records(spark: SparkSession, path: str, key_type: str = "bigint") -> DataFrame:
+    """key, record_type, refers_to, payload_bytes and payload_digest, parsed out of each rebuilt record.
+
+    Fields come from the record's own header. The block of a response must have the length and
+    the digest that the header gives, else there is an error. Keys are read back as key_type.
+    """
+    # The two heads end at the second empty line; the block is what follows, up to the record's end.
+    text = F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 2)
+    parsed = read_archive(spark, path).select("record", text.alias("head"))
+    field = lambda name, value: F.regexp_extract("head", rf"\r\n{name}: {value}\r\n", 1)
+    given = lambda name: F.when(F.col(name) != "", F.col(name)).cast(key_type)
+    heads = F.octet_length("head") + 4
+    parsed = parsed.select(
+        field("WARC-Type", r"(\w+)").alias("record_type"),
+        field("WARC-Payload-Digest", r"sha1:(\w+)").alias("payload_digest"),
+        F.regexp_extract("head", r"(?s)\r\n\r\nHTTP/.*\r\nContent-Length: (\d+)", 1).cast("long").alias("payload_bytes"),
+        field(KEY, r"([^\r\n]*)").alias("key"),
+        field(REFERS, r"([^\r\n]*)").alias("refers_to"),
+        F.substr("record", heads + 1, F.octet_length("record") - heads - 4).alias("payload"),
+    )
+    sound = (F.col("record_type") == "revisit") | ((F.octet_length("payload") == F.col("payload_bytes")) & (sha1_base32(F.col("payload")) == F.col("payload_digest")))
+    checked = F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a record's block differs from its header: "), "payload_digest")).cast("string"))
+    return parsed.select(given("key").alias("key"), "record_type", given("refers_to").alias("refers_to"), "payload_bytes", checked.alias("payload_digest"))
+
+
 def parse_records(blob: bytes) -> list[tuple[dict[str, str], bytes]]:
     """(header fields, block) of each record in WARC bytes."""
     out = []
@@ -118,7 +148,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: archive all pages, read the archive back."""
     path = scratch_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    back = read_archive(spark, path)
+    back = read_records(spark, path)
     return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

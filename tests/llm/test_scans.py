@@ -83,6 +83,10 @@ def test_archive(spark, tmp_path):
         ((fields, block),) = warc.parse_records(bytes(r.record))
         assert fields["WARC-Payload-Digest"] == f"sha1:{sha}" and block.partition(b"\r\n\r\n")[2] == (b"" if first else html)
         assert fields["WARC-Type"] == r.record_type and "X" not in fields
+    parsed = warc.read_records(spark, path)
+    columns = ["key", "record_type", "refers_to", "payload_bytes", "payload_digest"]
+    assert sorted(map(str, parsed.select(columns).collect())) == sorted(map(str, spark.createDataFrame(back).select(columns).collect()))
+    assert "record" in str(parsed._jdf.queryExecution().analyzed())
     warc.write_archive(pages, str(tmp_path / "b"), min_revisit_bytes=1)
     assert {r.key for r in warc.read_archive(spark, str(tmp_path / "b")).collect() if r.record_type == "revisit"} == {1, None}
     spark.read.parquet(f"{path}/payloads").selectExpr("digest", "cast('other' as binary) payload").write.parquet(str(tmp_path / "c/payloads"))
