@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from ._scratch import held_out, table, utf8_values
+from ._scratch import bound_batches, held_out, table, utf8_values
 
 BUCKETS = 1 << 18
 DIMENSIONS = 8
@@ -33,7 +33,7 @@ EPOCHS = 4
 RATE = 0.4
 MAX_ROWS = 2000
 CUT = 0.3
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 SHAPES = (3, 4, 5)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
 
@@ -166,17 +166,21 @@ class Scores:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_rows: int) -> tuple[list, list]:
-    """A sample of labelled rows that aren't held out, the least by hash; max_rows ids at most."""
+    """A sample of labelled rows that aren't held out, the least by hash; max_rows labels at most, and as many rows.
+
+    Where ids repeat, the rows are ordered by id, label and text before the bound is applied.
+    """
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), 0))
     chosen = usable.select(F.col(id_col).alias("__gs_id"), F.col(label_col).alias("__gs_label")).orderBy(F.xxhash64("__gs_id"), "__gs_id", "__gs_label").limit(max_rows)
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("__gs_id")).select("__gs_id", text_col, "__gs_label")
-    found: pd.DataFrame = rows.limit(2 * max_rows).toPandas().sort_values(["__gs_id", "__gs_label", text_col], kind="stable")
+    found: pd.DataFrame = rows.orderBy(F.xxhash64("__gs_id"), "__gs_id", "__gs_label", text_col).limit(max_rows).toPandas()
     return found[text_col].tolist(), found["__gs_label"].astype(int).tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS):
     """A function from a text column to the column of scores."""
     texts, marks = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows)
+    bound_batches(docs.sparkSession)
     weights, bias = train(texts, marks) if texts else (np.zeros(BUCKETS), 0.0)
     model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
 
