@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ._scratch import bucketed, input_bytes, texts, utf8_values, width
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 MESSAGE_BYTES = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -41,7 +41,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 ROW_GROUP_BYTES = 16 << 20
 TASK_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+BATCH = {"spark.sql.parquet.columnarReaderBatchSize": 256, "spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -51,8 +51,8 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def width(spark: SparkSession, size: int) -> int:
-    """Tasks for ``size`` bytes: a task for each TASK_BYTES, and two for each core at least."""
-    return max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    """Tasks for ``size`` bytes: a task for each TASK_BYTES, and one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
 
 
 def materialise(df: DataFrame, label: str, size: int = 0) -> DataFrame:

@@ -473,7 +473,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     d2, d3 = discounts(sums[: KATZ_MAX + 1]), discounts(sums[KATZ_MAX + 1 :])
     dealt = grams.filter(F.col("kind") == HOT).groupBy("word").agg(*[F.sum(F.col("sums")[i]) for i in range(KATZ_MAX)], F.sum("seen")).collect()
     hot = spark.sparkContext.broadcast({r[0]: (list(r[1:-1]), r[-1]) for r in dealt})
-    histories = materialise(answer(grams.filter(F.col("kind").isin(PARTIAL, ASKED)).select(*ROW.fieldNames()), ROW, _sum_histories), "katz-histories", size)
+    histories = answer(grams.filter(F.col("kind").isin(PARTIAL, ASKED)).select(*ROW.fieldNames()), ROW, _sum_histories)
 
     both = replies.unionByName(grams.filter(F.col("kind") == GRAMS).select(*ROW.fieldNames())).unionByName(histories)
     schema = T.StructType().add(id_col, blocks.schema["ids"].dataType.elementType).add("held_out", T.BooleanType())
