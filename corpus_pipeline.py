@@ -1,4 +1,12 @@
-"""From raw documents to packed sequences: classify, deduplicate, decontaminate, pack."""
+"""From raw documents to packed sequences: classify, deduplicate, decontaminate, pack.
+
+Each stage keeps whole rows with the columns of documents, extra ones too, and the last one
+gives pieces. A null text is empty: it has the classifier's bias as its score, equals other
+empty texts, links with nothing, is never contaminated and packs as its end token. Rows that
+agree in text and id stay or go together; of equal texts the largest id stays, of near copies
+the least. A null id sorts below all others and is carried along. Empty tables give no rows;
+without labels every document is kept.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphstream.llm import decontamination, exact_dedup, jaccard_join, packing, quality
-from glyphstream.llm._scratch import materialise, table
+from glyphstream.llm._scratch import input_bytes, materialise, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each over what the one before has written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}", input_bytes(docs))
     return STAGES[-1][1](spark, docs, sf_dir)
