@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._scratch import bucketed, input_bytes, texts, utf8_values, width
+from ._scratch import bucketed, input_bytes, texts, utf8_values
 
 BLOCK_BYTES = 2_000_000
 MESSAGE_BYTES = 1_000_000
@@ -172,6 +172,7 @@ def unpack_parts(data: bytes) -> list[bytes]:
 
 BLOCK = ("task", "block", "ids", "sizes", "data")
 MAX_BUCKETS = 50_000
+WRITE_BYTES = 16 << 20  # of documents for a task that writes blocks, which it sorts by bucket in memory
 
 
 def _write(docs: DataFrame, id_col: str, text_col: str, label: str, make: Callable[[bytes, np.ndarray], tuple[np.ndarray, bytes]]) -> DataFrame:
@@ -181,7 +182,8 @@ def _write(docs: DataFrame, id_col: str, text_col: str, label: str, make: Callab
     task writes one file, and blocks meet their answers without a shuffle of their own.
     """
     source, size = texts(docs, id_col, text_col), input_bytes(docs)
-    source = source.coalesce(width(docs.sparkSession, size))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // WRITE_BYTES))
+    source = source.coalesce(tasks)
     kinds = [T.LongType(), T.LongType(), T.ArrayType(source.schema["id"].dataType), T.BinaryType(), T.BinaryType()]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(BLOCK, kinds, strict=True)])
 
@@ -211,7 +213,7 @@ def _write(docs: DataFrame, id_col: str, text_col: str, label: str, make: Callab
         if ids:
             yield row()
 
-    return bucketed(source.mapInArrow(run, schema), label, "task", min(MAX_BUCKETS, 4 * width(docs.sparkSession, size)))
+    return bucketed(source.mapInArrow(run, schema), label, "task", min(MAX_BUCKETS, 4 * tasks))
 
 
 def write_blocks(docs: DataFrame, id_col: str, text_col: str, label: str) -> DataFrame:
