@@ -190,11 +190,11 @@ def decode_rle(rle: bytes, width: int, height: int) -> bytes | None:
 
 
 def encode_rle(pixels: bytes, width: int, height: int) -> bytes | None:
-    """The run lengths of each row, each closed by two zeros; None if the size doesn't fit."""
+    """The run lengths of each row, each closed by two zeros; nothing for no pixels, None if the size doesn't fit."""
     if len(pixels) != width * height:
         return None
     if not pixels:
-        return b"\0\0" * height
+        return b""
     grid = np.frombuffer(pixels, dtype=np.uint8)
     begins = np.ones(len(grid), dtype=bool)
     begins[1:] = grid[1:] != grid[:-1]

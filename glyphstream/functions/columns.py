@@ -75,23 +75,10 @@ def pts_ms(pts: Column | str) -> Column:
     return (F.col(pts) if isinstance(pts, str) else pts) / F.lit(90.0)
 
 
-def mkv_pts(timestamp: Column, scale: Column) -> Column:
-    """A Matroska time in ticks of 90 kHz, cut towards zero, never negative."""
-    wide = timestamp.cast("decimal(20,0)") * scale.cast("decimal(18,0)") * F.lit(9).cast("decimal(1,0)")
-    return F.greatest(F.lit(0).cast("long"), F.floor(F.greatest(wide, F.lit(0).cast("decimal(38,0)")) / F.lit(100000)).cast("long"))
-
-
 def minus_offset(pts: Column, offset: Column) -> Column:
     return F.greatest(pts - offset, F.lit(0).cast("long"))
 
 
-def timestamp_ms(text: Column) -> Column:
-    """Milliseconds of H:M:S, M:S or S with fractions; null for anything else."""
-    parts = F.transform(F.split(text, ":"), lambda p: F.when(p.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), p.try_cast("double")))
-    bad = (F.size(parts) > 3) | F.exists(parts, lambda p: p.isNull())
-    return F.when(~bad, F.aggregate(parts, F.lit(0.0), lambda a, p: a * 60.0 + p) * 1000.0)
-
-
 def pes_time(five: Column) -> Column:
     """The 33-bit time in the five bytes of a PES header."""
     part = lambda at, mask: be(five, at, 1).bitwiseAND(F.lit(mask))
@@ -104,15 +91,6 @@ def pes_time(five: Column) -> Column:
     )
 
 
-# Numbers of encoder input: cut towards zero, clipped to the field
-
-
-def saturate(value: Column, most: int) -> Column:
-    number = value.cast("double")
-    cut = F.when(number >= 0, F.floor(F.least(number, F.lit(float(most))))).otherwise(F.lit(0))
-    return F.when(number.isNotNull(), F.when(F.isnan(number), 0).otherwise(cut).cast("long"))
-
-
 # Payloads
 
 

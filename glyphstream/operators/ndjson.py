@@ -67,7 +67,7 @@ SETS = T.StructType([T.StructField("line", T.LongType()), T.StructField("kind",
 SETS = SETS.add("composition", S.COMPOSITION).add("windows", T.ArrayType(S.WINDOW)).add("palettes", T.ArrayType(S.PALETTE)).add("objects", T.ArrayType(S.BITMAP)).add("error", T.StringType())
 
 
-def _whole(value: object, most: int) -> int | None:
+def whole_number(value: object, most: int) -> int | None:
     """A JSON number cut towards zero and clipped to 0..most; None for anything else."""
     if isinstance(value, bool) or not isinstance(value, (int, float)):
         return None
@@ -87,7 +87,7 @@ def _need(value: object, key: str) -> object:
 
 
 def _number(value: object, key: str, most: int) -> int:
-    found = _whole(_need(value, key), most)
+    found = whole_number(_need(value, key), most)
     if found is None:
         raise Bad(f"field '{key}' is not a number")
     return found
@@ -157,17 +157,17 @@ def parse_line(text: str) -> dict:
         if kind != "display_set":
             return out | {"kind": "tracks" if kind == "tracks" else "unknown", "error": None if kind == "tracks" else f"skipping unknown type '{kind}'"}
         if "pts" in value:
-            out["pts"] = _whole(value["pts"], (1 << 63) - 1)
+            out["pts"] = whole_number(value["pts"], (1 << 63) - 1)
             if out["pts"] is None:
                 raise Bad("'pts' is not a number")
         elif "pts_ms" in value:
             ms = value["pts_ms"]
             if isinstance(ms, bool) or not isinstance(ms, (int, float)):
                 raise Bad("'pts_ms' is not a number")
-            out["pts"] = _whole(math.floor(ms * 90.0 + 0.5) if math.isfinite(ms) else ms, (1 << 63) - 1)
+            out["pts"] = whole_number(math.floor(ms * 90.0 + 0.5) if math.isfinite(ms) else ms, (1 << 63) - 1)
         else:
             raise Bad("missing 'pts' or 'pts_ms'")
-        out["track_id"] = _whole(value.get("track_id"), (1 << 63) - 1) or 0
+        out["track_id"] = whole_number(value.get("track_id"), (1 << 63) - 1) or 0
         if value.get("composition") is None:
             return out | {"kind": "skipped"}
         out["composition"] = _composition(value["composition"])

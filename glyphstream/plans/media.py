@@ -1,10 +1,12 @@
-"""Small containers made of the same logical display sets."""
+"""Bytes of containers out of logical display sets, for the queries that read files and for tests."""
+
+from __future__ import annotations
 
 import struct
 import zlib
 
-from glyphstream.functions import codec
-from glyphstream.sources import mkv
+from ..functions import codec
+from ..sources import mkv
 
 
 def composition(number, state="epoch_start", objects=(), palette_id=0):

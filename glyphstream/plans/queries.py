@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import columns as C
+from ..functions.codec import parse_timestamp
 from ..functions.language import normalize_language
 from ..operators import ndjson, recipes
+from ..sources.mkv import Movie
 from . import assemble as A
-from . import synth
+from . import containers, synth
 from .synth import TICKS, table
 
 QUERIES: dict = {}
@@ -302,22 +305,6 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", "o.id", "o.sequence", *[F.col(f"o.{n}").cast("long").alias(n) for n in ("data_length", "width", "height")])
 
 
-@query(
-    """WITH t AS (SELECT o_orderkey, 20000 + o_orderkey % 200000 AS n FROM orders)
-    SELECT o_orderkey, CASE WHEN n <= 65524 THEN 1 ELSE 1 + CAST(ceil((n - 65524) / 65531.0) AS BIGINT) END AS segments,
-    CASE WHEN n <= 65524 THEN 'complete' ELSE 'first' END AS head, CASE WHEN n <= 65524 THEN n + 11 ELSE 4 + (n - 65524) - 65531 * (CAST(ceil((n - 65524) / 65531.0) AS BIGINT) - 1) END AS last_bytes FROM t"""
-)
-def fragment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How run lengths of a size are cut into object segments."""
-    n = 20000 + F.col("o_orderkey") % 200000
-    more = F.greatest(F.lit(0).cast("long"), F.ceil((n - 65524) / 65531.0))
-    whole = more == 0
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey", (1 + more).alias("segments"), F.when(whole, "complete").otherwise("first").alias("head"),
-        F.when(whole, n + 11).otherwise(4 + (n - 65524) - 65531 * (more - 1)).alias("last_bytes"),
-    )
-
-
 # Lookups and scalar functions
 
 
@@ -332,35 +319,14 @@ def language_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", normalize_language(code, spark).alias("language"))
 
 
-@query("SELECT c_custkey AS track_id, CASE WHEN c_custkey % 3 = 0 THEN 'de' WHEN n_nationkey % 2 = 0 THEN 'en' END AS language FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
-def clpi_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A track's own language, else the clip's for its PID, else none."""
-    tracks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("track_id"), "c_nationkey", F.when(F.col("c_custkey") % 3 == 0, "ger").alias("own"))
-    clips = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.lit("eng").alias("clip"))
-    return tracks.join(clips, "c_nationkey", "left").select("track_id", normalize_language(F.coalesce("own", "clip"), spark).alias("language"))
-
-
-@query("SELECT c_custkey AS uid, n AS display_set_count FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
-def frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frame counts by track UID, where tags have them."""
-    tags = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("uid")).agg(F.count(F.lit(1)).alias("display_set_count"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid")).join(tags, "uid", "left")
-
-
-@query("SELECT s_suppkey AS track_id, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 49) AS indexed FROM supplier")
-def indexed_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether any cue names a track."""
-    cues = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.col("l_suppkey").alias("track_id")).distinct().withColumn("hit", F.lit(True))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track_id")).join(cues, "track_id", "left").select("track_id", F.col("hit").isNotNull().alias("indexed"))
-
-
 SCALE = "(CASE WHEN event_id % 3 = 0 THEN 1000000 ELSE 333333 + event_id % 1000 END)"
 
 
 @query(f"SELECT event_id, CAST(greatest(0, ((event_id * 977 - 50000)::HUGEINT * {SCALE} * 9) // 100000) AS BIGINT) AS pts FROM events")
 def mkv_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select("event_id", C.mkv_pts(e * 977 - 50000, F.when(e % 3 == 0, 1000000).otherwise(333333 + e % 1000).cast("long")).alias("pts"))
+    ticks = C.listwise(T.LongType())(lambda time, scale: Movie(0, 0, [], scale=scale).pts(time))
+    return table(spark, sf_dir, "events").select("event_id", ticks(e * 977 - 50000, F.when(e % 3 == 0, 1000000).otherwise(333333 + e % 1000).cast("long")).alias("pts"))
 
 
 @query("SELECT event_id, greatest(0, event_id * 3600 - 900000) AS pts FROM events")
@@ -405,13 +371,14 @@ def timestamp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = (
         F.when(e % 5 == 0, F.format_string("%d", e)).when(e % 5 == 1, F.format_string("%d:%d.5", e % 90, e % 60)).when(e % 5 == 2, F.format_string("%d:%d:%d", e % 7, e % 60, e % 50)).when(e % 5 == 3, F.concat(F.lit("x"), e.cast("string"))).otherwise("1:2:3:4")
     )
-    return table(spark, sf_dir, "events").select("event_id", text.alias("text")).select("event_id", "text", C.timestamp_ms(F.col("text")).alias("ms"))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("text")).select("event_id", "text", C.listwise(T.DoubleType())(parse_timestamp)("text").alias("ms"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(least(255, greatest(0, trunc(l_extendedprice / 100 - 100))) AS BIGINT) AS byte, CAST(least(65535, trunc(l_extendedprice)) AS BIGINT) AS word FROM lineitem")
 def saturating_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("l_extendedprice")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.saturate(price / 100 - 100, 255).alias("byte"), C.saturate(price, 65535).alias("word"))
+    number = C.listwise(T.LongType())(ndjson.whole_number)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", number((price / 100 - 100).cast("double"), F.lit(255)).alias("byte"), number(price.cast("double"), F.lit(65535)).alias("word"))
 
 
 @query("SELECT event_id, event_id % 65536 AS low, (event_id * 3600) % 16777216 AS three, event_id * 3600 AS four FROM events")
@@ -420,3 +387,7 @@ def big_endian(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     data = table(spark, sf_dir, "events").select("event_id", F.concat(C.to_be(e, 2), C.to_be(e * 3600, 3), C.to_be(e * 3600, 4)).alias("b"))
     return data.select("event_id", C.be("b", 0, 2).alias("low"), C.be("b", 2, 3).alias("three"), C.be("b", 5, 4).alias("four"))
+
+
+for _name, (_made, _sql) in containers.QUERIES.items():
+    QUERIES[_name], ORACLES[_name] = _made, _sql

@@ -19,6 +19,7 @@ LANGUAGE_TAG = 0x0A
 PAT_PACKETS, PMT_PACKETS = 1000, 2000
 SCAN = 2 * 1024 * 1024
 RESYNC = 256 * 1024
+LOOK_BACK = 1024 * 1024  # bytes before a split from which its packets are followed
 
 
 @dataclass(frozen=True)
@@ -116,9 +117,12 @@ def _clip(path: str) -> bytes:
         return f.read()
 
 
-def tracks(reader: Reader, layout: Layout) -> list[dict]:
-    """One for each PGS stream of any programme; the clip's language where the map has none."""
-    out, beside = [], clpi.languages(_clip(reader.path))
+def tracks(reader: Reader, layout: Layout, clip: bytes | None = None) -> list[dict]:
+    """One for each PGS stream of any programme; the clip's language where the map has none.
+
+    ``clip`` is the clip information; by default that beside the file, if there is any.
+    """
+    out, beside = [], clpi.languages(_clip(reader.path) if clip is None else clip)
     for pmt in parse_pat(_section(reader, layout, 0, PAT_PACKETS, "PAT")):
         for kind, pid, language in parse_pmt(_section(reader, layout, pmt, PMT_PACKETS, "PMT")):
             if kind == PGS_STREAM:
@@ -126,22 +130,35 @@ def tracks(reader: Reader, layout: Layout) -> list[dict]:
     return out
 
 
-def pts_offset(reader: Reader) -> int:
+def pts_offset(reader: Reader, clip: bytes | None = None) -> int:
     """Where the clip's presentation starts; times count from there."""
-    times = clpi.presentation_times(_clip(reader.path))
+    times = clpi.presentation_times(_clip(reader.path) if clip is None else clip)
     return times[0] if times else 0
 
 
-def _aligned(data: np.ndarray, layout: Layout, most: int) -> int | None:
-    """The first place where two sync bytes stand a packet apart."""
-    last = min(most, len(data) - layout.sync - layout.size)
+def _aligned(data: np.ndarray, layout: Layout, most: int, syncs: int = 2) -> int | None:
+    """The first place where ``syncs`` sync bytes stand a packet apart."""
+    last = min(most, len(data) - layout.sync - (syncs - 1) * layout.size)
     if last <= 0:
         return None
-    first = data[layout.sync : layout.sync + last]
-    hits = np.flatnonzero((first == SYNC) & (data[layout.sync + layout.size : layout.sync + layout.size + last] == SYNC))
+    steps = (data[layout.sync + i * layout.size :][:last] == SYNC for i in range(syncs))
+    hits = np.flatnonzero(np.logical_and.reduce(list(steps)))
     return int(hits[0]) if len(hits) else None
 
 
+def _followed(reader: Reader, layout: Layout, begin: int) -> int:
+    """Where to start following packets so that those from ``begin`` on are the ones of a scan of the whole file.
+
+    That is the file's beginning, or a place LOOK_BACK before ``begin`` where five packets line
+    up; whatever is found there, loss of sync before ``begin`` leads back to the file's packets.
+    """
+    if begin <= LOOK_BACK:
+        return 0
+    reader.seek(begin - LOOK_BACK)
+    found = _aligned(np.frombuffer(reader.upto(LOOK_BACK), dtype=np.uint8), layout, LOOK_BACK, 5)
+    return begin if found is None else begin - LOOK_BACK + found
+
+
 def packets(reader: Reader, layout: Layout, pids: set[int], begin: int = 0, end: int | None = None) -> Iterator[tuple[int, int, bool, bytes]]:
     """(position, PID, whether a unit starts, payload) of the wanted packets that start in [begin, end).
 
@@ -151,19 +168,21 @@ def packets(reader: Reader, layout: Layout, pids: set[int], begin: int = 0, end:
     end = reader.size if end is None else min(end, reader.size)
     wanted = np.zeros(1 << 13, dtype=bool)
     wanted[list(pids)] = True
-    position = -(-begin // layout.size) * layout.size
+    position = _followed(reader, layout, begin)
     while position < end:
         reader.seek(position)
-        data = np.frombuffer(reader.upto(SCAN - SCAN % layout.size), dtype=np.uint8)
+        data = np.frombuffer(reader.upto(min(SCAN, max(layout.size, end - position + layout.size))), dtype=np.uint8)
         count = len(data) // layout.size
         if not count:
             return
         grid = data[: count * layout.size].reshape(count, layout.size)
         bad = np.flatnonzero(grid[:, layout.sync] != SYNC)
         good = int(bad[0]) if len(bad) else count
-        grid = grid[: min(good, -(-(end - position) // layout.size))]
-        pid = (grid[:, layout.sync + 1].astype(np.int32) & 0x1F) << 8 | grid[:, layout.sync + 2]
+        first, upto = max(0, -(-(begin - position) // layout.size)), min(good, -(-(end - position) // layout.size))
+        pid = (grid[:upto, layout.sync + 1].astype(np.int32) & 0x1F) << 8 | grid[:upto, layout.sync + 2]
         for i in np.flatnonzero(wanted[pid]).tolist():
+            if i < first:
+                continue
             try:
                 own, starts, payload = packet_payload(grid[i, layout.sync : layout.sync + PACKET].tobytes())
             except InvalidTs:
@@ -171,9 +190,9 @@ def packets(reader: Reader, layout: Layout, pids: set[int], begin: int = 0, end:
             if payload:
                 yield position + i * layout.size, own, starts, payload
         position += good * layout.size
-        if good < count:
+        if good < count and position < end:
             reader.seek(position)
-            found = _aligned(np.frombuffer(reader.upto(RESYNC), dtype=np.uint8), layout, RESYNC)
+            found = _aligned(np.frombuffer(reader.upto(RESYNC + 2 * layout.size), dtype=np.uint8), layout, RESYNC)
             if found is None:
                 return
             position += found

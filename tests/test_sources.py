@@ -4,7 +4,6 @@ import io
 import json
 import os
 
-import builders as B
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from glyphstream.functions import columns as C
 from glyphstream.operators import ndjson, recipes
 from glyphstream.operators.extractor import Extractor, extract, list_tracks, track_path, write_sup, write_sup_tables
 from glyphstream.plans import assemble as A
+from glyphstream.plans import media as B
 from glyphstream.sources import binary, clpi, mkv, scan, ts
 from glyphstream.sources.detect import detect
 from glyphstream.sources.reader import EndOfInput, Reader
@@ -63,8 +63,31 @@ def test_every_container_has_the_same_sets(spark, media):
     assert content(Extractor.open(spark, str(media / "cues.mkv")).with_tracks(5).display_sets()) == [(i, p, s) for i, (p, s) in enumerate(TWO)]
     clip = Extractor.open(spark, str(media / "BDMV/STREAM/00001.m2ts"))
     assert content(clip.display_sets(), 45000) == WANT
-    found = content(Extractor.open(spark, str(media / "junk.ts")).display_sets())
-    assert len(found) >= len(WANT) - 1 and all((p, s) in [w[1:] for w in WANT] for _, p, s in found)
+    assert content(Extractor.open(spark, str(media / "junk.ts"), split_bytes=1999).display_sets()) == WANT
+
+
+def test_splits_own_every_packet_once():
+    """Clean streams and those with junk give the whole scan's packets in splits of any size."""
+    for m2ts in (True, False):
+        for junk in (None, b"x" * 77, b"x" * 777, b"G" * 400):
+            data = B.transport({0x1200: ("eng", ONE), 0x1201: (None, TWO)}, m2ts=m2ts, junk=junk)
+            reader = Reader(data)
+            layout, pids = ts.detect_layout(reader), {0x1200, 0x1201, 0x1011}
+            whole = list(ts.packets(reader, layout, pids))
+            for split in range(1000, 6000, 97):
+                parts = [p for a in range(0, len(data), split) for p in ts.packets(reader, layout, pids, a, a + split)]
+                assert parts == whole, (m2ts, junk and len(junk), split)
+
+
+def test_splits_far_into_a_file(monkeypatch):
+    """Where a split doesn't begin near the file's, packets are found from a little before it."""
+    monkeypatch.setattr(ts, "LOOK_BACK", 3000)
+    data = B.transport({0x1200: ("eng", B.movie_sets(60))}, m2ts=False, junk=b"x" * 333)
+    reader = Reader(data)
+    layout, pids = ts.detect_layout(reader), {0x1200, 0x1011}
+    whole = list(ts.packets(reader, layout, pids))
+    for split in (1500, 2300, 4001, 9000):
+        assert [p for a in range(0, len(data), split) for p in ts.packets(reader, layout, pids, a, a + split)] == whole
 
 
 def test_tracks(spark, media):
