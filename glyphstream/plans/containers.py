@@ -207,7 +207,7 @@ def pushed_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bytes_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a reader leaves bytes of a file unread: by cues it does, without them it doesn't leave a tenth."""
+    """Whether a reader leaves a tenth of a file unread: where cues name blocks it does, else it doesn't."""
     files = contents(spark, sf_dir, cued, "mkv")
     auto = binary.from_contents(files, "stats").select(_file_no(), "container", (F.col("bytes_read") < 0.9 * F.col("file_size")).alias("auto_skips"))
     whole = binary.from_contents(files, "stats", strategy="sequential").select(_file_no(), (F.col("bytes_read") >= 0.9 * F.col("file_size")).alias("sequential_reads"))
@@ -288,7 +288,7 @@ QUERIES = {
         FROM sets, (VALUES ('Matroska'), ('M2TS'), ('TransportStream')) c(container) GROUP BY ALL""",
     ),
     "pushed_filters": (pushed_filters, FILE_SETS + "SELECT track AS track_id, pts FROM sets WHERE track IN (1, 4) AND pts BETWEEN 90000 AND 2700000"),
-    "bytes_read": (bytes_read, FILE_SETS + "SELECT DISTINCT file_no, 'Matroska' AS container, file_no % 3 <> 2 AS auto_skips, true AS sequential_reads FROM blocks"),
+    "bytes_read": (bytes_read, FILE_SETS + "SELECT DISTINCT file_no, 'Matroska' AS container, file_no % 3 = 0 AS auto_skips, true AS sequential_reads FROM blocks"),
     "clip_languages": (
         clip_languages,
         "SELECT c_custkey AS track_id, CASE WHEN c_custkey % 3 = 0 THEN 'de' WHEN c_nationkey % 2 = 0 THEN 'en' END AS language, CAST(c_nationkey * 45 AS BIGINT) AS start FROM customer",
