@@ -14,13 +14,15 @@ numbers, the same in every run.
 Base spans always stay; a span of the model that overlaps a base span is dropped. Starts and
 ends count code points, ends are exclusive. Null texts count as empty and have no spans;
 repeated rows repeat their spans; null ids are carried along; other columns stay behind in
-``find`` and are kept by ``redact``. Each pattern takes time in proportion to the text.
+``find`` and are kept by ``redact``. Patterns take time in proportion to the text, the model in
+proportion to the tokens of its zones, times MAX_TOKENS segments of at most MAX_CHARS each.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +36,7 @@ from ._scratch import table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 18
+MAX_CHARS = 400  # of a candidate segment; 19 digits and their marks, or an address of the longest legal size
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # What stands in a run of digits can't match where the run's beginning doesn't.
@@ -85,6 +88,7 @@ AT = re.compile(r"[(\[{][Aa][Tt][)\]}]|(?<=[A-Za-z0-9])\x20[Aa][Tt]\x20(?=[A-Za-
 LEFT = re.compile(r"\x20?[A-Za-z0-9._%+-]+")  # over the reversed text
 RIGHT = re.compile(r"\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[{][Dd][Oo][Tt][)\]}]\x20?|\x20[Dd][Oo][Tt]\x20)[A-Za-z0-9-]+)+")
 GROUP = re.compile(r"[0-9]+")
+AT_WORD = re.compile(r"[Aa][Tt]")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\S")
 BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]{0,3}$")
 
@@ -124,11 +128,14 @@ class Zone:
             for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
                 piece = text[a : self.tokens[j - 1][1]]
                 allowed = self._allowed(piece)
+                if len(piece) > MAX_CHARS:
+                    break
                 if any(allowed):
                     edges = f"{text[a - 1] if i and a else '^'}{text[self.tokens[j - 1][1]] if j < n else '$'}"
                     self.segments.append((i, j, self._features(piece, before if i == 0 else "-", edges), allowed))
 
     @staticmethod
+    @lru_cache(maxsize=1 << 14)
     def _allowed(piece: str) -> tuple[bool, bool, bool, bool]:
         digits = sum(map(str.isdigit, piece))
         email = bool(re.search(r"\b[Aa][Tt]\b", piece))
@@ -136,6 +143,7 @@ class Zone:
         return email, plain and 4 <= digits <= 12 and len(re.findall(r"[0-9]+", piece)) == 4, plain and 13 <= digits <= 19, plain and 7 <= digits <= 15
 
     @staticmethod
+    @lru_cache(maxsize=1 << 14)
     def _features(piece: str, before: str, edges: str) -> list[str]:
         groups = re.findall(r"[0-9]+", piece)
         digits = "".join(groups)
@@ -305,15 +313,27 @@ def all_spans(text: str, model: Model) -> tuple[list[tuple[str, int, int]], list
     """(base spans, spans that the model adds)."""
     base = base_spans(text)
     added: list[tuple[str, int, int]] = []
-    taken = sorted((a, b) for _, a, b in base)
+    taken: list[list[int]] = []  # what base spans cover, as intervals apart from each other
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    begins, ends = [a for a, _ in taken], [b for _, b in taken]
+    covered = lambda a, b: taken[bisect_right(ends, a) : bisect_left(begins, b)]
     for a, b in zones(text):
-        inside = [(x, y) for x, y in taken if x < b and y > a]
-        rest = "".join(text[i] for i in range(a, b) if not any(x <= i < y for x, y in inside)) if inside else text[a:b]
-        if inside and sum(map(str.isdigit, rest)) < 7 and "at" not in rest:
+        inside, at, rest = covered(a, b), a, []
+        for x, y in inside:
+            rest.append(text[at:x])
+            at = y
+        left = "".join([*rest, text[at:b]])
+        if inside and sum(map(str.isdigit, left)) < 7 and len(GROUP.findall(left)) < 4 and not AT_WORD.search(left):
             continue  # every segment of this zone overlaps a base span
         zone = Zone(text, a, b)
-        zone_spans = [(KINDS[y - 1], zone.tokens[i][0], zone.tokens[j - 1][1]) for y, i, j in model.decode(zone)]
-        added += [s for s in zone_spans if not any(x < s[2] and y > s[1] for x, y in inside)]
+        for y, i, j in model.decode(zone):
+            span = KINDS[y - 1], zone.tokens[i][0], zone.tokens[j - 1][1]
+            if not covered(*span[1:]):
+                added.append(span)
     added = [s for n, s in enumerate(added) if not any(x[1] < s[2] and x[2] > s[1] for x in added[max(0, n - 2) : n])]
     return base, added
 

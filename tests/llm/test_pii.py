@@ -61,3 +61,31 @@ def test_gates_let_through_what_the_model_knows():
     for kind, entity in (("ip", "10 . 0 . 0 . 1"), ("email", "jane (AT) host (DOT) com"), ("email", f"{long} (at) host (dot) com")):
         text = f"write to {entity}, please"
         assert (kind, 9, 9 + len(entity)) in all_spans(text, trained())[1], entity
+
+
+def test_long_runs_of_numbers_take_linear_time():
+    import time
+
+    model = trained()
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        all_spans("1 " * n, model)
+        all_spans("+49 30 1234567, " * (n // 8), model)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_query_as_plain_patterns(spark):
+    import hashlib
+
+    from glyphstream.llm.pii import KINDS, query
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = query(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        want = plain(docs[r.doc_id])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in want) for kind in KINDS]
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(filter(None, joined.split(","))) <= set(r.spans.split(","))
