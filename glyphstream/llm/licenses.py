@@ -8,8 +8,16 @@ t / (2 - t), and a unit of n words has n - 1 bigrams at most, so most units lose
 candidate templates before a bigram is made. The templates are a fixed list of this module,
 so nothing is broadcast or shuffled, and each row is worked on where it is read.
 
+Templates of at least LONG words are also looked for within texts, whatever the line breaks:
+each is compared with the windows of as many words that start at every eighth of its length,
+and at the text's last. A unit that reaches the threshold has a known share of a template's
+bigrams at least, so one of a few words that touch more than the rest of them; texts without
+any of these are left out before windows are made.
+
 The result has a row for each unit that reaches the threshold, with its best template (ties:
-the name that sorts first). ``unit`` is the line's number from 1, or 0 for the whole text.
+the name that sorts first), and one for each long template's best window (ties: the first).
+``unit`` is the line's number from 1, 0 for the whole text, or minus the number of the word at
+which a window starts.
 Null and empty texts and units of fewer than two words match nothing; repeated rows give
 repeated results; null ids are carried along; other columns stay behind.
 """
@@ -40,14 +48,43 @@ TEMPLATES = {
     "mit-notice": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
+# Whole licences, looked for in windows only.
+WHOLE = {
+    "isc-text": TEMPLATES["isc"] + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "mit-text": TEMPLATES["mit-notice"] + ' The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+}
+LONG = 18
+STEPS = 8
 SEPARATORS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
+def words_of(text: str) -> list[str]:
+    return "".join(c if c.isdigit() or "a" <= c <= "z" or ord(c) > 127 else " " for c in text.lower()).split()
+
+
 def bigrams(text: str) -> list[str]:
-    words = "".join(c if c.isdigit() or "a" <= c <= "z" or ord(c) > 127 else " " for c in text.lower()).split()
+    words = words_of(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def long_templates(templates: dict[str, str] | None) -> dict[str, str]:
+    return {k: v for k, v in sorted((templates or TEMPLATES | WHOLE).items()) if len(words_of(v)) >= LONG}
+
+
+def anchors(pairs: list[str], threshold: float) -> set[str]:
+    """Words of which a unit that reaches the threshold has one at least: they touch more bigrams than it may lack."""
+    lacks, left, out = int(len(pairs) * (1 - threshold / (2 - threshold))), {p: p.split() for p in pairs}, set()
+    while left and len(pairs) - len(left) <= lacks:
+        touched: dict[str, int] = {}
+        for own in left.values():
+            for word in set(own):
+                touched[word] = touched.get(word, 0) + 1
+        best = max(touched, key=lambda w: (min(len(w), 8), touched[w], w))  # long words are rare ones
+        out.add(best)
+        left = {p: own for p, own in left.items() if best not in own}
+    return out
+
+
 def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), SEPARATORS, " "))
 
@@ -81,8 +118,29 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
         scored.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(name).alias("license"))))
     reach = F.filter(F.array(*scored), lambda s: s.isNotNull() & (s["dice"] >= threshold))
     best = F.array_sort(reach, lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["license"] < b["license"], -1).otherwise(1))
-    found = sets.select("id", "unit", F.explode(F.slice(best, 1, 1)).alias("best"))
-    return found.select(F.col("id").alias(id_col), "unit", "best.license", "best.dice")
+    found = sets.select("id", "unit", F.explode(F.slice(best, 1, 1)).alias("best")).select("id", "unit", "best.license", "best.dice")
+    return found.unionByName(_windows(texts(docs, id_col, text_col), threshold, templates)).withColumnRenamed("id", id_col)
+
+
+def _windows(plain: DataFrame, threshold: float, templates: dict[str, str] | None) -> DataFrame:
+    """The best window of each long template in each text, where it reaches the threshold."""
+    known = [(name, len(words_of(text)), bigrams(text)) for name, text in long_templates(templates).items()]
+    if not known:
+        return plain.select("id", F.lit(0).cast("long").alias("unit"), F.lit("").alias("license"), F.lit(0.0).alias("dice")).filter("false")
+    pattern = "|".join(sorted(set().union(*(anchors(pairs, threshold) for _, _, pairs in known))))
+    near = plain.filter(F.lower("text").rlike(pattern))
+    worded = near.select("id", F.explode(F.array(F.split(normal(F.col("text")), " "))).alias("words"))
+    listed = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), F.array(*map(F.lit, pairs)).alias("pairs")) for name, n, pairs in known])
+    pairs_of = worded.select("id", "words", F.explode(listed).alias("t"))
+    last = F.greatest(F.lit(1), F.size("words") - F.col("t.n") + 1)
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, F.greatest(F.lit(1), F.floor(F.col("t.n") / STEPS).cast("int"))), F.array(last)))
+
+    def score(at: Column) -> Column:
+        own = word_bigrams(F.slice("words", at, F.col("t.n")))
+        return F.struct((2.0 * F.size(F.array_intersect(own, F.col("t.pairs"))) / (F.size(own) + F.size("t.pairs"))).alias("dice"), (-at).cast("long").alias("unit"))
+
+    best = pairs_of.filter(F.size("words") > 1).select("id", F.col("t.license").alias("license"), F.explode(F.array(F.array_max(F.transform(starts, score)))).alias("best"))
+    return best.filter(F.col("best.dice") >= threshold).select("id", "best.unit", "license", "best.dice")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,14 +149,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
-    known = ", ".join(f"('{k}', [{', '.join(repr(b) for b in bigrams(v))}])" for k, v in sorted((templates or TEMPLATES).items()))
+    listed = lambda pairs: f"[{', '.join(repr(b) for b in pairs)}]"
+    known = ", ".join(f"('{k}', {listed(bigrams(v))})" for k, v in sorted((templates or TEMPLATES).items()))
+    long = ", ".join(f"('{k}', {len(words_of(v))}, {listed(bigrams(v))})" for k, v in long_templates(templates).items()) or "('', 2, [''])"
     return rf"""
 WITH templates(license, pairs) AS (VALUES {known}),
+     long(license, n, pairs) AS (VALUES {long}),
      units AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS unit, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
                UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10))),
      worded AS (SELECT doc_id, unit, list_filter(string_split(regexp_replace(lower(text), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM units),
      sets AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs FROM worded WHERE len(w) > 1),
-     scored AS (SELECT doc_id, unit, license, 2.0::DOUBLE * len(list_intersect(s.pairs, t.pairs)) / (len(s.pairs) + len(t.pairs)) AS dice FROM sets s, templates t WHERE len(s.pairs) <= 1.5 * len(t.pairs) + 1)
-SELECT doc_id, CAST(unit AS BIGINT) AS unit, license, dice FROM scored WHERE dice >= {threshold}
-QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) = 1
+     scored AS (SELECT doc_id, unit, license, 2.0::DOUBLE * len(list_intersect(s.pairs, t.pairs)) / (len(s.pairs) + len(t.pairs)) AS dice FROM sets s, templates t WHERE len(s.pairs) <= 1.5 * len(t.pairs) + 1),
+     flat AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split(regexp_replace(lower(text), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents),
+     starts AS (SELECT r, doc_id, w, license, n, pairs, greatest(1, len(w) - n + 1) AS last FROM flat, long WHERE len(w) > 1 AND len(list_intersect(w, string_split(array_to_string(pairs, ' '), ' '))) > 1),
+     windows AS (SELECT r, doc_id, license, pairs, w[p:p + n - 1] AS w, p FROM (SELECT *, unnest(list_distinct(list_append(range(1, last + 1, greatest(1, n // {STEPS})), last))) AS p FROM starts)),
+     runs AS (SELECT r, doc_id, license, pairs, p, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS own FROM windows),
+     best AS (SELECT r, doc_id, license, p, 2.0::DOUBLE * len(list_intersect(own, pairs)) / (len(own) + len(pairs)) AS dice FROM runs)
+(SELECT doc_id, CAST(unit AS BIGINT) AS unit, license, dice FROM scored WHERE dice >= {threshold}
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) = 1)
+UNION ALL
+(SELECT doc_id, CAST(-p AS BIGINT), license, dice FROM best WHERE dice >= {threshold}
+QUALIFY row_number() OVER (PARTITION BY r, license ORDER BY dice DESC, p) = 1)
 """

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -55,6 +56,9 @@ def test_decontamination(spark):
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit"]
     texts = ["x\nReleased under the MIT license\ny z", None, "", "word", f"{mit}\n{mit}", "Released under\nthe MIT License.", "All rights reserved", "É " * 40000, licenses.TEMPLATES["mit-notice"].upper()]
+    wrapped = lambda text: "\n".join(textwrap.wrap(text, 60))
+    texts += ["# " + wrapped(licenses.WHOLE["mit-text"]) + "\n" + "code and words " * 50, "word " * 301 + wrapped(licenses.TEMPLATES["gpl-3.0-notice"]) + " more" * 200]
+    texts += [f"Copyright 2020 Somebody {licenses.WHOLE['isc-text']}", "Permission is hereby granted to no one, " * 8]
     docs = spark.createDataFrame([(i, t, "q") for i, t in enumerate(texts)] + [(None, mit, "q")], "doc_id long, text string, unit string")
     got = sorted((tuple(r) for r in licenses.scan(docs).collect()), key=str)
     with duckdb.connect() as db:
@@ -62,6 +66,7 @@ def test_licenses(spark):
         db.executemany("INSERT INTO documents VALUES (?, ?)", [[i, t] for i, t in enumerate(texts)] + [[None, mit]])
         want = sorted(db.execute(licenses.oracle()).fetchall(), key=str)
     assert got == want and {g[:3] for g in got} >= {(0, 2, "mit"), (5, 0, "mit"), (6, 1, "all-rights-reserved"), (8, 1, "mit-notice")}
+    assert {(9, "mit-text"), (10, "gpl-3.0-notice"), (11, "isc-text")} <= {(g[0], g[2]) for g in got if g[1] < 0} and 12 not in {g[0] for g in got}
     assert licenses.scan(docs.limit(0)).count() == 0
     plan = licenses.scan(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
