@@ -460,7 +460,7 @@ def _summed(rows: DataFrame, kind: int, size: int) -> list[int]:
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
     spark, size = docs.sparkSession, input_bytes(docs)
-    parts = parts or exchange_ranges(2 * size)  # runs of words are more than words
+    parts = parts or exchange_ranges(4 * size // 3)  # runs of words are more than words
     blocks = write_coded(docs, id_col, text_col, "katz-words")
     counted = materialise(answer(send(blocks, lambda r: _ask_words(r, parts), ROW), REPLY, _count_words), "katz-counts", size)
     total, types, documents, *low = _summed(counted, SUMS, 3 + KATZ_MAX + 1)
