@@ -5,8 +5,9 @@ ASCII. Each run of ``size`` consecutive words of a test item is a window (an ite
 words, but not none, is one window). All windows go into one automaton, each text is scanned
 once, and matches are mapped back to words and to code points of the original text.
 
-The items are the query set: they are few and don't grow with the documents. They reach the
-executors by broadcast; beyond ``block_chars`` characters of distinct windows they are cut
+The items are the query set: they are few and don't grow with the documents. The driver
+reads them and refuses more than MAX_CHARS characters of them (2 GB in UTF-8 at most) before
+it does. They reach the executors by broadcast; beyond ``block_chars`` characters of distinct windows they are cut
 into blocks, each with an automaton of its own that is built for a batch of documents and
 dropped again, so that memory stays bounded. The documents are not shuffled.
 
@@ -25,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._scratch import table, texts, utf8_values
+from ._scratch import bound_batches, table, texts, utf8_values
 
 SIZE = 10
 BLOCK_CHARS = 20_000_000
+MAX_CHARS = 500_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -106,7 +108,12 @@ class Scanner:
 
 
 def _broadcast(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, size: int, block_chars: int):
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col)).filter(F.col(item_col).isNotNull()).collect()
+    bound_batches(docs.sparkSession)
+    known = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("item is not null")
+    chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > MAX_CHARS:
+        raise ValueError(f"a benchmark of {chars} characters; at most {MAX_CHARS} are a query set")
+    rows = known.collect()
     return docs.sparkSession.sparkContext.broadcast(blocks_of([(r[0], r[1]) for r in rows], size, block_chars))
 
 
@@ -153,3 +160,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
+
+
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+           FROM benchmark WHERE item_id IS NOT NULL),
+     items AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s
+               FROM (SELECT item_id, w, least({SIZE}, len(w)) AS n, unnest(range(1, len(w) - least({SIZE}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+     windows AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+                 FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM items) WHERE len(w) >= n)),
+     hits AS (SELECT doc_id, i, n, item_id FROM windows JOIN items USING (n, s)),
+     hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+     found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

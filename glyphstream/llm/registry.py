@@ -15,7 +15,9 @@ QUERIES = {
     "op10_quality": quality.query,
 }
 ORACLES = {
+    "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_warc": warc.ORACLE,
+    "op6_decontamination": decontamination.ORACLE,
     "op7_licenses": licenses.oracle(),
     "op9_exact_dedup": exact_dedup.ORACLE,
 }

@@ -106,3 +106,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: what is left of every document."""
     cut = cut_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     windows AS (SELECT doc_id, i, array_to_string(w[i:i + {SIZE - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SIZE - 2})) AS i FROM d)),
+     repeated AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {SIZE})) AS p FROM windows JOIN repeated USING (s)),
+     words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+     kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
