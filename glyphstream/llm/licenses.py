@@ -11,8 +11,8 @@ so nothing is broadcast or shuffled, and each row is worked on where it is read.
 Templates of at least LONG words are also looked for within texts, whatever the line breaks:
 each is compared with the windows of as many words that start at every eighth of its length,
 and at the text's last. A unit that reaches the threshold has a known share of a template's
-bigrams at least, so one of a few words that touch more than the rest of them; texts without
-any of these are left out before windows are made.
+bigrams at least, so one of a few words that touch more than the rest of them; texts that
+contain none of a template's aren't cut into its windows.
 
 The result has a row for each unit that reaches the threshold, with its best template (ties:
 the name that sorts first), and one for each long template's best window (ties: the first).
@@ -24,6 +24,9 @@ repeated results; null ids are carried along; other columns stay behind.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,11 +130,13 @@ def _windows(plain: DataFrame, threshold: float, templates: dict[str, str] | Non
     known = [(name, len(words_of(text)), bigrams(text)) for name, text in long_templates(templates).items()]
     if not known:
         return plain.select("id", F.lit(0).cast("long").alias("unit"), F.lit("").alias("license"), F.lit(0.0).alias("dice")).filter("false")
-    pattern = "|".join(sorted(set().union(*(anchors(pairs, threshold) for _, _, pairs in known))))
-    near = plain.filter(F.lower("text").rlike(pattern))
-    worded = near.select("id", F.explode(F.array(F.split(normal(F.col("text")), " "))).alias("words"))
-    listed = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), F.array(*map(F.lit, pairs)).alias("pairs")) for name, n, pairs in known])
-    pairs_of = worded.select("id", "words", F.explode(listed).alias("t"))
+    likely = []
+    for name, n, pairs in known:
+        found = [F.contains("low", F.lit(word)) for word in sorted(anchors(pairs, threshold))]
+        likely.append(F.when(reduce(or_, found), F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), F.array(*map(F.lit, pairs)).alias("pairs"))))
+    lowered = plain.select("id", "text", F.explode(F.array(F.lower("text"))).alias("low"))
+    near = lowered.select("id", "text", F.explode(F.filter(F.array(*likely), lambda t: t.isNotNull())).alias("t"))
+    pairs_of = near.select("id", "t", F.explode(F.array(F.split(normal(F.col("text")), " "))).alias("words"))
     last = F.greatest(F.lit(1), F.size("words") - F.col("t.n") + 1)
     starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, F.greatest(F.lit(1), F.floor(F.col("t.n") / STEPS).cast("int"))), F.array(last)))
 
