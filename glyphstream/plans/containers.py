@@ -25,7 +25,6 @@ from ..functions.columns import listwise
 from ..functions.language import normalize_language
 from ..operators.extractor import Extractor
 from ..sources import binary, ts
-from ..sources.datasource import load
 from ..sources.reader import Reader
 from . import assemble as A
 from . import media

@@ -164,3 +164,11 @@ def test_languages(spark):
     table = language_table(spark)
     assert len(table) == 202 or 200 <= len(table) <= 206, len(table)
     assert table["deu"] == "de" and table["heb"] == "he" and table["ind"] == "id" and table["yid"] == "yi" and table["nob"] == "nb" and "bih" not in table
+
+
+def test_public_names():
+    import glyphstream
+
+    assert all(getattr(glyphstream, name) is not None for name in glyphstream.__all__)
+    with pytest.raises(AttributeError):
+        glyphstream.nothing
