@@ -33,7 +33,7 @@ from ._scratch import input_bytes, table, texts
 
 WINDOW = 4096
 END_ID = 2
-CACHE_WORDS = 120_000
+CACHE_WORDS = 200_000
 BETWEEN = "~^`|★☆■▪●◆►▶♥♦♪"  # marks that are one token each
 PARTITION_BYTES = 4 << 20
 
