@@ -10,9 +10,13 @@ so nothing is broadcast or shuffled, and each row is worked on where it is read.
 
 Templates of at least LONG words are also looked for within texts, whatever the line breaks:
 each is compared with the windows of as many words that start at every eighth of its length,
-and at the text's last. A unit that reaches the threshold has a known share of a template's
-bigrams at least, so one of a few words that touch more than the rest of them; texts that
-contain none of a template's aren't cut into its windows.
+and at the text's last.
+
+What reaches the threshold has a known share of a template's bigrams at least, so one of a few
+words, its anchors, that touch more than the rest of them. A text that contains no template's
+anchor is done with; in others a unit needs an anchor, and a template is compared with those
+windows alone that hold one of its own. That skips nothing that could reach the threshold,
+which must be above 0.
 
 The result has a row for each unit that reaches the threshold, with its best template (ties:
 the name that sorts first), and one for each long template's best window (ties: the first).
@@ -74,22 +78,29 @@ def long_templates(templates: dict[str, str] | None) -> dict[str, str]:
     return {k: v for k, v in sorted((templates or TEMPLATES | WHOLE).items()) if len(words_of(v)) >= LONG}
 
 
-def anchors(pairs: list[str], threshold: float) -> set[str]:
-    """Words of which a unit that reaches the threshold has one at least: they touch more bigrams than it may lack."""
-    lacks, left, out = int(len(pairs) * (1 - threshold / (2 - threshold))), {p: p.split() for p in pairs}, set()
+def anchors(pairs: list[str], threshold: float, pool: set[str]) -> list[str]:
+    """Words of which a unit that reaches the threshold has one at least: they touch more bigrams than it may lack.
+
+    Those of the pool are taken first.
+    """
+    lacks, left, out = int(len(pairs) * (1 - threshold / (2 - threshold))), {p: p.split() for p in pairs}, []
     while left and len(pairs) - len(left) <= lacks:
         touched: dict[str, int] = {}
         for own in left.values():
             for word in set(own):
                 touched[word] = touched.get(word, 0) + 1
-        best = max(touched, key=lambda w: (min(len(w), 8), touched[w], w))  # long words are rare ones
-        out.add(best)
+        best = max(touched, key=lambda w: (w in pool, min(len(w), 8), touched[w], w))  # long words are rare ones
+        out.append(best)
         left = {p: own for p, own in left.items() if best not in own}
     return out
 
 
-def normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), SEPARATORS, " "))
+def normal(lowered: Column) -> Column:
+    return F.trim(F.regexp_replace(lowered, SEPARATORS, " "))
+
+
+def literals(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
 
 
 def word_bigrams(words: Column) -> Column:
@@ -99,53 +110,69 @@ def word_bigrams(words: Column) -> Column:
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
     """id, unit, license, dice for each unit that is like a template."""
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0")
     known = {k: bigrams(v) for k, v in sorted((templates or TEMPLATES).items())}
     known = {k: v for k, v in known.items() if v}
-    ratio = threshold / (2 - threshold)
-    fewest, most = min(map(len, known.values())) * ratio, max(map(len, known.values())) / ratio
-    # A bigram has three characters at least, and so has its share of the unit.
+    long = {k: (len(words_of(v)), bigrams(v)) for k, v in long_templates(templates).items()}
+    fewest = min(map(len, known.values())) * threshold / (2 - threshold)
+    pool: set[str] = set()
+    for pairs in sorted((*known.values(), *(p for _, p in long.values())), key=lambda p: (len(p), p)):
+        pool.update(anchors(pairs, threshold, pool))
+    of_units = sorted({word for pairs in known.values() for word in anchors(pairs, threshold, pool)})
     # Each explode is also a barrier: Catalyst evaluates what stands in it once, and pushes no
     # filter through that would evaluate it again.
-    lines = F.split("text", "\n", -1)
-    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(0).cast("long").alias("unit"), F.col("text").alias("text"))))
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).cast("long").alias("unit"), x.alias("text")))
-    units = F.filter(F.concat(numbered, F.coalesce(whole, F.slice(numbered, 1, 0))), lambda u: F.length(u["text"]) >= int(2 * fewest))
-    worded = F.transform(units, lambda u: F.struct(u["unit"].alias("unit"), F.split(normal(u["text"]), " ").alias("words")))
-    exploded = texts(docs, id_col, text_col).select("id", F.explode(F.filter(worded, lambda u: F.size(u["words"]) - 1 >= fewest)).alias("u"))
-    sets = exploded.select("id", "u.unit", F.explode(F.array(word_bigrams(F.col("u.words")))).alias("pairs")).filter(F.size("pairs").between(fewest, most))
-    scored = []
+    lowered = texts(docs, id_col, text_col).select("id", F.explode(F.array(F.lower("text"))).alias("low"))
+    near = lowered.filter(reduce(or_, [F.contains("low", F.lit(word)) for word in sorted(pool)]))
+    lined = near.select("id", F.explode(F.array(F.transform(F.split("low", "\n", -1), lambda x: F.split(normal(x), " ")))).alias("lines"))
+    worded = lined.select("id", "lines", F.explode(F.array(F.filter(F.flatten("lines"), lambda w: w != ""))).alias("words"))
+    template = "struct<license:string,n:int,pairs:array<string>,anchors:array<string>>"
+    unit = lambda number, words: F.struct(number.cast("long").alias("unit"), words.alias("words"), F.lit(None).cast(template).alias("t"))
+    units = F.concat(F.transform("lines", lambda x, i: unit(i + 1, x)), F.when(F.size("lines") > 1, F.array(unit(F.lit(0), F.col("words")))).otherwise(F.array()))
+    units = F.filter(units, lambda u: (F.size(u["words"]) - 1 >= fewest) & F.arrays_overlap(u["words"], literals(of_units)))
+    wide = []
+    for name, (n, pairs) in long.items():
+        own = literals(anchors(pairs, threshold, pool))
+        t = F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), literals(pairs).alias("pairs"), own.alias("anchors")).cast(template)
+        wide.append(F.when((F.size("words") > 1) & F.arrays_overlap("words", own), F.struct(F.lit(0).cast("long").alias("unit"), F.col("words").alias("words"), t.alias("t"))))
+    both = F.concat(units, F.filter(F.array(*wide), lambda c: c.isNotNull())) if wide else units
+    one = worded.select("id", F.explode(both).alias("c")).select("id", "c.unit", "c.words", "c.t")
+    paired = one.select("*", F.explode(F.array(F.when(F.col("t").isNull(), word_bigrams(F.col("words"))))).alias("pairs"))
+    found = F.when(F.col("t").isNull(), _best_of_unit(known, threshold)).otherwise(_best_window(threshold))
+    return paired.select(F.col("id").alias(id_col), F.explode(found).alias("f")).select(id_col, "f.unit", "f.license", "f.dice")
+
+
+def _found(unit: Column, license_: Column, dice: Column) -> Column:
+    return F.struct(unit.alias("unit"), license_.alias("license"), dice.alias("dice"))
+
+
+def _best_of_unit(known: dict[str, list[str]], threshold: float) -> Column:
+    """The best template for the unit with bigrams ``pairs``, if one reaches the threshold."""
+    scored, ratio, size = [], threshold / (2 - threshold), F.size("pairs")
     for name, pairs in known.items():
-        size = F.size("pairs")
         fits = (size >= len(pairs) * ratio) & (size <= len(pairs) / ratio)
-        dice = 2.0 * F.size(F.array_intersect("pairs", F.array(*map(F.lit, pairs)))) / (size + len(pairs))
-        scored.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(name).alias("license"))))
+        dice = 2.0 * F.size(F.array_intersect("pairs", literals(pairs))) / (size + len(pairs))
+        scored.append(F.when(fits, _found(F.col("unit"), F.lit(name), dice)))
     reach = F.filter(F.array(*scored), lambda s: s.isNotNull() & (s["dice"] >= threshold))
     best = F.array_sort(reach, lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["license"] < b["license"], -1).otherwise(1))
-    found = sets.select("id", "unit", F.explode(F.slice(best, 1, 1)).alias("best")).select("id", "unit", "best.license", "best.dice")
-    return found.unionByName(_windows(texts(docs, id_col, text_col), threshold, templates)).withColumnRenamed("id", id_col)
-
-
-def _windows(plain: DataFrame, threshold: float, templates: dict[str, str] | None) -> DataFrame:
-    """The best window of each long template in each text, where it reaches the threshold."""
-    known = [(name, len(words_of(text)), bigrams(text)) for name, text in long_templates(templates).items()]
-    if not known:
-        return plain.select("id", F.lit(0).cast("long").alias("unit"), F.lit("").alias("license"), F.lit(0.0).alias("dice")).filter("false")
-    likely = []
-    for name, n, pairs in known:
-        found = [F.contains("low", F.lit(word)) for word in sorted(anchors(pairs, threshold))]
-        likely.append(F.when(reduce(or_, found), F.struct(F.lit(name).alias("license"), F.lit(n).alias("n"), F.array(*map(F.lit, pairs)).alias("pairs"))))
-    lowered = plain.select("id", "text", F.explode(F.array(F.lower("text"))).alias("low"))
-    near = lowered.select("id", "text", F.explode(F.filter(F.array(*likely), lambda t: t.isNotNull())).alias("t"))
-    pairs_of = near.select("id", "t", F.explode(F.array(F.split(normal(F.col("text")), " "))).alias("words"))
-    last = F.greatest(F.lit(1), F.size("words") - F.col("t.n") + 1)
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, F.greatest(F.lit(1), F.floor(F.col("t.n") / STEPS).cast("int"))), F.array(last)))
+    return F.slice(best, 1, 1)
+
+
+def _best_window(threshold: float) -> Column:
+    """The best window of the long template ``t`` in ``words``, if one reaches the threshold."""
+    n, step = F.col("t.n"), F.greatest(F.lit(1), F.floor(F.col("t.n") / STEPS).cast("int"))
+    last = F.greatest(F.lit(1), F.size("words") - n + 1)
+    # Steps that hold an anchor, and the starts whose windows reach one of them.
+    held = F.array_distinct(F.transform("words", lambda w, i: F.when(F.array_contains(F.col("t.anchors"), w), F.floor(i / step).cast("int"))))
+    reaching = F.transform(F.filter(held, lambda j: j.isNotNull()), lambda j: F.sequence(F.greatest(F.lit(0), j - F.ceil(n / step).cast("int")), j))
+    starts = F.filter(F.transform(F.array_distinct(F.flatten(reaching)), lambda j: j * step + 1), lambda at: at < last)
 
     def score(at: Column) -> Column:
-        own = word_bigrams(F.slice("words", at, F.col("t.n")))
+        own = word_bigrams(F.slice("words", at, n))
         return F.struct((2.0 * F.size(F.array_intersect(own, F.col("t.pairs"))) / (F.size(own) + F.size("t.pairs"))).alias("dice"), (-at).cast("long").alias("unit"))
 
-    best = pairs_of.filter(F.size("words") > 1).select("id", F.col("t.license").alias("license"), F.explode(F.array(F.array_max(F.transform(starts, score)))).alias("best"))
-    return best.filter(F.col("best.dice") >= threshold).select("id", "best.unit", "license", "best.dice")
+    best = F.array(F.array_max(F.transform(F.concat(starts, F.array(last)), score)))
+    return F.transform(F.filter(best, lambda b: b["dice"] >= threshold), lambda b: _found(b["unit"], F.col("t.license"), b["dice"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
