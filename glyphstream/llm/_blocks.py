@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._scratch import bucketed, input_bytes, texts, utf8_values
+from ._scratch import bucketed, input_bytes, release, texts, utf8_values
 
 BLOCK_BYTES = 4_000_000
 MESSAGE_BYTES = 1_000_000
@@ -190,6 +190,7 @@ def _write(docs: DataFrame, id_col: str, text_col: str, label: str, make: Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        release()
         arrow, block = to_arrow_schema(schema), TaskContext.get().partitionId() << 32
         ids, sizes, parts, held = [], [], [], 0
 
@@ -254,6 +255,7 @@ def send(blocks: DataFrame, make: Callable[[dict], Iterator[tuple]], schema: T.S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        release()
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -284,6 +286,7 @@ def answer(sent: DataFrame, schema: T.StructType, reply: Callable[[int, list[dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        release()
         rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: -1 if r["block"] is None else r["block"])
         yield from _batches(reply(rows[0]["part"], rows), to_arrow_schema(schema))
 

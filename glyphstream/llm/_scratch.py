@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,11 +72,12 @@ def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
     """As materialise, bucketed by a column; what groups by it, and more, reads the table without a shuffle.
 
     Buckets need a table in the catalog; it is dropped again at once, as the frame needs its files only.
+    Rows are packed blocks of some megabytes, so Parquet doesn't compress them again.
     """
     spark, path, name = df.sparkSession, scratch_path(df.sparkSession, label), f"glyphstream_{uuid.uuid4().hex}"
     # Else Spark shuffles where a grouping has more columns than the buckets.
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    df.write.format("parquet").option("path", path).option("parquet.block.size", ROW_GROUP_BYTES).bucketBy(buckets, column).saveAsTable(name)
+    df.write.format("parquet").option("path", path).option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "uncompressed").bucketBy(buckets, column).saveAsTable(name)
     written = spark.table(name)
     written.schema  # resolved before the name goes
     spark.sql(f"DROP TABLE {name}")
@@ -90,6 +93,24 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_kept: dict[str, object] = {}
+
+
+def keep(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between its tasks, made once; ``release`` gives it up."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release() -> None:
+    """Give back what a Python worker keeps for other operators' tasks, and what its allocators hold."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
+
+
 def delete_scratch() -> None:
     """Delete the tables that this process has written; frames that still read them become invalid."""
     spark = SparkSession.getActiveSession()

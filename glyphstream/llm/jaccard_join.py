@@ -50,12 +50,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._blocks import M1, M2, OWNER_BITS, _batches, answer, block_words, finish, mix, pack_sorted, places, ranges_of, rolling, send, unpack_sorted, write_coded
-from ._scratch import RANGE_BYTES, discard, exchange_ranges, input_bytes, materialise, table, width
+from ._scratch import RANGE_BYTES, discard, exchange_ranges, input_bytes, materialise, release, table, width
 from .components import components
 
 SHINGLE = 4
 PERCENT = 85
 SPARE = 0.4  # r, as a share of k + 1
+STAR_KEYS = 1 << 18
 LEAF = 64
 PIVOTS = 16
 REGION_SHINGLES = 3_000_000
@@ -175,20 +176,36 @@ def _ask(row: dict, n: int, percent: int, parts: int) -> Iterator[tuple]:
 
 
 def _stars(part: int, rows: list[dict]) -> Iterator[tuple]:
-    """(centre, other point) for each cell with several points."""
+    """(centre, other point) for each cell with several points; some STAR_KEYS of the cells' points at a time."""
     names, points = [], []
-    for row in rows:
-        size = int.from_bytes(row["payload"][:8], "little")
-        names.append(unpack_sorted(row["payload"][8 : 8 + size]))
-        points.append(np.frombuffer(row["payload"][8 + size :], dtype=np.int64))
-    name, point = np.concatenate(names), np.concatenate(points)
+    while rows:
+        payload = rows.pop()["payload"]
+        size = int.from_bytes(payload[:8], "little")
+        names.append(unpack_sorted(payload[8 : 8 + size]))
+        points.append(np.frombuffer(payload, dtype=np.int64, offset=8 + size))
+    low, high = min(int(n[0]) for n in names), max(int(n[-1]) for n in names)
+    slices = 1 + sum(map(len, names)) // STAR_KEYS
+    edges = np.array([low + (high - low) * i // slices for i in range(slices)], dtype=np.uint64)
+    at = [np.append(np.searchsorted(n, edges), len(n)) for n in names]
+    for i in range(slices):
+        name = np.concatenate([n[e[i] : e[i + 1]] for n, e in zip(names, at, strict=True)])
+        point = np.concatenate([p[e[i] : e[i + 1]] for p, e in zip(points, at, strict=True)])
+        yield from map(tuple, _stars_of(name, point).tolist())
+
+
+def _stars_of(name: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Distinct rows (least point of a cell, other point of it)."""
     order = np.argsort(name)
     name, point = name[order], point[order]
     first = np.ones(len(name), dtype=bool)
     first[1:] = name[1:] != name[:-1]
-    least = np.minimum.reduceat(point, np.flatnonzero(first))[np.cumsum(first) - 1]
+    least = np.minimum.reduceat(point, np.flatnonzero(first))[np.cumsum(first) - 1] if len(name) else point
     differ = least != point
-    yield from map(tuple, np.unique(np.stack((least[differ], point[differ]), axis=1), axis=0).tolist())
+    stars = np.stack((least[differ], point[differ]), axis=1)
+    stars = stars[np.lexsort((stars[:, 1], stars[:, 0]))]
+    new = np.ones(len(stars), dtype=bool)
+    new[1:] = (stars[1:] != stars[:-1]).any(axis=1)
+    return stars[new]
 
 
 def _wanted(block: dict, rows: list[dict], n: int) -> Iterator[tuple]:
@@ -425,6 +442,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        release()
         yield from _batches(_solve_regions(pa.Table.from_batches(list(batches)), percent), to_arrow_schema(EDGE))
 
     buckets = max(16, -(-8 * (total[0] or 0) // RANGE_BYTES))

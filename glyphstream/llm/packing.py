@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._scratch import input_bytes, table, texts
+from ._scratch import input_bytes, keep, table, texts
 
 WINDOW = 4096
 END_ID = 2
@@ -187,8 +187,6 @@ class WordCache:
     CACHE_WORDS others were.
     """
 
-    _by_path: dict[str, WordCache] = {}
-
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -200,9 +198,7 @@ class WordCache:
 
     @classmethod
     def of(cls, path: str) -> WordCache:
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
+        return keep(f"words of {path}", lambda: cls(path))
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
         """Encode the words in one text, a line for each, with lines between them of a mark that none has."""
