@@ -451,6 +451,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     if total[1] is not None and total[1] > most:
         links = links.unionByName(_join_large(members.filter(~in_task), percent, size))
     roots = components(links)
+    discard(members, placed)
     joined = classes.join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
     joined = materialise(joined.select("point", "check", "root", "least"), "class-roots", size)
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -460,11 +461,15 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id names their component, with the columns of docs."""
+    """The rows of docs whose id names their component, with the columns of docs.
+
+    Those that go are fewer than those that stay, so they are what docs is joined with.
+    """
     found = join(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gs_id")).distinct()
-    chosen = materialise(kept, "chosen", input_bytes(docs))
-    return docs.join(chosen, F.col(id_col).eqNullSafe(F.col("__gs_id")), "left_semi")
+    stays = F.max(F.col(id_col).eqNullSafe(F.col("component_id")))
+    gone = found.groupBy(F.col(id_col).alias("__gs_id")).agg(stays.alias("__gs_stays")).filter(~F.col("__gs_stays")).select("__gs_id")
+    gone = materialise(gone, "gone", input_bytes(docs))
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gs_id")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
