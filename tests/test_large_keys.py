@@ -9,6 +9,7 @@ KINDS = ("signup", "error", "click", "view", "purchase")
 # Numbers of 16 bits end at 65535.
 OVER_16_BITS = [
     "bytes_read",
+    "m2ts_sets",
 ]
 
 
