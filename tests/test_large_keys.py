@@ -10,6 +10,7 @@ KINDS = ("signup", "error", "click", "view", "purchase")
 OVER_16_BITS = [
     "bytes_read",
     "m2ts_sets",
+    "mkv_track_list",
 ]
 
 
