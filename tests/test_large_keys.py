@@ -11,6 +11,7 @@ OVER_16_BITS = [
     "bytes_read",
     "m2ts_sets",
     "mkv_track_list",
+    "transport_track_list",
 ]
 
 
