@@ -12,6 +12,7 @@ OVER_16_BITS = [
     "m2ts_sets",
     "mkv_track_list",
     "transport_track_list",
+    "every_container",
 ]
 
 
