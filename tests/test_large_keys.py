@@ -13,6 +13,7 @@ OVER_16_BITS = [
     "mkv_track_list",
     "transport_track_list",
     "every_container",
+    "mkv_cued_sets",
 ]
 
 
