@@ -14,6 +14,7 @@ OVER_16_BITS = [
     "transport_track_list",
     "every_container",
     "mkv_cued_sets",
+    "pushed_filters",
 ]
 
 
