@@ -15,6 +15,7 @@ OVER_16_BITS = [
     "every_container",
     "mkv_cued_sets",
     "pushed_filters",
+    "ts_junk_sets",
 ]
 
 
