@@ -16,6 +16,7 @@ OVER_16_BITS = [
     "mkv_cued_sets",
     "pushed_filters",
     "ts_junk_sets",
+    "mkv_sequential_sets",
 ]
 
 
