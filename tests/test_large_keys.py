@@ -17,6 +17,7 @@ OVER_16_BITS = [
     "pushed_filters",
     "ts_junk_sets",
     "mkv_sequential_sets",
+    "sup_files",
 ]
 
 
