@@ -20,17 +20,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schema as S
 from ..functions import codec
 from ..functions.columns import listwise
 from ..functions.language import normalize_language
 from ..operators.extractor import Extractor
 from ..sources import binary, ts
+from ..sources.datasource import batches
 from ..sources.reader import Reader
 from . import assemble as A
 from . import media
 from .synth import TICKS, table
 
 PER_FILE = 1500
+PER_OBJECT_FILE = 64
 LANGUAGES = ("eng", "ger", "fre", "und")
 STATES = {"signup": "epoch_start", "view": "acquisition_point"}
 FILES = T.StructType().add("path", T.StringType()).add("content", T.BinaryType())
@@ -87,6 +90,11 @@ def junked(file_no: int, rows: list) -> bytes:
     return media.transport({0x1200 + t: (None, sets) for t, sets in tracks_of(rows).items()}, m2ts=False, junk=b"x" * (50 + file_no * 77 % 1000))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows by key over a fixed number of tasks: small rows make large files, so their size tells nothing of the work."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def contents(spark: SparkSession, sf_dir: str, make: Callable[[int, list], bytes], extension: str) -> DataFrame:
     """(path, content) of all files of a kind."""
 
@@ -248,17 +256,22 @@ def fragment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fragmented_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bitmaps whose run lengths fill several segments: built, assembled, joined and decoded to the same pixels."""
+    """Bitmaps whose run lengths fill several segments: built, assembled, joined and decoded to the same pixels.
 
-    @listwise(T.ArrayType(T.StructType().add("segment_type", T.StringType()).add("payload", T.BinaryType())))
-    def made(key):  # noqa: ANN001, ANN202
+    A file holds the sets of some keys, as a track of a file is assembled in one task.
+    """
+
+    def rows(key: int) -> Iterator[tuple]:
         pixels = bytes(1 + (key + i) % 3 for i in range(251)) * (100 + key % 1200)
         parts = codec.build_display_set(media.composition(key % 65536), None, [], [{"id": 1, "version": 0, "width": 251, "height": 100 + key % 1200, "pixels": pixels}])
-        return [{"segment_type": k, "payload": p} for k, p in parts]
+        for place, (kind, payload) in enumerate(parts):
+            yield f"{key // PER_OBJECT_FILE}.sup", 1, key * 64 + place, key * 90, 0, kind, payload
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield from batches((r for key in part.column(0).to_pylist() for r in rows(key)), S.SEGMENTS)
 
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"))
-    listed = suppliers.select("key", F.posexplode(made("key")).alias("place", "s"))
-    segments = listed.select(F.lit("s").alias("file"), F.lit(1).cast("long").alias("track_id"), (F.col("key") * 64 + F.col("place")).alias("seg_seq"), (F.col("key") * 90).alias("pts"), F.lit(0).cast("long").alias("dts"), "s.segment_type", "s.payload")
+    segments = spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long")), "s_suppkey").mapInArrow(run, S.SEGMENTS)
     found = A.project(A.assemble(segments)).select((F.col("pts") / 90).cast("long").alias("key"), F.explode("objects").alias("o"))
     return found.select("key", F.col("o.sequence").alias("sequence"), F.col("o.height").cast("long").alias("height"), F.length("o.bitmap").cast("long").alias("pixels"), F.md5("o.bitmap").alias("pixels_md5"))
 

@@ -1,6 +1,9 @@
 """Fixed vectors of the format, and the Spark columns against the decoders."""
 
+import itertools
 import os
+import random
+import timeit
 
 import numpy as np
 import pytest
@@ -172,3 +175,39 @@ def test_public_names():
     assert all(getattr(glyphstream, name) is not None for name in glyphstream.__all__)
     with pytest.raises(AttributeError):
         glyphstream.nothing
+
+
+def plain_rle(pixels, width):
+    """Run by run, as the format says."""
+    out = b""
+    for at in range(0, len(pixels), width):
+        for colour, run in ((c, len(list(g))) for c, g in itertools.groupby(pixels[at : at + width])):
+            while run:
+                part = min(run, 16383)
+                run -= part
+                if colour and part <= 2:
+                    out += bytes([colour]) * part
+                else:
+                    mark = (0x80 if colour else 0) | (0x40 if part > 63 else 0)
+                    out += bytes([0, mark | part >> 8, part & 0xFF] if part > 63 else [0, mark | part]) + bytes([colour] if colour else [])
+        out += b"\0\0"
+    return out
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 64, 251, 16384, 40000])
+def test_rle_run_by_run(width):
+    rng = random.Random(width)
+    for stay in (0.0, 0.5, 0.9, 1.0):
+        pixels = bytearray()
+        while len(pixels) < 3 * width:
+            pixels.append(pixels[-1] if pixels and rng.random() < stay else rng.randrange(4))
+        assert codec.encode_rle(bytes(pixels), width, 3) == plain_rle(bytes(pixels), width)
+
+
+def test_rle_time_without_runs():
+    """Bitmaps without runs are copied, not walked pixel by pixel."""
+    pixels = bytes(1 + i % 3 for i in range(251)) * 1299
+    rle = codec.encode_rle(pixels, 251, 1299)
+    walk = min(timeit.repeat(lambda: [v + 1 for v in pixels if v], number=1, repeat=5))
+    assert min(timeit.repeat(lambda: codec.encode_rle(pixels, 251, 1299), number=1, repeat=5)) < 6 * walk
+    assert min(timeit.repeat(lambda: codec.decode_rle(rle, 251, 1299), number=1, repeat=5)) < 3 * walk
