@@ -27,12 +27,13 @@ def reassemble_pes(packets: DataFrame) -> DataFrame:
     """Blocks (raw framing) of transport packets: each unit start opens a PES packet of its PID.
 
     What comes before the first start is dropped; the last one ends with the input. Times are
-    relative to the clip's start, and never negative.
+    relative to the clip's start, and never negative. The offset is the unit start's; one below
+    zero puts the clip's 33 bits behind an earlier time.
     """
     w = Window.partitionBy(*TRACK).orderBy("packet_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grouped = packets.withColumn("grp", F.sum(F.col("starts").cast("long")).over(w)).filter("grp > 0")
     parts = F.sort_array(F.collect_list(F.struct("packet_seq", "payload")))
-    whole = grouped.groupBy(*TRACK, "grp").agg(F.min("packet_seq").alias("block_seq"), F.first("pts_offset").alias("pts_offset"), C.joined(F.transform(parts, lambda p: p["payload"])).alias("pes"))
+    whole = grouped.groupBy(*TRACK, "grp").agg(F.min("packet_seq").alias("block_seq"), F.min_by("pts_offset", "packet_seq").alias("pts_offset"), C.joined(F.transform(parts, lambda p: p["payload"])).alias("pes"))
     return pes_blocks(whole)
 
 
@@ -54,12 +55,18 @@ def pes_blocks(pes: DataFrame) -> DataFrame:
     )
 
 
-def segments(blocks: DataFrame) -> DataFrame:
-    """schema.SEGMENTS of blocks in either framing; blocks without data (errors) give none."""
+def segments(blocks: DataFrame, *, whole_times: bool = False) -> DataFrame:
+    """schema.SEGMENTS of blocks in either framing; blocks without data (errors) give none.
+
+    PG headers hold the last 32 bits of a time, which go round after 13 hours. With
+    ``whole_times`` the bits above them are those of the block's own times, for containers that have them.
+    """
 
     def rows(part: pa.RecordBatch) -> Iterator[tuple]:
         for file, track, seq, pts, dts, data in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
             for place, (own_pts, own_dts, kind, payload) in enumerate(codec.split_block(data, pts, dts)):
+                if whole_times:
+                    own_pts, own_dts = codec.nearest(own_pts, pts), codec.nearest(own_dts, dts)
                 yield file, track, seq * PLACES + min(place, PLACES - 1), own_pts, own_dts, kind, payload
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

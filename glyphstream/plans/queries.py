@@ -71,20 +71,20 @@ def epoch_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SETS + "SELECT track_id, pts, row_number() OVER (PARTITION BY track_id ORDER BY e) - 1 AS index FROM sets WHERE pts / 90.0::DOUBLE BETWEEN 4000 AND 20000")
 def time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = A.assemble(A.segments(synth.event_blocks(table(spark, sf_dir, "events"))))
+    found = A.assemble(synth.read_segments(table(spark, sf_dir, "events")))
     return A.numbered(A.in_time(found, 4000, 20000)).select("track_id", "pts", "index")
 
 
 @query(SETS + "SELECT track_id, idx AS index, pts FROM numbered WHERE track_id IN (1, 3)")
 def track_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = synth.event_blocks(table(spark, sf_dir, "events")).filter(F.col("track_id").isin(1, 3))
-    return A.numbered(A.assemble(A.segments(blocks))).select("track_id", "index", "pts")
+    return A.numbered(A.assemble(A.segments(blocks, whole_times=True))).select("track_id", "index", "pts")
 
 
 @query("SELECT 1 + user_id % 4 AS track_id, count(*) FILTER (event_type = 'error') AS discarded, count(*) FILTER (event_type <> 'error') AS complete FROM events GROUP BY 1")
 def incomplete_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets that a PCS opens and nothing closes."""
-    segments = A.segments(synth.event_blocks(table(spark, sf_dir, "events")))
+    segments = synth.read_segments(table(spark, sf_dir, "events"))
     opened = segments.filter("segment_type = 'PCS'").groupBy("track_id").agg(F.count(F.lit(1)).alias("opened"))
     complete = A.assemble(segments).groupBy("track_id").agg(F.count(F.lit(1)).alias("complete"))
     return opened.join(complete, "track_id", "left").select("track_id", (F.col("opened") - F.coalesce("complete", F.lit(0))).alias("discarded"), F.coalesce("complete", F.lit(0)).cast("long").alias("complete"))
@@ -95,7 +95,7 @@ def incomplete_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     " WHERE t.segment_type <> 'END' OR event_type <> 'error' GROUP BY ALL"
 )
 def segment_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.segments(synth.event_blocks(table(spark, sf_dir, "events"))).groupBy("track_id", "segment_type").agg(F.count(F.lit(1)).alias("segments"))
+    return synth.read_segments(table(spark, sf_dir, "events")).groupBy("track_id", "segment_type").agg(F.count(F.lit(1)).alias("segments"))
 
 
 @query(SETS + "SELECT track_id, count(*) AS display_sets, 4 * count(*) AS segments, min(pts) AS first_pts, max(pts) AS last_pts, count(*) AS n_pcs, CAST(0 AS BIGINT) AS n_ods FROM sets GROUP BY track_id")

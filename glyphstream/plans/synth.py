@@ -71,9 +71,14 @@ def event_blocks(events: DataFrame) -> DataFrame:
     return s.select("file", "track_id", F.col("seg_seq").alias("block_seq"), "pts", "dts", F.lit("sup").alias("framing"), data.alias("data"), F.lit(None).cast("string").alias("error"))
 
 
+def read_segments(events: DataFrame) -> DataFrame:
+    """The events' segments, read back from their bytes; blocks have whole times, headers 32 bits of them."""
+    return A.segments(event_blocks(events), whole_times=True)
+
+
 def event_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Display sets read back from the bytes, and numbered."""
-    return A.numbered(A.assemble(A.segments(event_blocks(table(spark, sf_dir, "events")))))
+    return A.numbered(A.assemble(read_segments(table(spark, sf_dir, "events"))))
 
 
 def order_bitmaps(lineitem: DataFrame) -> DataFrame:

@@ -49,3 +49,15 @@ def agrees(spark, folder, name, table="events"):
 def test_ids_over_16_bits(spark, tmp_path, name):
     events(tmp_path, [range(0, 40), range(65400, 65600), range(99000, 99100)])
     assert agrees(spark, tmp_path, name)
+
+
+# Times of 32 bits end at event 1193046, those of 33 bits at 2386092.
+OVER_32_BITS = [
+    "clear_events",
+]
+
+
+@pytest.mark.parametrize("name", OVER_32_BITS)
+def test_times_over_32_bits(spark, tmp_path, name):
+    events(tmp_path, [range(90, 140), range(1193030, 1193190), range(2386050, 2386230), range(5999900, 6000000)])
+    assert agrees(spark, tmp_path, name)
