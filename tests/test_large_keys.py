@@ -54,6 +54,7 @@ def test_ids_over_16_bits(spark, tmp_path, name):
 # Times of 32 bits end at event 1193046, those of 33 bits at 2386092.
 OVER_32_BITS = [
     "clear_events",
+    "epoch_starts",
 ]
 
 
