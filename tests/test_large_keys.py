@@ -55,6 +55,7 @@ def test_ids_over_16_bits(spark, tmp_path, name):
 OVER_32_BITS = [
     "clear_events",
     "epoch_starts",
+    "track_summary",
 ]
 
 
