@@ -383,10 +383,10 @@ def saturating_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, event_id % 65536 AS low, (event_id * 3600) % 16777216 AS three, event_id * 3600 AS four FROM events")
 def big_endian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integers written in two, three and four bytes, and read back."""
+    """Integers written in two, three and four bytes, and read back; what four bytes can't hold takes four more."""
     e = F.col("event_id")
-    data = table(spark, sf_dir, "events").select("event_id", F.concat(C.to_be(e, 2), C.to_be(e * 3600, 3), C.to_be(e * 3600, 4)).alias("b"))
-    return data.select("event_id", C.be("b", 0, 2).alias("low"), C.be("b", 2, 3).alias("three"), C.be("b", 5, 4).alias("four"))
+    data = table(spark, sf_dir, "events").select("event_id", F.concat(C.to_be(e, 2), C.to_be(e * 3600, 3), C.to_be(e * 3600, 4), C.to_be(F.shiftright(e * 3600, 32), 4)).alias("b"))
+    return data.select("event_id", C.be("b", 0, 2).alias("low"), C.be("b", 2, 3).alias("three"), (F.shiftleft(C.be("b", 9, 4), 32) + C.be("b", 5, 4)).alias("four"))
 
 
 for _name, (_made, _sql) in containers.QUERIES.items():

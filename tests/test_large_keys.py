@@ -56,6 +56,7 @@ OVER_32_BITS = [
     "clear_events",
     "epoch_starts",
     "track_summary",
+    "big_endian",
 ]
 
 
