@@ -57,6 +57,7 @@ OVER_32_BITS = [
     "epoch_starts",
     "track_summary",
     "big_endian",
+    "ndjson_roundtrip",
 ]
 
 
