@@ -350,12 +350,15 @@ def _pes(e: Column) -> Column:
     SELECT track_id, min(e) * 3600 AS pts, (3 + sum(CASE WHEN starts THEN 0 ELSE n END))::BIGINT AS payload_bytes FROM g WHERE grp > 0 GROUP BY track_id, grp"""
 )
 def pes_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets of four PIDs; signups, purchases and errors start a unit, others continue it."""
+    """Packets of four PIDs; signups, purchases and errors start a unit, others continue it.
+
+    A PES time has 33 bits, so each round of them is a clip of its own, put behind those before it.
+    """
     e = F.col("event_id")
     starts = ~F.col("event_type").isin("view", "click")
     filler = F.unhex(F.repeat(F.lit("FF"), ((e * 7) % 50).cast("int")))
     packets = table(spark, sf_dir, "events").select(
-        F.lit("a.ts").alias("file"), (1 + F.col("user_id") % 4).alias("track_id"), e.alias("packet_seq"), starts.alias("starts"), F.when(starts, _pes(e)).otherwise(filler).alias("payload"), F.lit(0).cast("long").alias("pts_offset")
+        F.lit("a.ts").alias("file"), (1 + F.col("user_id") % 4).alias("track_id"), e.alias("packet_seq"), starts.alias("starts"), F.when(starts, _pes(e)).otherwise(filler).alias("payload"), (F.pmod(e * TICKS, F.lit(1 << 33)) - e * TICKS).alias("pts_offset")
     )
     return A.reassemble_pes(packets).select("track_id", "pts", F.octet_length("data").cast("long").alias("payload_bytes"))
 

@@ -58,6 +58,7 @@ OVER_32_BITS = [
     "track_summary",
     "big_endian",
     "ndjson_roundtrip",
+    "pes_reassembly",
 ]
 
 
