@@ -59,6 +59,7 @@ OVER_32_BITS = [
     "big_endian",
     "ndjson_roundtrip",
     "pes_reassembly",
+    "set_durations",
 ]
 
 
