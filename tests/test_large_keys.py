@@ -60,6 +60,7 @@ OVER_32_BITS = [
     "ndjson_roundtrip",
     "pes_reassembly",
     "set_durations",
+    "set_timing",
 ]
 
 
