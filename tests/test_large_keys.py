@@ -61,6 +61,7 @@ OVER_32_BITS = [
     "pes_reassembly",
     "set_durations",
     "set_timing",
+    "time_slice",
 ]
 
 
