@@ -62,6 +62,7 @@ OVER_32_BITS = [
     "set_durations",
     "set_timing",
     "time_slice",
+    "track_filter",
 ]
 
 
