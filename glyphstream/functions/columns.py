@@ -79,6 +79,11 @@ def minus_offset(pts: Column, offset: Column) -> Column:
     return F.greatest(pts - offset, F.lit(0).cast("long"))
 
 
+def since(start: Column, pts: Column, bits: int) -> Column:
+    """The first time from ``start`` on that a clock of so many bits shows as ``pts``."""
+    return start + F.pmod(pts - start, F.lit(1 << bits))
+
+
 def pes_time(five: Column) -> Column:
     """The 33-bit time in the five bytes of a PES header."""
     part = lambda at, mask: be(five, at, 1).bitwiseAND(F.lit(mask))

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import codec
-from ..functions.columns import listwise
+from ..functions.columns import listwise, since
 from ..functions.language import normalize_language
 from ..operators.extractor import Extractor
 from ..sources import binary, ts
@@ -144,12 +144,17 @@ def _file_no() -> F.Column:
     return F.regexp_extract("file", r"(\d+)\.\w+$", 1).cast("long").alias("file_no")
 
 
-def _listed(sets: DataFrame) -> DataFrame:
-    return sets.select(_file_no(), "track_id", "index", "pts", F.col("composition_state").alias("state"), F.size("segments").cast("long").alias("segments"))
+def _pts(bits: int) -> F.Column:
+    """Times of .sup files have 32 bits, of transport streams 33; a file's number says when it starts, so they go on from there."""
+    return since(_file_no() * (PER_FILE * TICKS), F.col("pts"), bits).alias("pts")
 
 
-def _assembled(blocks: DataFrame) -> DataFrame:
-    return _listed(A.numbered(A.assemble(A.segments(blocks))))
+def _listed(sets: DataFrame, pts: F.Column | str = "pts") -> DataFrame:
+    return sets.select(_file_no(), "track_id", "index", pts, F.col("composition_state").alias("state"), F.size("segments").cast("long").alias("segments"))
+
+
+def _assembled(blocks: DataFrame, pts: F.Column | str = "pts") -> DataFrame:
+    return _listed(A.numbered(A.assemble(A.segments(blocks))), pts)
 
 
 def mkv_cued_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,13 +169,13 @@ def mkv_sequential_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m2ts_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of 192 bytes, reassembled."""
-    return _assembled(A.reassemble_pes(binary.from_contents(contents(spark, sf_dir, m2ts, "m2ts"), "packets")))
+    return _assembled(A.reassemble_pes(binary.from_contents(contents(spark, sf_dir, m2ts, "m2ts"), "packets")), _pts(33))
 
 
 def ts_junk_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of 188 bytes around junk, in files cut into many splits."""
     folder = written(contents(spark, sf_dir, junked, "ts"), shared_folder(spark))
-    return _listed(Extractor(spark, folder, split_bytes=20_011).display_sets())
+    return _listed(Extractor(spark, folder, split_bytes=20_011).display_sets(), _pts(33))
 
 
 def mkv_track_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +195,7 @@ def every_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     for make, extension in ((cued, "mkv"), (m2ts, "m2ts"), (junked, "ts")):
         written(contents(spark, sf_dir, make, extension), folder)
-    sets = Extractor(spark, folder, split_bytes=50_000).display_sets()
+    sets = Extractor(spark, folder, split_bytes=50_000).display_sets().withColumn("pts", F.when(F.col("container") == "Matroska", F.col("pts")).otherwise(_pts(33)))
     return sets.groupBy(_file_no(), "container", (F.col("track_id") % 8).alias("track")).agg(F.count(F.lit(1)).alias("display_sets"), F.min("pts").alias("first_pts"), F.max("pts").alias("last_pts"))
 
 
@@ -203,7 +208,7 @@ def sup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         written(kept.withColumn("path", F.concat(F.lit(f"{t}/"), "path")), folder)
     found = Extractor(spark, [f"{folder}/{t}" for t in names], split_bytes=10_007).display_sets()
     own = found.withColumn("track_id", F.regexp_extract("file", r"/(\d)/[^/]*$", 1).cast("long"))
-    return _listed(own)
+    return _listed(own, _pts(32))
 
 
 def pushed_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
