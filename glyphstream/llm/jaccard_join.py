@@ -14,6 +14,9 @@ distance is a metric, and points link at a distance of at most e = 1 - threshold
    next class only; m goes by class. Centres are the first pivots, and a point belongs to the
    region of each centre that it shares a cell with, so two linked points have a region in
    common. No distance to any other pivot is worth computing.
+   Sketches go first: counts of a set's hashes by range bound what two sets have in common, and
+   points that can't link with a member of a region leave it. What stays moves to each point's
+   largest region only, then to those whose points are neither joined nor were compared.
 2. Windows. In a region all distances to its centre are computed. Points within e of it link
    and are settled: what links join to the centre needs no further links among itself. The
    others are open. An open point is compared with those members only whose distance to the
@@ -49,7 +52,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._blocks import M1, M2, OWNER_BITS, _batches, answer, block_words, finish, mix, pack_sorted, places, ranges_of, rolling, send, unpack_sorted, write_coded
+from ._blocks import M1, M2, OWNER_BITS, _batches, answer, block_words, finish, mix, pack_ints, pack_sorted, places, ranges_of, rolling, send, unpack_ints, unpack_sorted, write_coded
 from ._scratch import RANGE_BYTES, discard, exchange_ranges, input_bytes, materialise, release, table, width
 from .components import components
 
@@ -65,6 +68,7 @@ CHUNK_SHINGLES = 50_000
 SHRINK = 0.5  # a round that leaves a larger share of pairs is the last
 WIDE = 8  # chunks that are measured as one where it was
 SLACK = 1e-12
+SKETCHED = 512  # members up to which a region's sketches are all compared
 KEEP = np.uint64(64 - OWNER_BITS)
 LOW = np.uint64((1 << 64 - OWNER_BITS) - 1)
 EDGE = T.StructType().add("a", T.LongType()).add("b", T.LongType())
@@ -316,7 +320,7 @@ def _solve_regions(group: pa.Table, percent: int) -> Iterator[tuple[int, int]]:
         regions.setdefault(row[0], []).append(row)
     for region, rows in regions.items():
         points = [point for _, point, _ in rows]
-        links = Region([unpack_sorted(data) for _, _, data in rows], percent).solve(points.index(region))
+        links = Region([unpack_sorted(data) for _, _, data in rows], percent).solve(points.index(region) if region in points else 0)
         for a, b in links:
             yield points[a], points[b]
 
@@ -417,26 +421,78 @@ def salted(points: DataFrame) -> DataFrame:
     return points.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("point", F.lit(1)), salts))
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, region_shingles: int | None = None) -> DataFrame:
-    """id, n_shingles and component_id (the least id that links reach) for each document."""
-    spark, size = docs.sparkSession, input_bytes(docs)
-    parts, tasks, most = exchange_ranges(size), width(docs.sparkSession, size), REGION_SHINGLES if region_shingles is None else region_shingles
-    blocks = write_coded(docs, id_col, text_col, "jaccard-words")
-    id_type = blocks.schema["ids"].dataType.elementType
-    point_row = T.StructType().add("block", T.LongType()).add("position", T.IntegerType()).add("id", id_type).add("n_shingles", T.LongType()).add("point", T.LongType()).add("check", T.LongType())
-    points = materialise(send(blocks, lambda row: _points(row, shingle), point_row), "points", size)
-    classes = points.filter("n_shingles > 0").groupBy("point", "check").agg(F.min("id").alias("least"), F.min(F.struct("block", "position")).alias("at"), F.max("n_shingles").alias("n"))
-    classes = materialise(classes, "classes", size)
-    stars = materialise(answer(send(blocks, lambda row: _ask(row, shingle, percent, parts)), EDGE, _stars).distinct(), "stars", size)
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall into each of at most as many equal ranges, a power of two."""
+    bits = max(len(hashes), 1).bit_length() - 1
+    return np.bincount((hashes >> np.uint64(64 - OWNER_BITS - bits)).astype(np.int64), minlength=1 << bits)
 
-    centres = stars.select(F.col("a").alias("region"), F.col("a").alias("point")).distinct()
-    placed = stars.select(F.col("a").alias("region"), F.col("b").alias("point")).unionByName(centres).join(classes.select("point", "at", "n"), "point")
-    placed = materialise(placed, "placed", size)
-    sized = placed.groupBy("region").agg(F.sum("n").alias("shingles"))
+
+def near(sketches: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets may link with another: two sets have no more in common than their ranges' lesser counts."""
+    ranges = min(map(len, sketches))
+    counts = np.stack([x.reshape(ranges, -1).sum(axis=1) for x in sketches]).astype(np.int32)
+    found = np.zeros(len(sizes), dtype=bool)
+    for i in range(len(sizes) - 1):
+        common = np.minimum(counts[i + 1 :], counts[i]).sum(axis=1)
+        hit = linked(common, sizes[i + 1 :], sizes[i], percent)
+        found[i + 1 :] |= hit
+        found[i] |= hit.any()
+    return found
+
+
+def _sketches(block: dict, rows: list[dict], n: int) -> Iterator[tuple]:
+    if rows:
+        hashes, sizes = shingle_sets(*block_words(block), n)
+        begins, made = np.cumsum(sizes) - sizes, {}
+        for r in rows:
+            i = r["position"]
+            if i not in made:
+                made[i] = pack_ints(sketch(hashes[begins[i] : begins[i] + sizes[i]]))
+            yield r["region"], r["point"], int(sizes[i]), made[i]
+
+
+def _near_members(group: pa.Table, percent: int) -> Iterator[tuple[int, int]]:
+    regions: dict[int, list[tuple]] = {}
+    for row in zip(*(group.column(n).to_pylist() for n in ("region", "point", "n", "data")), strict=True):
+        regions.setdefault(row[0], []).append(row)
+    for region, rows in regions.items():
+        kept = near([unpack_ints(data) for _, _, _, data in rows], np.array([n for _, _, n, _ in rows]), percent)
+        for i in np.flatnonzero(kept).tolist():
+            yield region, rows[i][1]
+
+
+def _near(blocks: DataFrame, placed: DataFrame, *, shingle: int, percent: int, size: int) -> DataFrame:
+    """The rows of placed without points that can't link with any member of the region.
+
+    Sketches take a byte for some shingles, sets some bytes for each. Regions of over SKETCHED
+    members stay whole.
+    """
+    members = placed.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
+    counted = materialise(placed.join(members, "region"), "placed-counted", size)
+    few = counted.filter(F.col("members") <= SKETCHED)
+    row = T.StructType().add("region", T.LongType()).add("point", T.LongType()).add("n", T.LongType()).add("data", T.BinaryType())
+    made = finish(blocks, few.select("at.block", "at.position", "point", "region"), row, lambda block, rows: _sketches(block, rows, shingle))
+    pair = T.StructType().add("region", T.LongType()).add("point", T.LongType())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        release()
+        yield from _batches(_near_members(pa.Table.from_batches(list(batches)), percent), to_arrow_schema(pair))
+
+    buckets = max(16, -(-(few.agg(F.sum("n")).first()[0] or 0) // RANGE_BYTES))
+    kept = materialise(made.groupBy(F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket")).applyInArrow(compare, pair), "near", size)
+    columns = placed.columns
+    return few.join(kept, ["region", "point"]).select(columns).unionByName(counted.filter(F.col("members") > SKETCHED).select(columns))
+
+
+def _links(blocks: DataFrame, placed: DataFrame, *, shingle: int, percent: int, most: int, size: int) -> DataFrame:
+    """Links (a, b) that join all that links within a region join; placed: region, point, at, n of the point."""
+    spark = placed.sparkSession
+    sized = placed.groupBy("region").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
     wanted = placed.join(sized, "region").select("at.block", "at.position", "point", "region", "n", "shingles")
     set_row = T.StructType().add("region", T.LongType()).add("point", T.LongType()).add("shingles", T.LongType()).add("n", T.LongType()).add("data", T.BinaryType())
     members = materialise(finish(blocks, wanted, set_row, lambda block, rows: _wanted(block, rows, shingle)), "members", size)
-    discard(blocks, stars)
     in_task, total = F.col("shingles") <= most, members.agg(F.sum(F.when(F.col("shingles") <= most, F.col("n"))), F.max("shingles")).first()
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,8 +506,49 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     links = materialise(small.groupBy("bucket").applyInArrow(solve, EDGE), "links", size)
     if total[1] is not None and total[1] > most:
         links = links.unionByName(_join_large(members.filter(~in_task), percent, size))
+    discard(members)
+    return links
+
+
+def _undecided(placed: DataFrame, first: DataFrame, links: DataFrame, size: int) -> DataFrame:
+    """The rows of placed whose region has points that are neither joined nor were compared.
+
+    Points that share their first region were compared there, and what links join needs no more
+    of them. Where a region's points differ in both, two of them do.
+    """
+    roots = components(links).withColumnRenamed("node", "point")
+    known = materialise(first.join(roots, "point", "left").select("point", "first", F.coalesce("root", "point").alias("root")), "known-points", size)
+    ends = placed.join(known, "point").groupBy("region").agg(*[f(c).alias(f"{n}_{c}") for c in ("first", "root") for n, f in (("low", F.min), ("high", F.max))])
+    return placed.join(ends.filter("low_first < high_first AND low_root < high_root").select("region"), "region")
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, region_shingles: int | None = None) -> DataFrame:
+    """id, n_shingles and component_id (the least id that links reach) for each document."""
+    spark, size = docs.sparkSession, input_bytes(docs)
+    parts, tasks, most = exchange_ranges(size), width(docs.sparkSession, size), REGION_SHINGLES if region_shingles is None else region_shingles
+    blocks = write_coded(docs, id_col, text_col, "jaccard-words")
+    id_type = blocks.schema["ids"].dataType.elementType
+    point_row = T.StructType().add("block", T.LongType()).add("position", T.IntegerType()).add("id", id_type).add("n_shingles", T.LongType()).add("point", T.LongType()).add("check", T.LongType())
+    points = materialise(send(blocks, lambda row: _points(row, shingle), point_row), "points", size)
+    classes = points.filter("n_shingles > 0").groupBy("point", "check").agg(F.min("id").alias("least"), F.min(F.struct("block", "position")).alias("at"), F.max("n_shingles").alias("n"))
+    classes = materialise(classes, "classes", size)
+    stars = materialise(answer(send(blocks, lambda row: _ask(row, shingle, percent, parts)), EDGE, _stars).distinct(), "stars", size)
+
+    centres = stars.select(F.col("a").alias("region"), F.col("a").alias("point")).distinct()
+    placed = stars.select(F.col("a").alias("region"), F.col("b").alias("point")).unionByName(centres).join(classes.select("point", "at", "n"), "point")
+    placed = materialise(placed, "placed", size)
+    candidates = placed
+    placed = materialise(_near(blocks, candidates, shingle=shingle, percent=percent, size=size), "placed-near", size)
+    solve = partial(_links, blocks, shingle=shingle, percent=percent, most=most, size=size)
+    # Each point in its largest region, which joins most of what links; then the regions that this leaves open.
+    members = placed.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
+    first = placed.join(members, "region").groupBy("point").agg(F.max(F.struct("members", "region"))["region"].alias("first"))
+    first = materialise(first, "first-regions", size)
+    links = solve(materialise(placed.join(first, "point").filter("region = first").drop("first"), "placed-once", size))
+    rest = materialise(_undecided(placed, first, links, size), "placed-again", size)
+    links = links.unionByName(solve(rest))
     roots = components(links)
-    discard(members, placed)
+    discard(blocks, stars, candidates, placed, first, rest)
     joined = classes.join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
     joined = materialise(joined.select("point", "check", "root", "least"), "class-roots", size)
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))

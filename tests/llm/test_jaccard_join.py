@@ -156,3 +156,39 @@ def test_graph_components(spark, monkeypatch, one_task):
         root[y] = x
     want = {(n, find(n)) for a, b in edges if a != b for n in (a, b)}
     assert {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+@pytest.mark.parametrize("region_shingles", [None, 0])
+def test_regions_without_sketches_as_brute_force(spark, monkeypatch, region_shingles):
+    monkeypatch.setattr(jj, "SKETCHED", 4)
+    rows = corpus(5, [9, 25, 80, 400], 10, 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in jj.join(docs, region_shingles=region_shingles).collect()} == brute(rows)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_leave_out_no_link(percent):
+    rng = np.random.default_rng(percent)
+    for size in (1, 2, 7, 60, 500):
+        base = np.unique(rng.integers(0, 1 << 52, size, dtype=np.uint64))
+        sets = [np.unique(np.concatenate((rng.choice(base, len(base) - k), rng.integers(0, 1 << 52, k, dtype=np.uint64)))) for k in rng.integers(0, 1 + size // 6, 12)] + [base, base[: -(size // 10) or None]]
+        sets += [np.unique(rng.integers(0, 1 << 52, size, dtype=np.uint64)) for _ in range(8)]
+        kept = jj.near([jj.sketch(s) for s in sets], np.array([len(s) for s in sets]), percent)
+        for i, a in enumerate(sets):
+            links = [100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for j, b in enumerate(sets) if j != i]
+            assert kept[i] or not any(links)
+        assert size < 60 or not kept[-8:].any()
+
+
+def test_sets_move_where_links_may_be(spark, monkeypatch):
+    rows, kept = {"placed": 0, "members": 0}, jj.materialise
+
+    def watch(df, label, size=0):
+        out = kept(df, label, size)
+        if label in rows:
+            rows[label] += out.count()
+        return out
+
+    monkeypatch.setattr(jj, "materialise", watch)
+    jj.join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), shingle=5, percent=80)
+    assert 0 < 2 * rows["members"] < rows["placed"]
