@@ -95,16 +95,21 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
-def contents(spark: SparkSession, sf_dir: str, make: Callable[[int, list], bytes], extension: str) -> DataFrame:
-    """(path, content) of all files of a kind."""
+def built(spark: SparkSession, sf_dir: str, make: Callable[[int, list], dict[str, bytes]]) -> DataFrame:
+    """(path, content) of all files that ``make`` gives, by name, for each file's events."""
 
     def build(key: tuple, group: pa.Table) -> pa.Table:
-        file_no = key[0].as_py()
         rows = sorted(zip(*(group.column(n).to_pylist() for n in ("event_id", "track", "event_type")), strict=True))
-        return pa.table({"path": [f"{file_no}.{extension}"], "content": [make(file_no, rows)]}, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+        found = make(key[0].as_py(), rows)
+        return pa.table({"path": list(found), "content": list(found.values())}, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
 
     events = table(spark, sf_dir, "events").select((F.col("event_id") / PER_FILE).cast("long").alias("file_no"), "event_id", (1 + F.col("user_id") % 4).alias("track"), "event_type")
-    return events.groupBy("file_no").applyInArrow(build, FILES)
+    return spread(events, "file_no").groupBy("file_no").applyInArrow(build, FILES)
+
+
+def contents(spark: SparkSession, sf_dir: str, make: Callable[[int, list], bytes], extension: str) -> DataFrame:
+    """(path, content) of all files of a kind."""
+    return built(spark, sf_dir, lambda file_no, rows: {f"{file_no}.{extension}": make(file_no, rows)})
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -192,9 +197,8 @@ def transport_track_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def every_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events through every container of the data source, in splits: the same totals."""
-    folder = shared_folder(spark)
-    for make, extension in ((cued, "mkv"), (m2ts, "m2ts"), (junked, "ts")):
-        written(contents(spark, sf_dir, make, extension), folder)
+    kinds = ((cued, "mkv"), (m2ts, "m2ts"), (junked, "ts"))
+    folder = written(built(spark, sf_dir, lambda n, rows: {f"{n}.{extension}": make(n, rows) for make, extension in kinds}), shared_folder(spark))
     sets = Extractor(spark, folder, split_bytes=50_000).display_sets().withColumn("pts", F.when(F.col("container") == "Matroska", F.col("pts")).otherwise(_pts(33)))
     return sets.groupBy(_file_no(), "container", (F.col("track_id") % 8).alias("track")).agg(F.count(F.lit(1)).alias("display_sets"), F.min("pts").alias("first_pts"), F.max("pts").alias("last_pts"))
 

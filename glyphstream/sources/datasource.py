@@ -3,7 +3,8 @@
 Options: ``path`` (a file, a folder or a glob; several in ``paths``, one a line), ``table``
 (tracks, blocks, packets or stats), ``strategy`` (auto or sequential, for Matroska),
 ``split_bytes``. Large files are cut into byte ranges that readers align themselves: the
-driver only lists files and sizes. Small files share a partition. Filters on ``track_id`` and
+driver only lists files and sizes. Small files share a partition, and so do small ranges: there
+are about ``TASKS`` tasks, more where each would hold over 128 MB. Filters on ``track_id`` and
 ``pts`` reach the readers, and Spark applies them again.
 
 Needs ``spark.sql.python.filterPushdown.enabled``, which ``register`` sets.
@@ -15,6 +16,7 @@ import glob
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -26,6 +28,7 @@ from . import scan
 
 TABLES = {"tracks": S.TRACKS, "blocks": S.BLOCKS, "packets": S.PACKETS, "stats": S.STATS}
 SPLIT_BYTES = 128 * 1024 * 1024
+TASKS, TASK_FILES = 64, 1024
 BATCH_ROWS, BATCH_BYTES = 4096, 8 * 1024 * 1024
 
 
@@ -73,22 +76,27 @@ class PgsReader(DataSourceReader):
         self.wanted = replace(self.wanted, track_ids=ids, low=low, high=high)
 
     def partitions(self) -> list[Ranges]:
+        """Ranges dealt to tasks in the files' order. A task begins a file or goes on anywhere in it; each of its ranges is still read as such."""
         most = int(self.options.get("split_bytes", SPLIT_BYTES))
+        files = [(f, os.path.getsize(f)) for f in files_of(self.options)]
+        share = -(-sum(own for _, own in files) // TASKS)
+        if self.table == "tracks":  # what lists a file's tracks doesn't grow with its size
+            full, weighed = min(TASK_FILES, -(-len(files) // TASKS)), [((f, 0, None), 1) for f, _ in files]
+        elif self.table == "stats":
+            full, weighed = min(SPLIT_BYTES, share), [((f, 0, None), own) for f, own in files]
+        else:
+            full = max(most, min(SPLIT_BYTES, share))
+            weighed = [x for f, own in files for x in (_cut(f, own, most) if own > most else [((f, 0, None), own)])]
         out, held, size = [], [], 0
-        for f in files_of(self.options):
-            own = os.path.getsize(f)
-            if self.table in ("blocks", "packets") and own > most:
-                out += [Ranges(((f, a, min(own, a + most)),)) for a in range(0, own, most)]
-                continue
-            held.append((f, 0, None))
+        for item, own in weighed:
+            held.append(item)
             size += own
-            if size >= most or self.table in ("tracks", "stats"):
+            if size >= full:
                 out.append(Ranges(tuple(held)))
                 held, size = [], 0
         return out + ([Ranges(tuple(held))] if held else [])
 
-    def rows(self, item: tuple[str, int, int | None]) -> Iterator[tuple]:
-        name, begin, end = item
+    def rows(self, name: str, ranges: list[tuple[int, int | None]]) -> Iterator[tuple]:
         with scan.open_reader(name) as reader:
             if self.table == "tracks":
                 yield from scan.track_rows(reader, name)
@@ -96,10 +104,16 @@ class PgsReader(DataSourceReader):
                 yield from scan.stats_rows(reader, name, self.wanted)
             else:
                 rows = scan.block_rows if self.table == "blocks" else scan.packet_rows
-                yield from rows(reader, name, self.wanted, begin, end)
+                yield from rows(reader, name, self.wanted, ranges)
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        yield from batches((r for item in partition.items for r in self.rows(item)), self.schema)
+        files = groupby(partition.items, lambda item: item[0])
+        yield from batches((r for name, items in files for r in self.rows(name, [item[1:] for item in items])), self.schema)
+
+
+def _cut(name: str, size: int, most: int) -> list[tuple[tuple[str, int, int], int]]:
+    """The ranges of a file, with their sizes."""
+    return [((name, a, min(size, a + most)), min(size, a + most) - a) for a in range(0, size, most)]
 
 
 def batches(rows: Iterator[tuple], schema: StructType) -> Iterator[pa.RecordBatch]:
