@@ -205,12 +205,9 @@ def every_container(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A .sup file of each track and file, written and read in splits."""
-    names = {t: (lambda n, rows, t=t: media.sup(tracks_of(rows).get(t, []))) for t in range(1, 5)}
-    folder = shared_folder(spark)
-    for t, make in names.items():
-        kept = contents(spark, sf_dir, make, "sup").filter(F.length("content") > 0)
-        written(kept.withColumn("path", F.concat(F.lit(f"{t}/"), "path")), folder)
-    found = Extractor(spark, [f"{folder}/{t}" for t in names], split_bytes=10_007).display_sets()
+    made = built(spark, sf_dir, lambda n, rows: {f"{t}/{n}.sup": media.sup(sets) for t, sets in tracks_of(rows).items()})
+    folder = written(made, shared_folder(spark))
+    found = Extractor(spark, [f"{folder}/{t}" for t in range(1, 5)], split_bytes=10_007).display_sets()
     own = found.withColumn("track_id", F.regexp_extract("file", r"/(\d)/[^/]*$", 1).cast("long"))
     return _listed(own, _pts(32))
 

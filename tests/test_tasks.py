@@ -1,7 +1,9 @@
 """Into how many tasks the data source cuts files, and that tasks read what their ranges hold."""
 
+import duckdb
 import pytest
 
+from glyphstream.plans import containers
 from glyphstream.plans import media as B
 from glyphstream.sources import datasource
 
@@ -71,3 +73,20 @@ def test_a_broken_head_is_one_error_in_a_task(tmp_path):
     alone = rows(source, datasource.Ranges(tuple(ranges(tmp_path, 1_000)[:1])))
     assert [r["data"] for r in alone] == [None] and alone[0]["error"]
     assert rows(source, datasource.Ranges(tuple(ranges(tmp_path, 1_000)))) == alone
+
+
+def test_sup_ranges_share_tasks(tmp_path):
+    data = B.sup(SETS)
+    make(tmp_path, "sup", data)
+    (tmp_path / "099.sup").write_bytes(data[:3000] + b"no segment" + data[3000:])  # its range's error leaves the others whole
+    got = checked(tmp_path, "blocks", 2_000)
+    assert len([r for r in got if r["error"]]) == 1 and len([r for r in got if r["data"]]) > 149 * sum(len(parts) for _, parts in SETS)
+
+
+def test_sup_files_are_built_in_one_go(spark, tmp_path, monkeypatch):
+    """All tracks of a file come of one reading of its events."""
+    calls = []
+    monkeypatch.setattr(containers, "written", lambda files, folder, f=containers.written: calls.append(folder) or f(files, folder))
+    with duckdb.connect() as db:
+        db.execute(f"COPY (SELECT range AS event_id, range // 3 AS user_id, 'view' AS event_type FROM range(3200)) TO '{tmp_path}/events.parquet'")
+    assert containers.sup_files(spark, str(tmp_path)).count() == 3200 and len(calls) == 1
