@@ -90,3 +90,9 @@ def test_sup_files_are_built_in_one_go(spark, tmp_path, monkeypatch):
     with duckdb.connect() as db:
         db.execute(f"COPY (SELECT range AS event_id, range // 3 AS user_id, 'view' AS event_type FROM range(3200)) TO '{tmp_path}/events.parquet'")
     assert containers.sup_files(spark, str(tmp_path)).count() == 3200 and len(calls) == 1
+
+
+@pytest.mark.parametrize("junk", [b"x" * 77, b"G" * 400])
+def test_ts_ranges_share_tasks(tmp_path, junk):
+    make(tmp_path, "ts", B.transport({0x1200: (None, SETS)}, m2ts=False, junk=junk), 40)
+    assert sum(r["starts"] for r in checked(tmp_path, "packets", 2_000)) == 40 * len(SETS)
